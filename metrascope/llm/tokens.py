@@ -1,7 +1,7 @@
 """Byte-level BPE over whole texts, a piece between spaces at a time.
 
-A single space or line feed that has no white space on both sides always starts
-a pre-token. Texts split there, each distinct piece of a slice of texts is
+In a run of at most two white space characters that has visible text after it,
+each space and line feed starts a pre-token. Texts split there, each distinct piece of a slice of texts is
 encoded once, and numpy puts the ids together. Texts with wider runs of white
 space are encoded as they are.
 """
@@ -13,9 +13,9 @@ import json
 import re
 from collections.abc import Callable, Iterator
 
-#: White space on both sides of a space or line feed, or two at the end: pre-tokens may start elsewhere.
+#: Wider runs, or two at the end: pre-tokens may start elsewhere.
 _ANY = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_LOOSE = rf"{_ANY}[ \n]{_ANY}|{_ANY}{_ANY}\z"
+_LOOSE = rf"{_ANY}{{3}}|{_ANY}{{2}}\z"
 _SPACE = re.compile(r"\s")
 #: Bytes of text that are split at a time.
 _SPLIT = 8 << 20
