@@ -1,0 +1 @@
+"""Metascience analytics on Spark DataFrames."""
