@@ -6,14 +6,18 @@ from .bpe import op9_byte_bpe
 from .chat_format import OP5_SQL, op5_chat_format
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .packing import op7_best_fit_packing
+from .quality import op1_quality
+from .toxicity import op10_toxicity
 from .url_filter import OP4_SQL, op4_url_filter
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_url_filter": op4_url_filter,
     "op5_chat_format": op5_chat_format,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL = {
