@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op2_multi_index_hashing
 from .bpe import op9_byte_bpe
 from .chat_format import OP5_SQL, op5_chat_format
 from .exact_dedup import OP3_SQL, op3_exact_dedup
@@ -9,13 +10,16 @@ from .packing import op7_best_fit_packing
 from .quality import op1_quality
 from .toxicity import op10_toxicity
 from .url_filter import OP4_SQL, op4_url_filter
+from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_multi_index_hashing": op2_multi_index_hashing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_url_filter": op4_url_filter,
     "op5_chat_format": op5_chat_format,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_warc": op8_warc,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_toxicity": op10_toxicity,
 }
@@ -24,4 +28,5 @@ ORACLE_SQL = {
     "op3_exact_dedup": OP3_SQL,
     "op4_url_filter": OP4_SQL,
     "op5_chat_format": OP5_SQL,
+    "op8_warc": OP8_SQL,
 }
