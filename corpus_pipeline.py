@@ -1,19 +1,60 @@
-"""From raw documents to packed training sequences, by the operators of metrascope.llm."""
+"""From raw documents to packed training sequences, by the operators of metrascope.llm.
+
+Toxic and low-quality documents go, then exact and near copies; what is left is
+packed. Each stage works on all that its predecessor kept, and all but the last
+return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metrascope.llm.common import Workspace
+from metrascope.llm.common import Workspace, read
+from metrascope.llm.exact_dedup import drop_exact_duplicates
+from metrascope.llm.jaccard_join import drop_near_duplicates
+from metrascope.llm.packing import pack
+from metrascope.llm.quality import drop_low_quality
+from metrascope.llm.toxicity import drop_toxic
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_toxic(docs, read(spark, sf_dir, "labels"))
+
+
+def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_low_quality(docs, read(spark, sf_dir, "labels"))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_exact_duplicates(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_near_duplicates(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("quality", of_quality),
+    ("exact_dedup", without_copies),
+    ("near_duplicates", without_near_copies),
+    ("packing", packed),
+]
 
-STAGES: list = []
+#: SQL can express neither the classifiers nor the packing.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over ``documents``; each result is written and read again."""
     work = Workspace(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = work.save(stage(spark, docs, sf_dir), name)
     return docs

@@ -6,6 +6,7 @@ from .ann import op2_multi_index_hashing
 from .bpe import op9_byte_bpe
 from .chat_format import OP5_SQL, op5_chat_format
 from .exact_dedup import OP3_SQL, op3_exact_dedup
+from .jaccard_join import op6_jaccard_join
 from .packing import op7_best_fit_packing
 from .quality import op1_quality
 from .toxicity import op10_toxicity
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_url_filter": op4_url_filter,
     "op5_chat_format": op5_chat_format,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_warc": op8_warc,
     "op9_byte_bpe": op9_byte_bpe,
