@@ -1 +1 @@
-
+"""Column expressions: statistics, parsing, text."""

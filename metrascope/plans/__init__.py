@@ -1 +1 @@
-
+"""Compositions of operators into reports and manifests."""

@@ -1,0 +1,115 @@
+"""Samples, agreement, calibration, labels and their roll-up."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import agreement as A
+from ..operators import labels as B
+from .common import rounded, table, wilson_sql
+
+
+def kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of the two labels of a document, as if two people had given them."""
+    return rounded(A.agreement(table(spark, sf_dir, "labels"), "quality", "toxic"))
+
+
+def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(A.calibration(table(spark, sf_dir, "labels"), F.col("quality") == 0, F.col("toxic") == 1))
+
+
+def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return rounded(A.stratified_sample(docs, "lang", "doc_id", {"en": 20, "fr": 20, "de": 20, "es": 15}, 42))
+
+
+def first_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two turns of each conversation as verdicts."""
+    return A.first_two(table(spark, sf_dir, "conversations"), "conv_id", "role", "turn", "role")
+
+
+def vignette_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users whose events are all of one type, or all of the month's first value."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id") * 100 + F.floor("value") % 100, "event_type", F.floor(F.col("value") / 10).alias("tens")).toDF("item", "event_type", "tens")
+    return A.stability(events.withColumn("wanted", F.lit("view")), "item", ["event_type", "tens"], {"event_type": "wanted"})
+
+
+_POLARITY = "CASE WHEN {k} % 5 = 0 THEN 'author_use' WHEN {k} % 5 = 1 THEN 'non_use_statement' WHEN {k} % 5 = 2 THEN 'topic_only' WHEN {k} % 5 = 3 THEN 'unclear' ELSE 'false_positive' END"
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as snippet labels of orders."""
+    k, part = F.col("l_suppkey"), F.col("l_partkey")
+    one = lambda c: F.array(c.cast("string"))
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey", "l_partkey").agg(F.min("l_linenumber").alias("line"), F.min("l_returnflag").alias("flag"))
+    return items.select(
+        F.col("l_orderkey").alias("arxiv_id"), (part * 10_000 + k).alias("id"), F.expr(_POLARITY.format(k="l_suppkey")).alias("polarity"),
+        F.element_at(F.array(*[F.lit(x) for x in B.IMPACTS]), (part % 5 + 1).cast("int")).alias("impact"), one(part % 3).alias("tools"), one(part % 2).alias("models"),
+        one(part % 4).alias("categories"), F.when(part % 7 != 0, F.concat(F.lit("loc"), (part % 2).cast("string"))).alias("location"),
+        F.create_map(F.lit("catalytic"), part % 11 == 0, F.lit("method_component"), part % 13 == 0).alias("flags"),
+        (part % 3 != 0).cast("int").alias("quote_grounded"), F.when(part % 4 == 0, "unchecked").otherwise("rendered").alias("render_status"), F.when(part % 8 == 0, "meta:comments").otherwise("tex").alias("source_kind"))
+
+
+def label_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = B.roll_up(_items(spark, sf_dir), grounded=True, rendered=True)
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return told.select("arxiv_id", "polarity", joined("tools"), joined("categories"), joined("locations"), "impact", joined("impacts_seen"), F.element_at("flags", "catalytic").alias("catalytic"), F.element_at("flags", "method_component").alias("method_component"), "has_contributing_use", "has_zero_contribution_attempt", "ungated")
+
+
+def label_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers by overlapping states of use."""
+    told = B.roll_up(_items(spark, sf_dir)).where("polarity = 'author_use'")
+    return told.agg(F.count(F.lit(1)).alias("n"), F.count_if("has_contributing_use").alias("contributing"), F.count_if("has_zero_contribution_attempt").alias("zero"), F.count_if("has_undetermined_impact").alias("undetermined"))
+
+
+def label_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reasons to refuse labels written from the label table, with faults by document id."""
+    k = F.col("doc_id") % 9
+    names = ("polarity", "tools", "models", "categories", "epistemic_impact", "locations", "confidence", "quote", "flags")
+    values = {
+        "polarity": F.when(k == 1, '"maybe"').otherwise('"author_use"'), "tools": F.lit('["GPT"]'), "models": F.lit("[]"),
+        "categories": F.when(k == 2, '["sculpture"]').otherwise('["ideation"]'), "epistemic_impact": F.when(k == 3, '"not_applicable"').when(k == 4, '"zero_contribution"').otherwise('"supportive"'),
+        "locations": F.when(k == 5, "[]").otherwise('["body"]'), "confidence": F.when(k == 6, "true").when(k == 7, "5").otherwise("0.5"), "quote": F.when(k == 8, '""').otherwise('"we asked it"'),
+        "flags": F.when(k == 4, '{"catalytic": true}').otherwise('{"catalytic": false}'),
+    }
+    text = F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f'"{n}": '), values[n]) for n in names]), F.lit("}"))
+    rows = table(spark, sf_dir, "labels").select("doc_id", text.alias("label_json"), F.lit("then we  asked it twice").alias("snippet"))
+    told = B.validate_labels(rows)
+    return told.groupBy(F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label.quote_grounded")).alias("grounded"))
+
+
+QUERIES = {f.__name__: f for f in (kappa, calibration, stratified_sample, first_reviews, vignette_stability, label_rollup, label_states, label_validation)}
+_ITEMS = f"""WITH i AS (SELECT DISTINCT l_orderkey AS arxiv_id, l_suppkey, l_partkey AS part, l_partkey * 10000 + l_suppkey AS id, {_POLARITY.format(k="l_suppkey")} AS polarity,
+    CASE l_partkey % 5 WHEN 0 THEN 'cosmetic' WHEN 1 THEN 'supportive' WHEN 2 THEN 'result_bearing' WHEN 3 THEN 'zero_contribution' ELSE 'undetermined' END AS impact,
+    CASE l_partkey % 5 WHEN 0 THEN 4 WHEN 1 THEN 5 WHEN 2 THEN 6 WHEN 3 THEN 2 ELSE 3 END AS weight,
+    CASE l_suppkey % 5 WHEN 0 THEN 5 WHEN 1 THEN 4 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 1 END AS rank FROM lineitem)"""
+ORACLE_SQL = {
+    "kappa": """WITH c AS (SELECT quality AS a, toxic AS b, CAST(count(*) AS DOUBLE) AS m FROM labels GROUP BY 1, 2), t AS (SELECT sum(m) AS n, sum(CASE WHEN a = b THEN m ELSE 0 END) / sum(m) AS po FROM c),
+        e AS (SELECT sum(x.m * y.m) AS met FROM (SELECT a, sum(m) AS m FROM c GROUP BY 1) x JOIN (SELECT b, sum(m) AS m FROM c GROUP BY 1) y ON a = b)
+        SELECT CAST(n AS BIGINT) AS n, round(po, 6) AS agree, round((po - coalesce(met, 0) / (n * n)) / (1 - coalesce(met, 0) / (n * n)), 6) AS kappa FROM t, e""",
+    "calibration": f"""WITH c AS (SELECT count(*) AS n, count(*) FILTER (toxic = 1) AS shown, count(*) FILTER (toxic = 1 AND quality = 0) AS confirmed, count(*) FILTER (quality = 0) AS hp,
+        count(*) FILTER ((quality = 0) = (toxic = 1)) AS same FROM labels)
+        SELECT n, shown, confirmed, round(CAST(confirmed AS DOUBLE) / nullif(shown, 0), 6) AS precision, round({wilson_sql('confirmed', 'shown', '-')}, 6) AS precision_lo,
+        round({wilson_sql('confirmed', 'shown', '+')}, 6) AS precision_hi, round(CAST(confirmed AS DOUBLE) / nullif(hp, 0), 6) AS recall, round(CAST(same AS DOUBLE) / n, 6) AS concordance FROM c""",
+    "stratified_sample": """WITH w(lang, w) AS (VALUES ('en', 20), ('fr', 20), ('de', 20), ('es', 15)), k AS (SELECT doc_id, lang, count(*) OVER (PARTITION BY lang) AS frame_n,
+        row_number() OVER (PARTITION BY lang ORDER BY md5('42|' || doc_id), doc_id) AS k FROM documents)
+        SELECT lang, doc_id, frame_n, CAST(least(w, frame_n) AS BIGINT) AS n, round(CAST(least(w, frame_n) AS DOUBLE) / frame_n, 6) AS inclusion_p FROM k JOIN w USING (lang) WHERE k <= w""",
+    "first_reviews": """WITH k AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS k FROM conversations)
+        SELECT conv_id, max(role) FILTER (k = 1) AS a, max(role) FILTER (k = 2) AS b FROM k GROUP BY 1 HAVING count(*) >= 2""",
+    "vignette_stability": """WITH e AS (SELECT user_id * 100 + CAST(floor(value) AS BIGINT) % 100 AS item, event_type, CAST(floor(value / 10) AS BIGINT) AS tens FROM events)
+        SELECT item, count(DISTINCT event_type) = 1 AS event_type_stable, count(DISTINCT tens) = 1 AS tens_stable, bool_and(event_type = 'view') AS event_type_expected,
+        count(DISTINCT event_type) = 1 AND count(DISTINCT tens) = 1 AS all_stable FROM e GROUP BY 1""",
+    "label_rollup": _ITEMS + """, g AS (SELECT *, polarity <> 'author_use' OR (part % 3 <> 0 AND (part % 4 <> 0 OR part % 8 = 0)) AS ok FROM i), u AS (SELECT *, ok AND polarity = 'author_use' AS used FROM g)
+        SELECT arxiv_id, arg_max(polarity, rank * 1000000000000 - id) FILTER (ok) AS polarity, coalesce(string_agg(DISTINCT CAST(part % 3 AS VARCHAR), ',' ORDER BY CAST(part % 3 AS VARCHAR)) FILTER (used), '') AS tools,
+        coalesce(string_agg(DISTINCT CAST(part % 4 AS VARCHAR), ',' ORDER BY CAST(part % 4 AS VARCHAR)) FILTER (used), '') AS categories,
+        coalesce(string_agg(DISTINCT CASE WHEN part % 7 = 0 THEN 'unknown' ELSE 'loc' || part % 2 END, ',' ORDER BY CASE WHEN part % 7 = 0 THEN 'unknown' ELSE 'loc' || part % 2 END) FILTER (used), '') AS locations,
+        arg_max(impact, weight * 1000000000000 - id) FILTER (used) AS impact, coalesce(string_agg(DISTINCT impact, ',' ORDER BY impact) FILTER (used), '') AS impacts_seen,
+        count(*) FILTER (used AND part % 11 = 0) > 0 AS catalytic, count(*) FILTER (ok AND part % 13 = 0) > 0 AS method_component, count(*) FILTER (used AND weight >= 4) > 0 AS has_contributing_use,
+        count(*) FILTER (used AND weight = 2) > 0 AS has_zero_contribution_attempt, count(*) FILTER (NOT ok) > 0 AND count(*) FILTER (used) = 0 AS ungated FROM u GROUP BY 1""",
+    "label_states": _ITEMS + """, p AS (SELECT arxiv_id, bool_or(weight >= 4) AS c, bool_or(weight = 2) AS z, bool_or(weight = 3) AS u FROM i WHERE polarity = 'author_use' GROUP BY 1)
+        SELECT count(*) AS n, count(*) FILTER (c) AS contributing, count(*) FILTER (z) AS zero, count(*) FILTER (u) AS undetermined FROM p""",
+    "label_validation": """WITH r AS (SELECT CASE doc_id % 9 WHEN 1 THEN 'bad polarity' WHEN 2 THEN 'unknown categories' WHEN 3 THEN 'author_use cannot be not_applicable' WHEN 4 THEN 'zero_contribution contradicts catalytic'
+        WHEN 5 THEN 'locations must be a non-empty list' WHEN 6 THEN 'confidence must be a number' WHEN 7 THEN 'confidence out of range' WHEN 8 THEN 'missing quote for author_use' ELSE 'ok' END AS reason FROM labels)
+        SELECT reason, count(*) AS n, count(*) FILTER (reason = 'ok') AS grounded FROM r GROUP BY 1""",
+}

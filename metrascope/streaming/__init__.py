@@ -1 +1 @@
-
+"""Structured Streaming twins of batch operators."""
