@@ -16,12 +16,12 @@ def ratio(a: Column, b: Column) -> Column:
 
 def wilson_bound(k: Column, n: Column, sign: int, z: float = Z) -> Column:
     """A bound of Wilson's interval for k of n, in [0, 1]; 0 for n = 0."""
-    k, n = k.cast("double"), n.cast("double")
-    p = k / F.nullif(n, F.lit(0.0))
+    k, n = k.cast("double"), F.nullif(n.cast("double"), F.lit(0.0))
+    p = k / n
     middle = p + z * z / (2 * n)
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
     bound = (middle + sign * half) / (1 + z * z / n)
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), bound)), F.lit(0.0))
+    return F.when(n.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), bound)))
 
 
 def rate_columns(k: Column, n: Column, places: int = 5) -> list[Column]:
