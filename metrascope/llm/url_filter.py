@@ -71,7 +71,8 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url: str = "url", keep: Sequen
     host, path = host_and_path(F.col(url))
     rows = urls.select(*[F.col(k) for k in keep], host.alias("_host"), path.alias("_path"), F.monotonically_increasing_id().alias("_row"))
     labels = F.split("_host", r"\.")
-    last = F.slice(labels, F.greatest(F.lit(1), F.size(labels) - shape.labels + 1), F.lit(max(1, shape.labels)))
+    most = max(1, shape.labels)
+    last = F.slice(labels, F.greatest(F.lit(1), F.size(labels) - most + 1), F.lit(most))
     suffixes = F.transform(F.sequence(F.lit(1), F.size(last)), lambda i: F.array_join(F.slice(last, i, F.size(last)), "."))
     suffixes = F.filter(suffixes, lambda s: F.array_contains(lengths(shape.hosts), F.length(s)))
     prefixes = F.transform(F.filter(lengths(shape.paths), lambda n: n <= F.length("_path")), lambda n: F.left(F.col("_path"), n))
