@@ -42,8 +42,8 @@ from .common import Workspace, join_groups, shuffle_partitions
 WORDS, PERCENT = 5, 80
 #: Frequent shingles that the order puts last, at most; documents of a task that make one a candidate.
 COMMON, LOCAL = 1 << 16, 4
-#: Nodes of a bucket that one task holds.
-BUCKET = 2048
+#: Nodes of a bucket that one task holds; buckets that a node is marked with, so that pairs are found once.
+BUCKET, MARKS = 2048, 16
 #: Bytes of text handled at a time; rows under a node of the lowest level of a tree.
 _SLICE, _LEAF = 8 << 20, 32
 
@@ -112,10 +112,13 @@ def node_of(shingles) -> int:
 
 
 def bitmap(shingles):
-    """One bit for each shingle in a power of two, twice the set's size at least."""
+    """One bit for each shingle in a power of two, four times the set's size at least.
+
+    The fewer shingles share a bit, the closer the overlap of bitmaps is to that of sets.
+    """
     import numpy as np
 
-    m = max(64, 1 << int(2 * len(shingles) - 1).bit_length())
+    m = max(64, 1 << int(4 * len(shingles) - 1).bit_length())
     bits = np.zeros(m, np.uint8)
     bits[(shingles >> np.uint64(20)) & np.uint64(m - 1)] = 1
     return np.packbits(bits, bitorder="little").view(np.uint64)
@@ -368,20 +371,39 @@ def _candidates(nodes, n, blobs, component) -> Iterator[tuple]:
 
 
 _PAIRS = "a long, b long"
+_PIECE = ("piece", "node", "n", "bits", "component", "bucket", "i", "j", "own", "marks")
 
 
 def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, node, n, bits, component) in order of buckets to pairs of nodes."""
+    """Rows of ``_PIECE`` in order of pieces to pairs of nodes.
+
+    Two nodes that meet in several pieces of a bucket count in the one that
+    their chunks name, and of several buckets in the first that both have among
+    their ``marks``.
+    """
     import numpy as np
 
     held: list[tuple] = []
 
     def close() -> pa.RecordBatch | None:
-        nodes, n, component = (np.array([r[k] for r in held], np.int64) for k in (1, 2, 4))
-        found = [(nodes[i], nodes[j]) for i, j in _candidates(nodes, n, [r[3] for r in held], component)]
-        if not found:
+        nodes, n, component, own = (np.array([r[k] for r in held], np.int64) for k in (1, 2, 4, 8))
+        bucket, low, high = held[0][5], held[0][6], held[0][7]
+        marks = np.array([(r[9] + [None] * MARKS)[:MARKS] for r in held], object)
+        empty = np.equal(marks, None)
+        marks = np.where(empty, 0, marks).astype(np.int64)
+        out: list = []
+        for i, j in _candidates(nodes, n, [r[3] for r in held], component):
+            here = (np.minimum(own[i], own[j]) == low) & (np.maximum(own[i], own[j]) == high)
+            i, j = i[here], j[here]
+            for s in range(0, len(i), 4096):
+                x, y = i[s : s + 4096], j[s : s + 4096]
+                shared = ((marks[x][:, :, None] == marks[y][:, None, :]) & ~empty[x][:, :, None] & ~empty[y][:, None, :]).any(axis=2)
+                first = np.where(shared, marks[x], np.iinfo(np.int64).max).min(axis=1)
+                ours = ~shared.any(axis=1) | (first == bucket)
+                out.append((nodes[x[ours]], nodes[y[ours]]))
+        if not out:
             return None
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        a, b = (np.concatenate(x) for x in zip(*out, strict=True))
         return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     for batch in batches:
@@ -510,10 +532,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("component"))
     named = work.save(named, "named")
     mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
-    rows = named.join(mixed.select("bucket", "size"), "bucket").join(info, "node")
-    small = rows.where(F.col("size") <= BUCKET).select("bucket", "node", "n", "bits", "component")
-    dealt = small.unionByName(_pieces(rows.where(F.col("size") > BUCKET), work))
-    dealt = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    met = work.save(named.join(mixed.select("bucket", "size"), "bucket"), "met")
+    marks = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("bucket")), 1, MARKS).alias("marks"))
+    rows = met.join(info.join(marks, "node"), "node")
+    one = F.lit(0)
+    small = rows.where(F.col("size") <= BUCKET).select(F.col("bucket").alias("piece"), "node", "n", "bits", "component", "bucket", one.alias("i"), one.alias("j"), one.alias("own"), "marks")
+    dealt = small.unionByName(_pieces(rows.where(F.col("size") > BUCKET), work)).select(*_PIECE)
+    dealt = dealt.repartition(parts, "piece").sortWithinPartitions("piece")
     more = dealt.mapInArrow(_pairs_of, _PAIRS).distinct().join(star, ["a", "b"], "left_anti")
     more = verify(work.save(more, "more"), docs, info, members, work, "second")
     labels = components(links.unionByName(more), work, "all")
@@ -543,7 +568,8 @@ def _pieces(rows: DataFrame, work: Workspace) -> DataFrame:
     out = F.concat(F.transform(q, lambda k: F.struct(F.least(k, "own").alias("i"), F.greatest(k, "own").alias("j"))), F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda k: F.struct(F.col("own").alias("i"), (F.col("q") + k).alias("j"))))
     within = F.transform(q, lambda k: F.struct(k.alias("i"), (F.col("q") + F.col("own")).alias("j")))
     rows = rows.withColumn("own", own).withColumn("piece", F.explode(F.when(inside, within).otherwise(out)))
-    return rows.select(F.xxhash64("bucket", "piece.i", "piece.j").alias("bucket"), "node", "n", "bits", "component")
+    place = F.when(inside, F.col("q") + F.col("own")).otherwise(F.col("own"))
+    return rows.select(F.xxhash64("bucket", "piece.i", "piece.j").alias("piece"), "node", "n", "bits", "component", "bucket", "piece.i", "piece.j", place.cast("int").alias("own"), "marks")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
