@@ -32,7 +32,8 @@ def agreement(pairs: DataFrame, a: str, b: str) -> DataFrame:
     left = cells.groupBy("_a").agg(F.sum("m").alias("x"))
     right = cells.groupBy("_b").agg(F.sum("m").alias("y"))
     chance = left.join(right, F.col("_a").eqNullSafe(F.col("_b"))).agg(F.sum(F.col("x").cast("double") * F.col("y")).alias("cross"))
-    met = n.join(chance, F.lit(True))
+    both = n.withColumn("cross", F.lit(None).cast("double")).unionByName(chance, allowMissingColumns=True)
+    met = both.agg(F.max("n").alias("n"), F.max("same").alias("same"), F.max("cross").alias("cross"))
     agree = ratio(F.col("same"), F.col("n"))
     expected = F.coalesce(F.col("cross"), F.lit(0.0)) / (F.col("n").cast("double") * F.col("n"))
     return met.select(F.coalesce("n", F.lit(0)).alias("n"), agree.alias("agree"), kappa(agree, expected).alias("kappa"))

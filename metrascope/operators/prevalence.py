@@ -45,9 +45,9 @@ def rate_cube(rows: DataFrame, day: Column, stratum: Column, positive: Column, f
 def day_grid(rows: DataFrame, day: Column, category: Column) -> DataFrame:
     """(day, category, n) for every day between the first and last and every category, zeros too."""
     counts = rows.groupBy(F.to_date(day).alias("day"), category.alias("category")).agg(F.count(F.lit(1)).alias("n"))
-    days = counts.agg(F.explode(F.sequence(F.min("day"), F.max("day"), F.expr("INTERVAL 1 DAY"))).alias("day"))
-    # Both lists are short: days of a span, categories of a vocabulary.
-    spine = days.join(counts.select("category").distinct(), F.lit(True))
+    # Both lists are short, days of a span and categories of a vocabulary, and come from one row.
+    ends = counts.agg(F.sequence(F.min("day"), F.max("day"), F.expr("INTERVAL 1 DAY")).alias("days"), F.collect_set("category").alias("categories"))
+    spine = ends.select(F.explode("days").alias("day"), "categories").select("day", F.explode("categories").alias("category"))
     return spine.join(counts, ["day", "category"], "left").select("day", "category", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,4 +95,15 @@ def compare_runs(one: DataFrame, two: DataFrame, key: str, positive: str) -> Dat
 def membership_hash(rows: DataFrame, key: Column, version: Column) -> DataFrame:
     """(n, sha256) of the sorted ``key:version`` lines; an unknown version is written as None."""
     line = F.concat_ws(":", key.cast("string"), F.coalesce(version.cast("string"), F.lit("None")))
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("membership_sha256"))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, n = hashlib.sha256(), 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                state.update((("\n" if n else "") + text).encode())
+                n += 1
+        yield pa.record_batch([pa.array([n], pa.int64()), pa.array([state.hexdigest()])], ["n", "membership_sha256"])
+
+    # The sort is distributed; one task then reads its partitions in turn, as a hash has to, and holds a batch.
+    told = rows.select(line.alias("line")).orderBy("line").coalesce(1).mapInArrow(digest, "n long, membership_sha256 string")
+    return told.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.coalesce(F.max("membership_sha256"), F.sha2(F.lit("").cast("binary"), 256)).alias("membership_sha256"))

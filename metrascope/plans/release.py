@@ -73,4 +73,5 @@ def release_counts(table: DataFrame, scan_items: DataFrame) -> DataFrame:
     """The single row of a release: scanned, positive, and the hash of its members."""
     members = table.where("state = 'scanned'").join(scan_items.select("arxiv_id", "version"), "arxiv_id")
     held = membership_hash(members, F.col("arxiv_id"), F.col("version"))
-    return held.join(table.agg(F.count_if("positive").alias("positive"), F.count_if("pending").alias("pending")), F.lit(True))
+    both = held.unionByName(table.agg(F.count_if("positive").alias("positive"), F.count_if("pending").alias("pending")), allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])

@@ -113,24 +113,21 @@ def tool_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quote_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item, document) pairs in which the passage stands word for word.
 
-    Passages meet documents by their longest word and are then looked up, so no
-    pair is formed without a shared word.
+    Passages meet documents by one of their words, and only (document, word)
+    rows take part in that join; candidates then meet their texts.
     """
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    words = lambda c: F.split(F.col(c), r"\s+")
-    # The word at a passage's ends may go on in the document; those between cannot.
-    inner = F.filter(F.slice(words("text"), 2, F.greatest(F.lit(0), F.size(words("text")) - 2)), lambda w: w != "")
+    words = F.split(F.col("text"), r"\s+")
+    # The words at a passage's ends may go on in the document; those between cannot. Long words are rarer.
+    inner = F.filter(F.slice(words, 2, F.greatest(F.lit(0), F.size(words) - 2)), lambda w: w != "")
     rarest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
-    asked = items.select("item_id", F.col("text").alias("passage"), rarest.alias("word"))
-    asked = asked.where("word IS NOT NULL")
-    bounded = asked.limit(100_000)
-    held = docs.select("doc_id", "text", F.explode(F.array_intersect(F.array_distinct(words("text")), _vocabulary(bounded))).alias("word"))
-    return held.join(asked, "word").where(F.contains("text", "passage")).select("item_id", "doc_id").distinct()
-
-
-def _vocabulary(asked: DataFrame):
-    """The words that passages are looked up by, as a literal array, where few enough."""
-    return F.array(*[F.lit(r["word"]) for r in asked.select("word").distinct().collect()])
+    # A passage of fewer than three words has no such word and is an error.
+    none = F.raise_error(F.lit("passages need three words at least")).cast("string")
+    asked = items.select("item_id", F.when(F.size(inner) > 0, rarest).otherwise(none).alias("word"))
+    held = docs.select("doc_id", F.explode(F.array_distinct(words)).alias("word"))
+    met = held.join(asked, "word").select("item_id", "doc_id")
+    texts = met.join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", F.col("text").alias("passage")), "item_id")
+    return texts.where(F.contains("text", "passage")).select("item_id", "doc_id").distinct()
 
 
 def quote_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
