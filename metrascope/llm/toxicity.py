@@ -31,7 +31,7 @@ from .common import read, text_split
 from .labelled import keep_documents, labelled_sample, score_documents
 
 #: Labelled documents of either label that a fit may use at most.
-PER_CLASS = 4000
+PER_CLASS = 2000
 #: Weights are held by hash of a feature, modulo this number.
 BUCKETS = 1 << 17
 #: Lengths of the beginnings of words that are features beside the whole word.
@@ -74,7 +74,7 @@ def split_sentences(texts) -> tuple:
     new[1:] = ends[:-1]
     new[offsets[:-1]] = True
     sentence = np.cumsum(new) - 1
-    return distinct, index, sentence, np.repeat(np.arange(len(texts)), np.diff(offsets))[new]
+    return distinct, index, sentence.astype(np.int32), np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(offsets))[new]
 
 
 class ToxicityModel:
@@ -144,11 +144,10 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 150, rate: float = 0.1
     feature = np.array([f for fs in told for f in fs], np.int64)
     word = np.repeat(np.arange(len(distinct)), [len(fs) for fs in told])
     # Features of under LEAST_DOCS documents tell these documents apart and nothing else.
-    pairs = np.unique(index.astype(np.int64) * len(y) + doc[sentence])
-    first = np.concatenate([[0], np.cumsum([len(fs) for fs in told])])
-    n = np.diff(first)[pairs // len(y)]
-    at = np.repeat(first[:-1][pairs // len(y)] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    seen = np.bincount(np.unique(feature[at] * len(y) + np.repeat(pairs % len(y), n)) // len(y), minlength=BUCKETS)
+    seen, places = np.zeros(BUCKETS, np.int64), np.searchsorted(doc[sentence], np.arange(len(y) + 1))
+    for a, b in zip(places[:-1], places[1:], strict=True):
+        seen[list({f for i in np.unique(index[a:b]).tolist() for f in told[i]})] += 1
+    del told
     word, feature = word[seen[feature] >= LEAST_DOCS], feature[seen[feature] >= LEAST_DOCS]
     used, feature = np.unique(feature, return_inverse=True)
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
