@@ -58,27 +58,32 @@ def complete() -> Column:
     return F.coalesce(F.col("total").isNotNull() & (F.col("missing") == 0) & ~F.col("truncated"), F.lit(False))
 
 
-def inequality(outputs: DataFrame, keys: list[str], value: str, shares: dict[str, float], gini_name: str) -> DataFrame:
-    """Gini and top shares of ``value`` over the rows of each key.
+def inequality(outputs: DataFrame, keys: list[str], measures: dict[str, tuple[str, dict[str, float]]]) -> DataFrame:
+    """Gini and top shares over the rows of each key.
 
-    Equal values become one row with a count; running counts over these rows,
-    ascending for Gini and descending for the shares, stand for ranks.
+    ``measures``: value column -> (name of its Gini, names and proportions of
+    its top shares). Equal values become one row with a count; running counts
+    over these rows stand for ranks. All measures share one shuffle.
     """
-    levels = outputs.groupBy(*keys, F.round(value, 9).alias("x")).agg(F.count(F.lit(1)).cast("double").alias("m"))
-    up = W.partitionBy(*keys).orderBy("x").rowsBetween(W.unboundedPreceding, W.currentRow)
-    whole = W.partitionBy(*keys)
+    each = F.array(*[F.struct(F.lit(v).alias("measure"), F.round(v, 9).alias("x")) for v in measures])
+    levels = outputs.select(*keys, F.explode(each).alias("e")).groupBy(*keys, "e.measure", "e.x").agg(F.count(F.lit(1)).cast("double").alias("m"))
+    own = [*keys, "measure"]
+    up = W.partitionBy(*own).orderBy("x").rowsBetween(W.unboundedPreceding, W.currentRow)
+    whole = W.partitionBy(*own)
     levels = levels.withColumns({"upto": F.sum("m").over(up), "n": F.sum("m").over(whole), "total": F.sum(F.col("m") * F.col("x")).over(whole)})
-    # Ranks of a level run from upto - m + 1 to upto; the sum of 2 i - n - 1 over them is m (2 upto - m - n).
-    weighted = F.sum(F.col("x") * F.col("m") * (2 * F.col("upto") - F.col("m") - F.col("n")))
-    gini = F.coalesce(weighted / F.nullif(F.max("n") * F.max("total"), F.lit(0.0)), F.lit(0.0))
-
-    def share(p: float) -> Column:
-        # Of the k authors on top, a level gives those that higher levels leave.
-        k = F.greatest(F.lit(1.0), F.ceil(F.lit(p).cast("double") * F.col("n")).cast("double"))
-        taken = F.greatest(F.lit(0.0), F.least(F.col("m"), k - (F.col("n") - F.col("upto"))))
-        return F.coalesce(F.sum(taken * F.col("x")) / F.nullif(F.max("total"), F.lit(0.0)), F.lit(0.0))
-
-    return levels.groupBy(*keys).agg(gini.alias(gini_name), *[share(p).alias(name) for name, p in shares.items()])
+    of = lambda v, c: F.when(F.col("measure") == v, c)
+    whole_of = lambda v: F.nullif(F.max(of(v, F.col("total"))), F.lit(0.0))
+    told = []
+    for v, (gini, shares) in measures.items():
+        # Ranks of a level run from upto - m + 1 to upto; the sum of 2 i - n - 1 over them is m (2 upto - m - n).
+        weighted = F.sum(of(v, F.col("x") * F.col("m") * (2 * F.col("upto") - F.col("m") - F.col("n"))))
+        told.append(F.coalesce(weighted / (F.max(of(v, F.col("n"))) * whole_of(v)), F.lit(0.0)).alias(gini))
+        for name, p in shares.items():
+            # Of the k authors on top, a level gives those that higher levels leave.
+            k = F.greatest(F.lit(1.0), F.ceil(F.lit(p).cast("double") * F.col("n")).cast("double"))
+            taken = F.greatest(F.lit(0.0), F.least(F.col("m"), k - (F.col("n") - F.col("upto"))))
+            told.append(F.coalesce(F.sum(of(v, taken * F.col("x"))) / whole_of(v), F.lit(0.0)).alias(name))
+    return levels.groupBy(*keys).agg(*told)
 
 
 def annual_metrics(papers: DataFrame, start: int | None = None, end: int | None = None, minimum_lookback: int = 5, subfields: bool = True, require_complete: bool = False, overall: bool = True) -> DataFrame:
@@ -88,6 +93,7 @@ def annual_metrics(papers: DataFrame, start: int | None = None, end: int | None
     analysed; columns on coverage still describe the whole frame. First years
     of authors come from all papers.
     """
+    papers = papers.persist()  # four branches read the rebuilt papers; lost parts are computed again
     span = papers.agg(F.min("year").alias("low"), F.max("year").alias("high")).first()
     start = span.low + minimum_lookback if start is None else start
     end = span.high if end is None else end
@@ -122,9 +128,8 @@ def annual_metrics(papers: DataFrame, start: int | None = None, end: int | None
         ratio(F.count_if(age <= 3), m).alias("early_career_share_0_3"), F.median(age).alias("median_observed_math_age"),
         ratio(F.count_if(F.col("first_year") == span.low), m).alias("left_censored_author_share"))
     tops = {f"top_{round(100 * p)}pct_fractional_share": p for p in (0.01, 0.05, 0.10)}
-    fractional = inequality(outputs, keys, "fractional", tops, "gini_fractional_output")
-    full = inequality(outputs, keys, "full", {"top_10pct_full_count_share": 0.10}, "gini_full_count_output")
-    joined = by_paper.join(by_author, keys).join(fractional, keys).join(full, keys)
+    unequal = inequality(outputs, keys, {"fractional": ("gini_fractional_output", tops), "full": ("gini_full_count_output", {"top_10pct_full_count_share": 0.10})})
+    joined = by_paper.join(by_author, keys).join(unequal, keys)
     return joined.withColumn("fractional_output_per_author", ratio(F.col("n_papers"), F.col("n_active_authors"))).select(*FIELDS)
 
 

@@ -52,7 +52,7 @@ def test_duplicates_and_completeness(spark, tmp_path):
 def test_inequality_of_known_values(spark):
     def of(*values):
         df = spark.createDataFrame([(1, float(v)) for v in values], "g int, v double")
-        return C.inequality(df, ["g"], "v", {"top": 0.10}, "gini").first()
+        return C.inequality(df, ["g"], {"v": ("gini", {"top": 0.10})}).first()
 
     assert of(1, 1).gini == 0
     assert of(0, 2).gini == pytest.approx(0.5)
