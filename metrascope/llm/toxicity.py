@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,7 +44,7 @@ LONGEST = 64
 _EDGE = re.compile(r"^\W+|\W+$")
 _ENDS = (".", "!", "?", "\n")
 #: Bytes of text handled at a time.
-_SLICE = 8 << 20
+_SLICE = 4 << 20
 
 
 def word_features(piece: str) -> list[int]:
@@ -93,7 +94,7 @@ class ToxicityModel:
         import numpy as np
 
         known, out = self.known, np.empty(len(pieces))
-        if len(known) > 500_000:
+        if len(known) > 200_000:
             known.clear()
         for i, x in enumerate(pieces):
             worth = known.get(x)
@@ -140,14 +141,21 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 150, rate: float = 0.1
     if not len(y) or y.min() == y.max():
         return ToxicityModel(constant=float(y.mean()) if len(y) else 0.5)
     distinct, index, sentence, doc = split_sentences(pa.array(texts, pa.string()))
-    told = [word_features(x) for x in distinct]
-    feature = np.array([f for fs in told for f in fs], np.int64)
-    word = np.repeat(np.arange(len(distinct)), [len(fs) for fs in told])
+    held, n_features = array("i"), np.zeros(len(distinct), np.int64)
+    for i, piece in enumerate(distinct):
+        own = word_features(piece)
+        held.extend(own)
+        n_features[i] = len(own)
+    feature, first = np.frombuffer(held, np.int32) if held else np.zeros(0, np.int32), np.concatenate([[0], np.cumsum(n_features)])
+    word = np.repeat(np.arange(len(distinct), dtype=np.int32), n_features)
+    distinct = len(distinct)
     # Features of under LEAST_DOCS documents tell these documents apart and nothing else.
     seen, places = np.zeros(BUCKETS, np.int64), np.searchsorted(doc[sentence], np.arange(len(y) + 1))
     for a, b in zip(places[:-1], places[1:], strict=True):
-        seen[list({f for i in np.unique(index[a:b]).tolist() for f in told[i]})] += 1
-    del told
+        words = np.unique(index[a:b])
+        n = n_features[words]
+        at = np.repeat(first[words] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        seen[np.unique(feature[at])] += 1
     word, feature = word[seen[feature] >= LEAST_DOCS], feature[seen[feature] >= LEAST_DOCS]
     used, feature = np.unique(feature, return_inverse=True)
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
@@ -155,14 +163,14 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 150, rate: float = 0.1
     theta[-1] = b
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, rounds + 1):
-        worth = np.bincount(word, theta[feature], len(distinct))
+        worth = np.bincount(word, theta[feature], distinct)
         z = theta[-1] + np.bincount(sentence, worth[index], len(doc))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         clean = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(y))  # log of the product
         bag = np.clip(-np.expm1(clean), 1e-9, 1)
         # d loss / d z of a sentence: p for clean documents, -p (1 - bag) / bag for toxic ones.
         slope = p * (weight * np.where(y > 0, -np.exp(clean) / bag, 1.0))[doc]
-        own = np.bincount(index, slope[sentence], len(distinct))
+        own = np.bincount(index, slope[sentence], distinct)
         grad = np.concatenate([np.bincount(feature, own[word], len(used)), [slope.sum()]])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         pace = rate / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)
