@@ -44,7 +44,8 @@ def _cut(block: int, id_type: pa.DataType):
         base = TaskContext.get().partitionId() << 36
         rows = refs = held = 0
         seen: dict[bytes, int] = {}
-        for batch in batches:
+        # A few texts at a time become Python's strings.
+        for batch in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
             out: list[list] = [[] for _ in schema]
             size = 0
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -63,7 +64,7 @@ def _cut(block: int, id_type: pa.DataType):
                 rows += 1
                 if held > SEEN_BYTES:
                     seen, held = {}, 0
-                if size > 16 << 20 or len(out[0]) > 50_000:
+                if size > 8 << 20 or len(out[0]) > 50_000:
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
                     out, size = [[] for _ in schema], 0
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
