@@ -39,38 +39,97 @@ BUCKETS = 1 << 17
 PREFIXES = (3, 4, 5, 6)
 #: Documents of the sample that have a feature, at least.
 LEAST_DOCS = 5
-#: Beginnings longer than this are not told apart, and longer words not held.
+#: Characters of a piece at most; longer ones are cut.
 LONGEST = 64
 _EDGE = re.compile(r"^\W+|\W+$")
-_ENDS = (".", "!", "?", "\n")
+_ENDS = (".", "!", "?", "\n", "。", "！", "？", "｡")
+#: White space beside the space and the line feed (for RE2), and ends of sentences that no space follows.
+_ODD_SPACE = r"[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_WIDE_END = r"([。！？｡])([^\s。！？｡])"
+#: Scripts that are written without spaces: Thai to Tibetan, Burmese, Khmer, kana, Han.
+_UNSPACED = re.compile(r"[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9d\U00020000-\U0003ffff]")
+#: Punctuation after which long pieces are cut, with what stands before it.
+_MARKS = r"!-/:-@\[-`{-~\u2010-\u206f\u3001-\u303f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65"
+_RUN = re.compile(rf"[^{_MARKS}]*[{_MARKS}]+|[^{_MARKS}]+")
 #: Bytes of text handled at a time.
 _SLICE = 4 << 20
 
 
 def word_features(piece: str) -> list[int]:
-    """Buckets of a piece of text between spaces."""
-    word = _EDGE.sub("", piece.lower())[:LONGEST]
+    """Buckets of a piece of text between spaces.
+
+    A word gives itself and its beginnings. Where words cannot be told (scripts
+    without spaces, pieces of ``LONGEST`` characters), the strings of two to six
+    characters at every place count; the longer ones are named like beginnings.
+    """
+    low = piece.lower()
+    word = _EDGE.sub("", low)
     if not word:
         return []
-    names = {"w" + word, *(f"p{word[:n]}" for n in PREFIXES if len(word) > n)}
+    if len(piece) >= LONGEST or not piece.isascii() and _UNSPACED.search(piece):
+        names = {"w" + word, *(f"c{low[i : i + 2]}" for i in range(len(low) - 1))}
+        names.update(f"p{low[i : i + n]}" for n in PREFIXES for i in range(len(low) - n + 1))
+    else:
+        names = {"w" + word, *(f"p{word[:n]}" for n in PREFIXES if len(word) > n)}
     return [zlib.crc32(x.encode()) % BUCKETS for x in sorted(names)]
 
 
+def cut_piece(piece: str) -> tuple[list[str], list[bool]]:
+    """The parts of a long piece, and whether a sentence ends after each.
+
+    It is cut after punctuation. Parts that are still long become windows of
+    ``LONGEST`` characters, each a sentence; neighbours overlap, so
+    that no string of up to six characters is lost between them.
+    """
+    parts, ends = [], []
+    for run in _RUN.findall(piece):
+        if len(run) <= LONGEST:
+            parts.append(run)
+            ends.append(False)
+            continue
+        # The last window is whole, too, and so treated like the others.
+        starts = [*range(0, len(run) - LONGEST, LONGEST - max(PREFIXES) + 1), len(run) - LONGEST]
+        parts += [run[k : k + LONGEST] for k in starts]
+        ends += [True] * len(starts)
+    ends[-1] = ends[-1] or piece.endswith(_ENDS)
+    return parts, ends
+
+
 def split_sentences(texts) -> tuple:
     """(distinct pieces, piece of each place, sentence of each place, document of each sentence).
 
-    Sentences end after a piece that ends in . ! or ?, and at line feeds. Every
-    document has one sentence at least.
+    Pieces stand between white space of any kind; those over ``LONGEST``
+    characters are cut by ``cut_piece``. Sentences end after a piece that ends
+    in . ! or ? (or their wide forms, which no space need follow), and at line
+    feeds. Every document has one sentence at least.
     """
     import numpy as np
     import pyarrow.compute as pc
 
     texts = pc.fill_null(texts, "").cast(pa.large_string())
+    if pc.any(pc.match_substring_regex(texts, _ODD_SPACE)).as_py():
+        texts = pc.replace_substring_regex(texts, _ODD_SPACE, " ")
+    if pc.any(pc.match_substring_regex(texts, _WIDE_END)).as_py():
+        texts = pc.replace_substring_regex(texts, _WIDE_END, r"\1 \2")
     split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n "), " ")
     pieces = split.flatten().dictionary_encode()
     distinct, index = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
     offsets = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
-    ends = np.fromiter((x.endswith(_ENDS) for x in distinct), bool, len(distinct))[index]
+    ends = np.fromiter((x.endswith(_ENDS) for x in distinct), bool, len(distinct))
+    long = [i for i, x in enumerate(distinct) if len(x) > LONGEST]
+    if long:
+        first, n, more = np.arange(len(distinct), dtype=np.int32), np.ones(len(distinct), np.int32), []
+        for i in long:
+            parts, after = cut_piece(distinct[i])
+            first[i], n[i], distinct[i] = len(distinct), len(parts), ""
+            distinct += parts
+            more += after
+        ends = np.concatenate([ends, np.array(more, bool)])
+        times = n[index]
+        at = np.concatenate([[0], np.cumsum(times, dtype=np.int64)])
+        index = (np.repeat(first[index] - at[:-1], times) + np.arange(at[-1])).astype(np.int32)
+        offsets = at[offsets]
+    ends = ends[index]
     new = np.zeros(len(index), bool)
     new[1:] = ends[:-1]
     new[offsets[:-1]] = True
@@ -190,7 +249,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_co
 
 
 def locate_sentences(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """id, sentence (number), text, probability of every sentence of at least that probability."""
+    """id, sentence (number), text (parts and white space as words between spaces), probability of every sentence of at least that probability."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = docs.schema[id_col].dataType

@@ -331,3 +331,50 @@ def test_labels_with_nulls_and_repeats(spark, docs):
 
     got = sorted((r["_doc"], r["label"]) for r in labelled_sample(docs, labels, "toxic", F.lit(True), 10).collect())
     assert got == [(1, 1), (1, 1), (9, 0)]
+
+
+def insulting(join, word="nastya"):
+    """A line of 40 words, the last but one of them toxic."""
+    return join.join([*(f"word{k}" for k in range(38)), word, "word39"])
+
+
+@pytest.fixture(scope="module")
+def toxic_model():
+    texts, toxic, _ = labelled()
+    return toxicity.fit(texts, toxic)
+
+
+@pytest.mark.parametrize("join", ["\t", "\r", "\x0c", "\xa0", "\u3000", ",", "/", "_", ""])
+def test_toxic_words_count_wherever_they_stand(spark, toxic_model, join):
+    """Behind tabs and other white space, behind punctuation, and in a run without spaces."""
+    import pyarrow as pa
+
+    bad, clean, spaced = toxic_model.score(pa.array([insulting(join), insulting(join, "word38"), insulting(" ")]))["score"]
+    assert bad > 10 * clean and (not join.isspace() or bad == pytest.approx(spaced))
+    df = spark.createDataFrame([(1, insulting(join)), (2, insulting(join, "word38"))], "doc_id long, text string")
+    found = toxicity.locate_sentences(df, toxic_model, least=min(bad * 0.9, 0.5)).collect()
+    assert {r.doc_id for r in found} == {1} and any("nasty" in r.text for r in found)
+
+
+def test_toxicity_of_texts_without_spaces():
+    """An insult anywhere in lines of Han characters without punctuation, and sentences by their own full stop."""
+    import pyarrow as pa
+
+    draw = np.random.default_rng(8)
+    chars = [chr(0x4E00 + k) for k in range(200)]
+    line = lambda n: "".join(draw.choice(chars, n))
+    make = lambda bad: line(int(draw.integers(70, 150))) + ("龘靐" if bad else "") + line(20)
+    toxic = [k % 3 == 0 for k in range(450)]
+    texts = [make(t) for t in toxic]
+    score = toxicity.fit(texts[:300], toxic[:300]).score(pa.array(texts[300:]))["score"]
+    assert ((score >= 0.5) == np.array(toxic[300:])).mean() > 0.95
+    assert toxicity.split_sentences(pa.array(["一二。三四！五", "a b"]))[3].tolist() == [0, 0, 0, 1]
+
+
+def test_cut_pieces_are_whole():
+    for piece in ("ab" * 500, "x" * 65, "a," * 100, "http://a.b/" + "c" * 300 + "?" + "d" * 10, "。" * 70):
+        parts, ends = toxicity.cut_piece(piece)
+        assert len(parts) == len(ends) and max(map(len, parts)) <= 64
+        grams = lambda t: {t[i : i + 6] for i in range(len(t) - 5)}
+        runs = toxicity._RUN.findall(piece)
+        assert "".join(runs) == piece and all(grams(r) <= set().union(*map(grams, parts)) for r in runs)
