@@ -9,6 +9,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _told(labels: DataFrame, label: str, training: Column, id_col: str) -> DataFrame:
+    """id, label: one row of each document with a label for training."""
+    return labels.where(training & F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).groupBy(id_col).agg(F.max(label).cast("int").alias("label"))
+
+
+def label_counts(docs: DataFrame, labels: DataFrame, label: str, training: Column, id_col: str = "doc_id") -> tuple[int, int]:
+    """How many rows of ``docs`` have either label for training: all of them, not those of a sample. Only ids are shuffled."""
+    rows = docs.groupBy(F.col(id_col).alias("_id")).agg(F.count(F.lit(1)).alias("n"))
+    told = _told(labels, label, training, id_col)
+    found = dict(told.join(rows, F.col(id_col) == F.col("_id")).groupBy("label").agg(F.sum("n")).collect())
+    return found.get(0, 0), found.get(1, 0)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training: Column, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(text, label) of at most ``per_class`` documents of either label, chosen by a hash of their ids.
 
@@ -16,7 +29,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training: Co
     one document, the largest label counts. The sample of ids has at most twice
     ``per_class`` rows and so is broadcast; texts are never shuffled.
     """
-    told = labels.where(training & F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).groupBy(id_col).agg(F.max(label).cast("int").alias("label"))
+    told = _told(labels, label, training, id_col)
     order = [F.xxhash64(F.col(id_col).cast("string")), F.col(id_col)]
     ids = [told.where(F.col("label") == k).orderBy(*order).limit(per_class) for k in (0, 1)]
     chosen = ids[0].unionByName(ids[1]).select(F.col(id_col).alias("_id"), "label")

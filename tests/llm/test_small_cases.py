@@ -378,3 +378,28 @@ def test_cut_pieces_are_whole():
         grams = lambda t: {t[i : i + 6] for i in range(len(t) - 5)}
         runs = toxicity._RUN.findall(piece)
         assert "".join(runs) == piece and all(grams(r) <= set().union(*map(grams, parts)) for r in runs)
+
+
+def test_quality_threshold_does_not_depend_on_the_sample(spark):
+    """Overlapping scores, 9 of 10 rows good: a sample of as many of either label cuts near where all rows do."""
+    draw = np.random.default_rng(9)
+    rows = []
+    for k in range(8000):
+        poor = k % 10 == 0
+        marks = draw.random() < (0.8 if poor else 0.2)
+        words = [f"word{draw.integers(300)}{'!' if marks and draw.random() < draw.random() else ''}" for _ in range(40)]
+        rows.append((k, " ".join(words), int(not poor)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(4).cache()
+    import pyarrow as pa
+
+    texts = pa.array([t for _, t, _ in rows])
+    share = lambda model: float((model.score(texts)["score"] < 0.5).mean())
+    every, part = (share(quality.fit_on(df.drop("quality"), df.drop("text"), n)) for n in (10_000, 800))
+    assert abs(every - 0.1) < 0.01 and abs(part - 0.1) < 0.05
+
+
+def test_label_counts(spark, docs):
+    from metrascope.llm.labelled import label_counts
+
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (9, 0), (10, 5), (77, 0)], "doc_id long, toxic int")
+    assert label_counts(docs, labels, "toxic", F.lit(True)) == (1, 2)
