@@ -16,6 +16,9 @@ sequence by (length, rank) in the table of placements. That table has some
 thousand rows; Spark broadcasts it only below its own size threshold, and
 otherwise shuffles both sides.
 
+Ids are those of the ``tokenizers`` library by default: a control string in a
+text is its own token.
+
 Defined results: null text counts as empty and is one token, the end mark;
 repeated rows and null ids are packed like any others; extra columns are
 ignored; an empty table gives an empty result.
@@ -48,7 +51,7 @@ def _tokenize(path: str, capacity: int, end_id: int, id_type: pa.DataType):
 
         from .tokens import library_encoder
 
-        encoder, part = library_encoder(path), TaskContext.get().partitionId()
+        encoder, part = library_encoder(path, added=True), TaskContext.get().partitionId()
         ranks = [0] * (capacity + 1)
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]

@@ -24,12 +24,14 @@ _SPLIT = 8 << 20
 class TextEncoder:
     """Little-endian unsigned 32-bit ids of texts, as bytes.
 
-    ``encode_many`` gives them for a list of strings. A worker holds those of
+    ``encode_many`` gives them for a list of strings. ``added`` tokens are found
+    in texts before anything else, and what stands between them is encoded as
+    texts of their own. A worker holds those of
     up to ``most`` pieces of at most 64 characters.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], most: int = 500_000):
-        self.encode_many, self.most = encode_many, most
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], most: int = 500_000, added: dict[str, int] | None = None):
+        self.encode_many, self.most, self.added = encode_many, most, added or {}
         self.pieces: dict[str, bytes] = {}
         self.feed = encode_many(["\n"])[0]
 
@@ -40,6 +42,24 @@ class TextEncoder:
         import pyarrow.compute as pc
 
         texts = pc.fill_null(texts, "").cast(pa.large_string())
+        found = np.zeros(len(texts), bool)
+        for content in self.added:
+            found |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        if not found.any():
+            yield from self._plain(texts)
+            return
+        # Of several tokens that start at one place, the longest counts.
+        any_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
+        cut = [any_added.split(x) if f else [x] for f, x in zip(found.tolist(), texts.to_pylist(), strict=True)]
+        ids = self._plain(pa.array([x for parts in cut for x in parts[::2]], pa.large_string()))
+        marks = {x: i.to_bytes(4, "little") for x, i in self.added.items()}
+        for parts in cut:
+            yield b"".join(marks[x] if k % 2 else next(ids) for k, x in enumerate(parts))
+
+    def _plain(self, texts) -> Iterator[bytes]:
+        import numpy as np
+        import pyarrow.compute as pc
+
         ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
         at = 0
         while at < len(texts):
@@ -148,12 +168,25 @@ def held(key: tuple, make: Callable):
     return _held[key]
 
 
-def library_encoder(path: str) -> TextEncoder:
-    """Ids as the ``tokenizers`` library gives them for this file, control strings being ordinary text.
+def added_tokens(path: str) -> dict[str, int]:
+    """content -> id of a tokenizer file's added tokens; refuses those that take in more than their own characters."""
+    with open(path, encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    if any(x["single_word"] or x["lstrip"] or x["rstrip"] for x in tokens):
+        raise ValueError(f"{path} has added tokens that depend on what stands around them")
+    return {x["content"]: x["id"] for x in tokens}
+
+
+def library_encoder(path: str, added: bool = False) -> TextEncoder:
+    """Ids as the ``tokenizers`` library gives them for this file.
+
+    With ``added``, as by the library's default: control strings in a text are
+    their own tokens. Otherwise (the library's ``encode_special_tokens``) they
+    are ordinary text.
 
     The library takes about 1 s a MB. As the file's merges are in the order of
     their ids, merging by rank gives the same ids; tests hold both against each other.
     """
     import public_tokenizers
 
-    return held(("json", path), lambda: TextEncoder(rank_encoder(_json_ranks(path), public_tokenizers.PATTERN)))
+    return held(("json", path, added), lambda: TextEncoder(rank_encoder(_json_ranks(path), public_tokenizers.PATTERN), added=added_tokens(path) if added else None))

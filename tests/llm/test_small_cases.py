@@ -403,3 +403,20 @@ def test_label_counts(spark, docs):
 
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (9, 0), (10, 5), (77, 0)], "doc_id long, toxic int")
     assert label_counts(docs, labels, "toxic", F.lit(True)) == (1, 2)
+
+
+def test_control_strings_are_tokens_as_by_the_librarys_default(spark):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    tokenizer, encoder = Tokenizer.from_file(path), library_encoder(path, added=True)
+    draw = np.random.default_rng(10)
+    parts = [" ", "  ", "\n", "a", "B", "é", ".", "1", "'s", "\xa0", "中", "   ", "<|endoftext|>", "<|endoftext|>", "<|endof", "text|>"]
+    texts = ["<|endoftext|>", "", *("".join(draw.choice(parts, int(draw.integers(0, 9)))) for _ in range(3000))]
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert want[0] == [50256]
+    assert [list(memoryview(b).cast("I")) for b in encoder.texts(pa.array(texts))] == want
+    rows = packing.pack(spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string"), path).collect()
+    ids = tokenizer.encode("a <|endoftext|> b", add_special_tokens=False).ids + [0]
+    assert [(r.length, r.ids_crc32) for r in rows] == [(len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))]
