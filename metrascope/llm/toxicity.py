@@ -32,7 +32,7 @@ from .common import read, text_split
 from .labelled import keep_documents, labelled_sample, score_documents
 
 #: Labelled documents of either label that a fit may use at most.
-PER_CLASS = 2000
+PER_CLASS = 4000
 #: Weights are held by hash of a feature, modulo this number.
 BUCKETS = 1 << 17
 #: Lengths of the beginnings of words that are features beside the whole word.
@@ -53,6 +53,8 @@ _MARKS = r"!-/:-@\[-`{-~\u2010-\u206f\u3001-\u303f\uff01-\uff0f\uff1a-\uff20\uff
 _RUN = re.compile(rf"[^{_MARKS}]*[{_MARKS}]+|[^{_MARKS}]+")
 #: Bytes of text handled at a time.
 _SLICE = 4 << 20
+#: Texts, and places of pieces, that a fit handles at a time.
+_TEXTS, _PLACES = 256, 1 << 18
 
 
 def word_features(piece: str) -> list[int]:
@@ -199,15 +201,26 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 150, rate: float = 0.1
     y = np.array(toxic, float)
     if not len(y) or y.min() == y.max():
         return ToxicityModel(constant=float(y.mean()) if len(y) else 0.5)
-    distinct, index, sentence, doc = split_sentences(pa.array(texts, pa.string()))
-    held, n_features = array("i"), np.zeros(len(distinct), np.int64)
-    for i, piece in enumerate(distinct):
-        own = word_features(piece)
-        held.extend(own)
-        n_features[i] = len(own)
+    # A few texts at a time become numbers, so that their pieces are never held all at once.
+    number, held, n_features, parts = {}, array("i"), array("i"), []
+    sentences = 0
+    for k in range(0, len(texts), _TEXTS):
+        pieces, index, sentence, doc = split_sentences(pa.array(texts[k : k + _TEXTS], pa.string()))
+        own = np.zeros(len(pieces), np.int32)
+        for i, piece in enumerate(pieces):
+            if (at := number.get(piece)) is None:
+                at = number[piece] = len(number)
+                found = word_features(piece)
+                held.extend(found)
+                n_features.append(len(found))
+            own[i] = at
+        parts.append((own[index], sentence + np.int32(sentences), doc + np.int32(k)))
+        sentences += len(doc)
+    index, sentence, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+    distinct, n_features = len(number), np.array(n_features, np.int64)
+    del parts, number
     feature, first = np.frombuffer(held, np.int32) if held else np.zeros(0, np.int32), np.concatenate([[0], np.cumsum(n_features)])
-    word = np.repeat(np.arange(len(distinct), dtype=np.int32), n_features)
-    distinct = len(distinct)
+    word = np.repeat(np.arange(distinct, dtype=np.int32), n_features)
     # Features of under LEAST_DOCS documents tell these documents apart and nothing else.
     seen, places = np.zeros(BUCKETS, np.int64), np.searchsorted(doc[sentence], np.arange(len(y) + 1))
     for a, b in zip(places[:-1], places[1:], strict=True):
@@ -221,15 +234,21 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 150, rate: float = 0.1
     theta, b = np.zeros(len(used) + 1), -math.log(4 * max(1.0, len(doc) / len(y)))
     theta[-1] = b
     m, v = np.zeros_like(theta), np.zeros_like(theta)
+    slices = [slice(k, k + _PLACES) for k in range(0, len(index), _PLACES)]
     for step in range(1, rounds + 1):
         worth = np.bincount(word, theta[feature], distinct)
-        z = theta[-1] + np.bincount(sentence, worth[index], len(doc))
+        z = np.full(len(doc), theta[-1])
+        for k in slices:
+            low, high = sentence[k][0], sentence[k][-1] + 1
+            z[low:high] += np.bincount(sentence[k] - low, worth[index[k]], high - low)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         clean = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(y))  # log of the product
         bag = np.clip(-np.expm1(clean), 1e-9, 1)
         # d loss / d z of a sentence: p for clean documents, -p (1 - bag) / bag for toxic ones.
         slope = p * (weight * np.where(y > 0, -np.exp(clean) / bag, 1.0))[doc]
-        own = np.bincount(index, slope[sentence], distinct)
+        own = np.zeros(distinct)
+        for k in slices:
+            own += np.bincount(index[k], slope[sentence[k]], distinct)
         grad = np.concatenate([np.bincount(feature, own[word], len(used)), [slope.sum()]])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         pace = rate / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)

@@ -405,6 +405,28 @@ def test_label_counts(spark, docs):
     assert label_counts(docs, labels, "toxic", F.lit(True)) == (1, 2)
 
 
+def test_all_of_4000_toxic_documents_take_part(spark):
+    """A word in 6 of 4,000 toxic documents needs them all to reach LEAST_DOCS."""
+    from metrascope.llm.labelled import labelled_sample
+
+    assert toxicity.PER_CLASS >= 4000
+    n = 4000
+    docs = spark.range(n).selectExpr("id AS doc_id", "'x' AS text")
+    labels = spark.range(n).selectExpr("id AS doc_id", "1 AS toxic")
+    assert labelled_sample(docs, labels, "toxic", F.lit(True), toxicity.PER_CLASS).count() == n
+
+
+def test_fit_does_not_depend_on_slices(monkeypatch):
+    texts, toxic, _ = labelled(200)
+    fits = []
+    for most in ((256, 1 << 18), (7, 50)):
+        monkeypatch.setattr(toxicity, "_TEXTS", most[0])
+        monkeypatch.setattr(toxicity, "_PLACES", most[1])
+        fits.append(toxicity.fit(texts, toxic, rounds=40))
+    np.testing.assert_allclose(fits[0].weights, fits[1].weights, atol=1e-4)
+    assert fits[0].intercept == pytest.approx(fits[1].intercept, abs=1e-4)
+
+
 def test_control_strings_are_tokens_as_by_the_librarys_default(spark):
     import pyarrow as pa
     from tokenizers import Tokenizer
