@@ -131,11 +131,9 @@ def quote_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quote_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How the first 120 characters of each passage stand in the documents that hold it, one blank doubled and one letter changed."""
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    met = quote_containment(spark, sf_dir).join(items.select("item_id", F.col("text").alias("quote")), "item_id").join(docs.select("doc_id", "text"), "doc_id")
-    bent = F.concat(F.left("quote", F.lit(40)), F.lit("  x"), F.substring("quote", 41, 80))
-    return Q.match_quotes(met.withColumn("quote", bent)).select("item_id", "doc_id", "matched", "method", "score")
+    """The documents in which each whole passage stands: exactly, without hyphens, or nearly."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return Q.quotes_in(items, table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def stripped_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
