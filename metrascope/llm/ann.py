@@ -1,28 +1,40 @@
 """Nearest neighbours by cosine with multi-index hashing.
 
-Vectors become binary codes of 64 bits: signs after a learned rotation (PCA,
-then iterative quantisation). A code is split into four substrings, each with
-an index. Of two codes within a Hamming radius r, some substring differs in at
-most r // 4 bits (pigeonhole): probing all substrings that near a query's finds
-every code within r. Those candidates are ranked by the cosine of the original
-vectors in double precision.
+Vectors become binary codes of 128 bits: signs after a learned rotation (PCA,
+then iterative quantisation). A code is split into eight substrings, each with
+an index. Of two codes within a Hamming radius r = 8 s + t, one of the first
+t + 1 substrings differs in at most s bits, or one of the others in at most
+s - 1 (pigeonhole): probing the indexes for substrings that near a query's
+finds every code within r. Those candidates are ranked by the cosine of the
+original vectors in double precision.
 
 Rotation and radius come from at most ``SAMPLE`` vectors: the radius takes in
 ``COVER`` of the sample's own nearest neighbours, which are farther than those
-among all rows. Every row is indexed, in blocks of rows; queries visit all
-blocks, so that a task holds one block of each. Queries that find fewer than k
-within the radius are searched again in full.
+among all rows. Every row is indexed. There are two ways to probe, which find
+the same rows:
+
+* A radius that takes at most ``PROBES`` keys of a substring is probed by an
+  equi-join: rows are listed by (substring, key), queries by the keys that they
+  probe. Work is in proportion to rows, queries and what they find.
+* A wider radius takes more keys than a join should list. Rows are dealt to
+  blocks, queries to others; a task holds one block of each, indexes its rows
+  and probes for its queries.
+
+Queries that find fewer than k within the radius are searched again in full.
+Of equal vectors only the k + 1 smallest ids can be among anyone's k nearest,
+so that a vector which a third of all rows have is held k + 1 times.
 
 Defined results: vectors that are null, zero, of another length than most, or
 with null or non-finite components take no part, nor do rows with a null id; a
 row is no candidate for queries of its own id; of rows that repeat a query id
-the smallest vector asks; extra columns are ignored; an empty table gives an
-empty result.
+the smallest vector asks, and a vec_id that is found several times counts once,
+with its best score; extra columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import pyarrow as pa
@@ -35,9 +47,11 @@ from .common import Workspace, read, shuffle_partitions
 #: Vectors that a fit may use at most; share of neighbours that the radius takes in.
 SAMPLE, COVER = 10_000, 0.95
 #: Bits of a code and number of its substrings.
-BITS, PARTS = 64, 4
+BITS, PARTS = 128, 8
+#: Keys that a query probes of a substring, at most, for the equi-join.
+PROBES = 200
 #: Rows and queries of a block at most.
-ROWS, QUERIES = 16_384, 4_096
+ROWS, QUERIES = 65_536, 4_096
 
 _OUT = "query_id long, vec_id long, score double"
 
@@ -49,11 +63,24 @@ class Codes:
         self.projection, self.radius = projection, radius
 
     def __call__(self, unit):
-        """uint64 codes of unit vectors."""
+        """Codes of unit vectors: a row of 16-bit substrings each."""
         import numpy as np
 
         bits = np.packbits(unit @ self.projection > 0, axis=1)
-        return np.ascontiguousarray(bits).view(">u8").astype(np.uint64)[:, 0]
+        return np.ascontiguousarray(bits).view(">u2").astype(np.uint16)
+
+
+def distances(codes, code):
+    """Hamming distances of rows of substrings."""
+    import numpy as np
+
+    return np.bitwise_count(codes ^ code).sum(axis=-1, dtype=np.int64)
+
+
+def reaches(radius: int) -> list[int]:
+    """How many bits of each substring a probe may turn; -1: none has to be probed."""
+    s, t = divmod(radius, PARTS)
+    return [s if p <= t else s - 1 for p in range(PARTS)]
 
 
 def unit_rows(x):
@@ -77,11 +104,10 @@ def fit(x, k: int = 5, cover: float = COVER, rounds: int = 30) -> Codes:
     if not len(x):
         return Codes(np.zeros((dim, BITS)), BITS)
     unit = unit_rows(x)
-    if dim >= BITS:
-        _, vectors = np.linalg.eigh(unit.T @ unit)
-        basis = vectors[:, ::-1][:, :BITS]
-    else:
-        basis = np.linalg.qr(draw.standard_normal((BITS, dim)))[0].T
+    _, vectors = np.linalg.eigh(unit.T @ unit)
+    basis = vectors[:, ::-1][:, :BITS]
+    if dim < BITS:  # more bits than axes: each bit is the side of a direction, near to orthogonal to the others
+        basis = basis @ np.linalg.qr(draw.standard_normal((BITS, dim)))[0].T
     reduced = unit @ basis
     turn = np.linalg.qr(draw.standard_normal((BITS, BITS)))[0]
     for _ in range(rounds):
@@ -96,13 +122,14 @@ def fit(x, k: int = 5, cover: float = COVER, rounds: int = 30) -> Codes:
         score = unit @ unit[i]
         score[i] = -2
         best = np.argsort(-score)[: min(k, len(x) - 1)]
-        near += np.bitwise_count(coded[best] ^ coded[i]).tolist()
+        near += distances(coded[best], coded[i]).tolist()
     if near:
         codes.radius = int(np.quantile(near, cover))
     return codes
 
 
 def _masks(bits: int, within: int):
+    """All ways to turn at most so many bits."""
     import numpy as np
 
     return np.array([sum(1 << b for b in c) for n in range(min(bits, within) + 1) for c in combinations(range(bits), n)], np.int64)
@@ -114,31 +141,55 @@ class SubstringIndex:
     def __init__(self, codes):
         import numpy as np
 
-        self.codes, self.width = codes, BITS // PARTS
+        self.codes = codes
         self.order, self.starts = [], []
         for p in range(PARTS):
-            key = self._part(codes, p)
-            self.order.append(np.argsort(key, kind="stable"))
-            self.starts.append(np.concatenate([[0], np.cumsum(np.bincount(key, minlength=1 << self.width))]))
+            key = codes[:, p].astype(np.int64)
+            self.order.append(np.argsort(key, kind="stable").astype(np.int32))
+            self.starts.append(np.concatenate([[0], np.cumsum(np.bincount(key, minlength=1 << 16))]))
 
-    def _part(self, codes, p: int):
-        import numpy as np
-
-        return (codes >> np.uint64(p * self.width) & np.uint64((1 << self.width) - 1)).astype(np.int64)
-
-    def within(self, code, radius: int, masks):
-        """Places of all codes within the radius of one."""
+    def within(self, code, radius: int, masks: list):
+        """Places of all codes within the radius of one; ``masks`` has what is turned in each substring."""
         import numpy as np
 
         seen = np.zeros(len(self.codes), bool)
-        for p in range(PARTS):
-            keys = int(self._part(code, p)) ^ masks
+        for p, turned in enumerate(masks):
+            keys = int(code[p]) ^ turned
             a, n = self.starts[p][keys], self.starts[p][keys + 1] - self.starts[p][keys]
             a, n = a[n > 0], n[n > 0]
             if len(n):
                 seen[self.order[p][np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]] = True
         found = np.flatnonzero(seen)
-        return found[np.bitwise_count(self.codes[found] ^ code) <= radius]
+        return found[distances(self.codes[found], code) <= radius]
+
+
+def _scored(x, ids, q, q_id, k: int) -> tuple:
+    """(ids, scores) of the k best ids, each by its best row."""
+    import numpy as np
+
+    norm = lambda v: np.sqrt((v * v).sum(axis=-1))
+    score = cosines(x, norm(x), q, norm(q))
+    order = np.lexsort((ids, -score))
+    best = order[:k]
+    if len(np.unique(ids[best])) < len(best):
+        best = order[np.sort(np.unique(ids[order], return_index=True)[1])[:k]]
+    return ids[best].tolist(), score[best].tolist()
+
+
+def _vectors(column):
+    """Vectors of an Arrow column as rows, at a scale at which their squares are in range: the cosine is the same."""
+    import numpy as np
+
+    x = np.asarray(column.flatten(), float).reshape(len(column), -1)
+    norm = (x * x).sum(axis=1)
+    odd = ~np.isfinite(norm) | (norm < 1e-300)
+    if odd.any():
+        x = x.copy()
+        x[odd] /= np.abs(x[odd]).max(axis=1, keepdims=True)
+    return x
+
+
+_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
 def _search(codes: Codes, k: int, full: bool):
@@ -147,47 +198,77 @@ def _search(codes: Codes, k: int, full: bool):
 
         out: list[list] = [[], [], []]
         if rows.num_rows and queries.num_rows:
-            vectors = lambda t: np.asarray(t.column("v").combine_chunks().flatten(), float).reshape(t.num_rows, -1)
-            x, q = vectors(rows), vectors(queries)
+            x, q = (_vectors(t.column("v").combine_chunks()) for t in (rows, queries))
             ids, q_ids = rows.column("id").to_numpy(), queries.column("id").to_numpy()
-            norm = lambda v: np.sqrt((v * v).sum(axis=1))
-            n, q_n = norm(x), norm(q)
-            odd = lambda v: ~np.isfinite(v) | (v < 1e-150)
-            if odd(n).any() or odd(q_n).any():  # squares out of range: the cosine is the same at another scale
-                x, q = x / np.abs(x).max(axis=1, keepdims=True), q / np.abs(q).max(axis=1, keepdims=True)
-                n, q_n = norm(x), norm(q)
-            index, asked = SubstringIndex(codes(unit_rows(x))), codes(unit_rows(q))
-            masks = _masks(index.width, codes.radius // PARTS)
+            index, asked = None if full else SubstringIndex(codes(unit_rows(x))), codes(unit_rows(q))
+            masks = [_masks(16, r) for r in reaches(codes.radius)]
             for i in range(len(q)):
                 found = np.arange(len(x)) if full else index.within(asked[i], codes.radius, masks)
                 found = found[ids[found] != q_ids[i]]
-                score = cosines(x[found], n[found], q[i], q_n[i])
-                best = np.lexsort((ids[found], -score))[:k]
+                best, score = _scored(x[found], ids[found], q[i], q_ids[i], k)
                 out[0] += [int(q_ids[i])] * len(best)
-                out[1] += ids[found][best].tolist()
-                out[2] += score[best].tolist()
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
+                out[1] += best
+                out[2] += score
+        return pa.table(out, schema=_FOUND)
 
     return run
 
 
 def _blocks(rows: DataFrame, queries: DataFrame, n_rows: int, n_queries: int, codes: Codes, k: int, full: bool) -> DataFrame:
     """The k best of each block of rows for each query."""
-    r = max(min(shuffle_partitions(rows.sparkSession), -(-n_rows // 2048)), -(-n_rows // ROWS), 1)
-    s = max(1, -(-n_queries // QUERIES))
+    parts = shuffle_partitions(rows.sparkSession)
+    r = max(1, -(-n_rows // ROWS), min(parts, -(-n_rows // (ROWS // 4))))
+    s = max(1, -(-n_queries // QUERIES), min(-(-min(parts, 8) // r), n_queries))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dealt = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(r)).cast("int").alias("rb")).withColumn("qb", each(s))
     asked = queries.select("id", "v", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(s)).cast("int").alias("qb")).withColumn("rb", each(r))
     return dealt.groupBy("rb", "qb").cogroup(asked.groupBy("rb", "qb")).applyInArrow(_search(codes, k, full), _OUT)
 
 
+def _listed(codes: Codes, probe: bool):
+    """(id, v) to (id, v, both halves of the code, keys): (part, substring) of a row's own substrings, or of those that a query probes."""
+    masks = [_masks(16, r if probe else 0) for r in reaches(codes.radius)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            own = codes(unit_rows(_vectors(batch.column(1)))) if batch.num_rows else np.zeros((0, PARTS), np.uint16)
+            halves = own.view(np.int64)
+            keys = [np.concatenate([p << 16 | (int(c[p]) ^ masks[p]) for p in range(PARTS)]).tolist() for c in own]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(keys, pa.list_(pa.int64()))], ["id", "v", "c0", "c1", "keys"])
+
+    return run
+
+
+def _rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(query_id, q, vec_id, v) to (query_id, vec_id, score)."""
+    import numpy as np
+
+    for batch in batches:
+        if batch.num_rows:
+            q, x = _vectors(batch.column(1)), _vectors(batch.column(3))
+            norm = lambda v: np.sqrt((v * v).sum(axis=1))
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(cosines(x, norm(x), q, norm(q)))], schema=_FOUND)
+
+
+def _joined(rows: DataFrame, queries: DataFrame, codes: Codes, work: Workspace) -> DataFrame:
+    """What each query finds by an equi-join on (part, substring); only what is within the radius meets its vectors."""
+    shape = "id long, v array<double>, c0 long, c1 long, keys array<long>"
+    held, asked = (work.save(df.mapInArrow(_listed(codes, probe), shape), name) for df, probe, name in ((rows, False, "row-codes"), (queries, True, "query-codes")))
+    by_key = lambda df, name: df.select(F.col("id").alias(name), F.explode("keys").alias("key"), F.col("c0").alias(f"{name}_0"), F.col("c1").alias(f"{name}_1"))
+    apart = sum((F.bit_count(F.col(f"vec_id_{h}").bitwiseXOR(F.col(f"query_id_{h}"))) for h in (0, 1)), F.lit(0))
+    met = by_key(held, "vec_id").join(by_key(asked, "query_id"), "key").where((F.col("vec_id") != F.col("query_id")) & (apart <= codes.radius))
+    met = met.select("query_id", "vec_id").distinct()
+    pairs = met.join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id").join(held.select(F.col("id").alias("vec_id"), "v"), "vec_id")
+    return pairs.select("query_id", "q", "vec_id", "v").mapInArrow(_rerank, _OUT)
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v) of the rows that take part."""
+    """(id, v) of the rows that take part, whatever their length."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = rows.where(finite & F.exists("v", lambda x: x != 0))
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    return rows.where(F.size("v") == (sizes[0]["d"] if sizes else 0))
+    return rows.where(finite & F.exists("v", lambda x: x != 0))
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", codes: Codes | None = None) -> DataFrame:
@@ -195,20 +276,32 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     import numpy as np
 
     work = Workspace(vectors.sparkSession, "ann")
-    rows = work.save(usable(vectors, id_col, vector_col), "rows")
-    own = rows.limit(1).collect()
-    dim = len(own[0]["v"]) if own else 1
+    told = usable(vectors, id_col, vector_col)
+    sizes = told.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
+    dim = sizes[0]["d"] if sizes else 1
     asked = usable(queries, id_col, vector_col).where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
     asked = work.save(asked, "queries")
+    place = F.row_number().over(W.partitionBy("v").orderBy("id"))
+    told = told.where(F.size("v") == dim).dropDuplicates(["id", "v"])
+    rows = work.save(told.withColumn("place", place).where(F.col("place") <= k + 1).drop("place"), "rows")
+    n_rows, n_queries = rows.count(), asked.count()
     if codes is None:
-        sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()
+        # About as many as SAMPLE by a hash of their ids, so that no task and not the driver sorts all rows.
+        share = min(1.0, 0.95 * SAMPLE / max(1, n_rows))
+        sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).limit(SAMPLE)
+        sample = sorted(sample.collect())
         codes = fit(np.array([r["v"] for r in sample], float).reshape(len(sample), dim), k)
-    n_rows, n_queries = rows.count(), asked.count()
-    found = work.save(_blocks(rows, asked, n_rows, n_queries, codes, k, False), "found")
+    if max(len(_masks(16, r)) for r in reaches(codes.radius)) <= PROBES:
+        found = work.save(_joined(rows, asked, codes, work), "found")
+    else:
+        found = work.save(_blocks(rows, asked, n_rows, n_queries, codes, k, False), "found")
+    # A vec_id that several rows have counts once.
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     short = asked.join(found.groupBy("query_id").count().where(F.col("count") >= k), F.col("id") == F.col("query_id"), "left_anti")
+    short = work.save(short, "short")
     n_short = short.count()
     if n_short and n_rows > 1:
-        again = _blocks(rows, short, n_rows, n_short, codes, k, True)
+        again = _blocks(rows, short, n_rows, n_short, codes, k, True).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(again)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
