@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -24,8 +25,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary
-    folder becomes the checkpoint folder.
+    Only where everything runs in one process (a ``local`` master, as in tests)
+    a temporary folder becomes the checkpoint folder; elsewhere executors would
+    write to disks of their own, so a session that names no folder is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -33,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="metrascope-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -41,22 +45,41 @@ class Workspace:
     """Intermediate tables as Parquet in the shared folder.
 
     A saved table cuts the lineage: a lost executor costs the tasks that read
-    it, never the work that made it.
+    it, never the work that made it. Results read from these tables, so they
+    stay until the application ends, which deletes them.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        path, files = self._at(self.path)
+        files.deleteOnExit(path)
+
+    def _at(self, path: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{name}"
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path, files = self._at(f"{self.path}/{name}")
+            files.delete(path, True)
+
+
+def identified(docs: DataFrame, work: Workspace, id_col: str, text_col: str, whole: bool) -> DataFrame:
+    """(row, id, text) of each row of ``docs``, with a ``row`` that is made once and written; with ``whole`` (row, doc) follows as a second table.
+
+    The original row is a struct, so that no column of its own can clash with
+    those of an operator.
+    """
+    if whole:
+        rows = work.save(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), "rows-in")
+        return rows.select("row", F.col("doc").getField(id_col).alias("id"), F.col("doc").getField(text_col).alias("text"), "doc")
+    return work.save(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "rows-in")
 
 
 def text_split(column: str, parts: int, modulo: int, other: str = "") -> Column:
@@ -64,21 +87,24 @@ def text_split(column: str, parts: int, modulo: int, other: str = "") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(other))) % modulo == parts
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, values: Sequence[str], salt: Column, hot_groups: int = 1000) -> DataFrame:
-    """Give each row the values of its group, whatever the groups' sizes.
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, values: Sequence[str], salt: Column, hot_groups: int = 1000, least: int = 1000) -> DataFrame:
+    """Give each row the values of its group, whatever the groups' sizes; null where it has none.
 
-    ``groups`` has one row per non-null ``key`` and, in ``size``, its number of
-    rows. Groups with over 1/``hot_groups`` of all rows are fewer than
-    ``hot_groups``, so this list is small at any scale and is broadcast. The
-    rows it serves get a salted key that matches nothing in the shuffle join
-    that serves the rest, and so spread evenly.
+    ``groups`` has one row per non-null ``key`` and, in ``size``, about how many
+    rows it meets. A group with over 1/``hot_groups`` of all rows, and over
+    ``least``, is copied once for each such share, and its rows are dealt to the
+    copies by ``salt``. Only the keys of such groups and their numbers of copies
+    are broadcast: fewer than ``hot_groups`` rows at any scale. Rows without a
+    key spread, too.
     """
-    total = groups.agg(F.sum(size)).first()[0] or 0
-    hot = groups.where(F.col(size) * hot_groups > F.lit(total)).limit(hot_groups)
-    hot = hot.select(F.col(key).alias("_hot"), F.struct(*values).alias("_hot_values"))
-    rest = groups.where(F.col(size) * hot_groups <= F.lit(total))
-    rest = rest.select(F.concat(F.lit("k"), F.col(key).cast("string")).alias("_key"), F.struct(*values).alias("_values"))
-    dealt = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
-    dealt = dealt.withColumn("_key", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.concat(F.lit("k"), F.col(key).cast("string"))).otherwise(F.concat(F.lit("s"), F.xxhash64(salt).cast("string"))))
-    found = dealt.join(rest, "_key", "left").withColumn("_found", F.coalesce("_hot_values", "_values"))
-    return found.select(*rows.columns, *[F.col(f"_found.{v}").alias(v) for v in values])
+    total, largest = groups.agg(F.sum(size), F.max(size)).first()
+    share = max(least, (total or 0) / hot_groups)
+    copies = F.ceil(F.col(size) / F.lit(share)).cast("int")
+    held = groups.select(F.col(key).alias("_key"), F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), copies))).alias("_copy"), F.struct(*values).alias("_values"))
+    dealt, own = rows, F.lit(1)
+    if (largest or 0) > share:
+        listed = groups.select(F.col(key).alias("_hot"), copies.alias("_copies")).where("_copies > 1")
+        dealt, own = rows.join(F.broadcast(listed), F.col(key) == F.col("_hot"), "left"), F.pmod(F.xxhash64(salt), F.coalesce("_copies", F.lit(1))) + 1
+    dealt = dealt.withColumn("_deal", F.when(F.col(key).isNull(), F.xxhash64(salt)).otherwise(own))
+    found = dealt.join(held, (F.col(key) == F.col("_key")) & (F.col("_deal") == F.col("_copy")), "left")
+    return found.select(*rows.columns, *[F.col(f"_values.{v}").alias(v) for v in values])

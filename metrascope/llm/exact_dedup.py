@@ -7,13 +7,14 @@ with as many blocks are equal exactly if they have the same name, so that the
 identity (name, number of levels) is free of collisions: no hash decides.
 
 Blocks are deduplicated within each task before the one shuffle that moves
-text, and rows get names through narrow references; groups of copies of any
-size join by ``join_groups``.
+text, and rows get names through narrow references. Pairs of names and groups
+of copies may be of any size: both join by ``join_groups``.
 
 Defined results: null text counts as empty; all empty texts are one group;
 rows with equal texts and ids are ranked by the number of code points, then
 by position, and exactly one of them stays; a null id is larger than any
-other; extra columns are ignored; an empty table gives an empty result.
+other; extra columns, whatever their names, are ignored, or kept with their
+values by ``drop_exact_duplicates``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, Workspace, join_groups, shuffle_partitions
+from .common import ASCII_SPACE, Workspace, identified, join_groups, shuffle_partitions
 
 #: Bytes of a block.
 BLOCK = 2048
@@ -42,13 +43,13 @@ def _cut(block: int, id_type: pa.DataType):
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 36
-        rows = refs = held = 0
+        refs = held = 0
         seen: dict[bytes, int] = {}
         # A few texts at a time become Python's strings.
         for batch in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
             out: list[list] = [[] for _ in schema]
             size = 0
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for key, text, row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 text = text or ""
                 bare = text.encode().translate(None, ASCII_SPACE)
                 sha, n = hashlib.sha256(bare).hexdigest(), max(1, -(-len(bare) // block))
@@ -59,9 +60,8 @@ def _cut(block: int, id_type: pa.DataType):
                         ref, new = base + refs, piece
                         refs, held, size = refs + 1, held + len(piece) + 150, size + len(piece)
                         seen[piece] = ref
-                    for column, value in zip(out, (key if not i else None, len(text), sha if not i else None, base + rows, n, i, ref, new), strict=True):
+                    for column, value in zip(out, (key if not i else None, len(text), sha if not i else None, row, n, i, ref, new), strict=True):
                         column.append(value)
-                rows += 1
                 if held > SEEN_BYTES:
                     seen, held = {}, 0
                 if size > 8 << 20 or len(out[0]) > 50_000:
@@ -94,61 +94,67 @@ def _names(pairs: DataFrame, parts: int) -> DataFrame:
     return dealt.mapInArrow(_name_sorted, "ref long, name long")
 
 
-def name_texts(docs: DataFrame, id_col: str, text_col: str, work: Workspace, block: int = BLOCK) -> DataFrame:
-    """id, n_chars, text_sha256, row (unique), identity (equal for equal texts) of each row."""
+def name_texts(docs: DataFrame, work: Workspace, block: int = BLOCK) -> DataFrame:
+    """id, n_chars, text_sha256, row, identity (equal for equal texts) of each row of ``docs``: id, text, row (unique)."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    spark, kind = docs.sparkSession, docs.schema[id_col].dataType
+    spark, kind = docs.sparkSession, docs.schema["id"].dataType
     parts = shuffle_partitions(spark)
-    cut = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_cut(block, to_arrow_type(kind)), _CUT.format(id=kind.simpleString()))
+    cut = docs.select("id", "text", "row").mapInArrow(_cut(block, to_arrow_type(kind)), _CUT.format(id=kind.simpleString()))
     cut = work.save(cut, "blocks")
     names = _names(cut.where(F.col("block").isNotNull()).select("ref", F.col("block").alias("key")), parts)
     level = cut.select("row", "n_blocks", "idx", "ref").join(names, "ref").select("row", "n_blocks", "idx", "name")
     level = work.save(level, "names0")
-    rows = work.save(cut.where("idx = 0").select("id", "n_chars", "text_sha256", "row"), "rows")
+    rows = work.save(cut.where("idx = 0").select("id", "n_chars", "text_sha256", "row", "n_blocks"), "rows")
     work.drop("blocks")
 
-    done, depth = [level.where("n_blocks = 1").select("row", (F.col("name") * 64).alias("identity"))], 0
+    # Each level halves the blocks of the longest text.
+    levels = (max(1, rows.agg(F.max("n_blocks")).first()[0] or 1) - 1).bit_length()
+    done = [level.where("n_blocks = 1").select("row", (F.col("name") * 64).alias("identity"))]
     left = level.where("n_blocks > 1")
-    while left.limit(1).count():
-        depth += 1
+    for depth in range(1, levels + 1):
         pairs = left.groupBy("row", "n_blocks", F.floor(F.col("idx") / 2).cast("int").alias("idx")).agg(
             F.max(F.when(F.col("idx") % 2 == 0, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(F.col("idx") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b"))
+        pairs = work.save(pairs, f"pairs{depth}")
         # Equal pairs meet in an aggregation; sorted within its partitions, they are numbered in order.
-        named = pairs.select("a", "b").distinct().sortWithinPartitions("a", "b").withColumn("name", F.monotonically_increasing_id())
-        named = work.save(named, f"pairs{depth}")
-        level = pairs.join(named, ["a", "b"]).select("row", F.ceil(F.col("n_blocks") / 2).cast("int").alias("n_blocks"), "idx", "name")
-        level = work.save(level, f"names{depth}")
+        named = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).sortWithinPartitions("a", "b")
+        named = work.save(named.select(F.struct("a", "b").alias("pair"), "n", F.monotonically_increasing_id().alias("name")), f"pair-names{depth}")
+        # A text of a third of all rows gives a pair of as many: such pairs are dealt to several tasks.
+        level = join_groups(pairs.withColumn("pair", F.struct("a", "b")), named, "pair", "n", ["name"], F.col("row"))
+        level = work.save(level.select("row", F.ceil(F.col("n_blocks") / 2).cast("int").alias("n_blocks"), "idx", "name"), f"names{depth}")
         done.append(level.where("n_blocks = 1").select("row", (F.col("name") * 64 + depth).alias("identity")))
         left = level.where("n_blocks > 1")
     identity = done[0]
     for more in done[1:]:
         identity = identity.unionByName(more)
-    return rows.join(identity, "row")
+    return rows.drop("n_blocks").join(identity, "row")
 
 
 def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """id_col, keep_id, group_size, kept, text_sha256, n_chars for each row of ``docs``."""
-    work = Workspace(docs.sparkSession, "exact-dedup")
-    named = work.save(name_texts(docs, id_col, text_col, work, block), "named")
+    """id_col, keep_id, group_size, kept, text_sha256 for each row of ``docs``."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    return _judged(rows, Workspace(docs.sparkSession, "exact-dedup"), block).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256")
+
+
+def _judged(rows: DataFrame, work: Workspace, block: int) -> DataFrame:
+    named = work.save(name_texts(rows, work, block), "named")
     order = F.struct((-F.col("n_chars")).alias("n"), F.col("id").isNull().alias("null"), F.col("id").alias("id"), F.col("row").alias("row"))
     groups = named.groupBy("identity").agg(F.count(F.lit(1)).alias("group_size"), F.min(order).alias("best"))
     groups = work.save(groups.select("identity", "group_size", F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row")), "groups")
     found = join_groups(named, groups, "identity", "group_size", ["keep_id", "keep_row", "group_size"], F.col("row"))
-    return found.select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256", "n_chars")
+    return found.withColumn("kept", F.col("row") == F.col("keep_row"))
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keys = {"_sha": F.sha2(F.translate(text, ASCII_SPACE.decode(), ""), 256), "_n": F.length(text).cast("long"), "_id": F.coalesce(F.col(id_col).cast("string"), F.lit("-"))}
-    kept = dedup_exact(docs, id_col, text_col).where("kept").select(F.coalesce(F.col(id_col).cast("string"), F.lit("-")).alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_chars").alias("_n"))
-    # One row is left of rows that agree in id, normalised text and length; they sit together after the join.
-    return docs.withColumns(keys).join(kept, ["_id", "_sha", "_n"], "left_semi").dropDuplicates(["_id", "_sha", "_n"]).select(*docs.columns)
+    work = Workspace(docs.sparkSession, "exact-dedup")
+    rows = identified(docs, work, id_col, text_col, True)
+    kept = _judged(rows.select("id", "text", "row"), work, BLOCK).where("kept").select("row")
+    return rows.join(kept, "row", "left_semi").select("doc.*")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_exact(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("n_chars")
+    return dedup_exact(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 OP3_SQL = r"""

@@ -18,14 +18,19 @@ their Jaccard similarity is at least ``PERCENT`` / 100. The join loses no link:
    left is compared exactly, and the components are joined anew.
 
 Buckets over ``BUCKET`` nodes are cut into pieces that meet pairwise, except
-pieces of their largest component, which need not meet each other. Hashes are
-64 bits of a random function: at 10^9 distinct shingle sets two of them would
-be taken for equal with a probability of some percent.
+pieces of their largest component, which need not meet each other. Frequent
+shingles, whose buckets may hold any share of all nodes, form theirs by
+aggregation; wherever rows meet a pivot, a bucket or a label, ``join_groups``
+deals those of large groups to several tasks.
+
+Shingles are hashed to 64 bits. A set's name is 63 bits of a hash; a second
+hash of 63 bits tells sets of one name apart, and these get other names.
 
 Defined results: null text counts as empty; texts without words have no
 shingles and no links; rows with equal texts are copies whatever their ids; a
-component's id is its smallest non-null document id; extra columns are ignored;
-an empty table gives an empty result.
+component's id is its smallest non-null document id; extra columns, whatever
+their names, are ignored, or kept with their values by
+``drop_near_duplicates``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, join_groups, shuffle_partitions
+from .common import Workspace, identified, join_groups, shuffle_partitions
 
 #: Words of a shingle, and the least Jaccard similarity of a link in percent.
 WORDS, PERCENT = 5, 80
@@ -44,6 +49,8 @@ WORDS, PERCENT = 5, 80
 COMMON, LOCAL = 1 << 16, 4
 #: Nodes of a bucket that one task holds; buckets that a node is marked with, so that pairs are found once.
 BUCKET, MARKS = 2048, 16
+#: Bits of a bitmap at most, so that a piece of a bucket has a bounded size whatever its texts.
+BITS = 1 << 16
 #: Bytes of text handled at a time; rows under a node of the lowest level of a tree.
 _SLICE, _LEAF = 8 << 20, 32
 
@@ -104,38 +111,41 @@ def _slice_sets(texts) -> Iterator:
                 yield _mix(np.array([short + np.uint64(b - a)]))[: int(b > a)]
 
 
-def node_of(shingles) -> int:
-    """The name of a set: 63 bits of a hash of its sorted shingles."""
+def node_of(shingles, clashes: frozenset[int] = frozenset()) -> int:
+    """The name of a set: 63 bits of a hash of its sorted shingles, or of another hash if several sets have the first."""
+    name = _digest(shingles, 7)
+    return _digest(shingles, 8) if name in clashes else name
+
+
+def _digest(shingles, seed: int) -> int:
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(shingles.tobytes(), seed=7) >> 1
+    return xxhash.xxh3_64_intdigest(shingles.tobytes(), seed=seed) >> 1
 
 
 def bitmap(shingles):
-    """One bit for each shingle in a power of two, four times the set's size at least.
+    """One bit for each shingle in a power of two, four times the set's size at least, but ``BITS`` at most.
 
     The fewer shingles share a bit, the closer the overlap of bitmaps is to that of sets.
     """
     import numpy as np
 
-    m = max(64, 1 << int(4 * len(shingles) - 1).bit_length())
+    m = min(BITS, max(64, 1 << int(4 * len(shingles) - 1).bit_length()))
     bits = np.zeros(m, np.uint8)
     bits[(shingles >> np.uint64(20)) & np.uint64(m - 1)] = 1
     return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
-_SETS = "doc_id {id}, row long, n long, node long, token long, seen long"
+_SETS = "doc_id {id}, row long, n long, node long, proof long, token long, seen long"
 
 
 def _describe(id_type: pa.DataType):
-    """Rows of documents (doc_id, row, n, node), and of a task's frequent shingles (token, seen)."""
-    schema = pa.schema([("doc_id", id_type), ("row", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("token", pa.int64()), ("seen", pa.int64())])
+    """Rows of documents (doc_id, row, n, node, second hash), and of a task's frequent shingles (token, seen)."""
+    schema = pa.schema([("doc_id", id_type), *[(c, pa.int64()) for c in ("row", "n", "node", "proof", "token", "seen")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
-        from pyspark import TaskContext
 
-        row = TaskContext.get().partitionId() << 36
         tokens, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         met: set[int] = set()
         pending, size = [], 0
@@ -148,10 +158,11 @@ def _describe(id_type: pa.DataType):
             return all_[top], total[top]
 
         for batch in batches:
-            ids, n, nodes = batch.column(0).to_pylist(), [], []
+            n, nodes, proofs = [], [], []
             for shingles in shingle_sets(batch.column(1)):
                 n.append(len(shingles))
                 nodes.append(node_of(shingles) if len(shingles) else None)
+                proofs.append(_digest(shingles, 8) if len(shingles) else None)
                 if len(shingles) and nodes[-1] not in met:
                     met.add(nodes[-1])
                     pending.append(shingles)
@@ -161,20 +172,18 @@ def _describe(id_type: pa.DataType):
                         pending, size = [], 0
             if len(met) > 1_000_000:
                 met.clear()
-            none = [None] * len(ids)
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip((ids, range(row, row + len(ids)), n, nodes, none, none), schema, strict=True)], schema=schema)
-            row += len(ids)
+            none = pa.nulls(len(n), pa.int64())
+            yield pa.record_batch([batch.column(0).cast(id_type), batch.column(2), *[pa.array(c, pa.int64()) for c in (n, nodes, proofs)], none, none], schema=schema)
         if pending:
             tokens, counts = count(pending, tokens, counts)
         tokens, counts = tokens[counts >= LOCAL], counts[counts >= LOCAL]
-        none = [None] * len(tokens)
-        yield pa.record_batch([pa.array(none, id_type), *[pa.array(none, pa.int64())] * 3, pa.array(tokens.view(np.int64)), pa.array(counts)], schema=schema)
+        yield pa.record_batch([pa.nulls(len(tokens), id_type), *[pa.nulls(len(tokens), pa.int64())] * 4, pa.array(tokens.view(np.int64)), pa.array(counts)], schema=schema)
 
     return run
 
 
-def _prefixes(common):
-    """(node, n, bits, prefix) of each set that is new to its task."""
+def _prefixes(common, clashes: frozenset[int]):
+    """(node, n, bits, prefix, frequent part of the prefix) of each set that is new to its task."""
     import numpy as np
 
     common = np.sort(np.array(common, np.int64).view(np.uint64))
@@ -182,9 +191,9 @@ def _prefixes(common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for s in shingle_sets(batch.column(0)):
-                node = node_of(s)
+                node = node_of(s, clashes)
                 if not len(s) or node in met:
                     continue
                 met.add(node)
@@ -193,12 +202,11 @@ def _prefixes(common):
                 if len(common):
                     last = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
                 rare = s[~last][:p]
-                first = np.concatenate([rare, s[last][: p - len(rare)]])
-                for column, value in zip(out, (node, len(s), bitmap(s).tobytes(), first.tobytes()), strict=True):
+                for column, value in zip(out, (node, len(s), bitmap(s).tobytes(), rare.tobytes(), s[last][: p - len(rare)].tobytes()), strict=True):
                     column.append(value)
             if len(met) > 1_000_000:
                 met.clear()
-            yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], ["node", "n", "bits", "prefix"])
+            yield pa.record_batch([*[pa.array(c, pa.int64()) for c in out[:2]], *[pa.array(c, pa.binary()) for c in out[2:]]], ["node", "n", "bits", "prefix", "shared"])
 
     return run
 
@@ -434,14 +442,9 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, text) to (node, shingles) where the text has that set."""
+    """(node, text) to (node, shingles)."""
     for batch in batches:
-        out: list[list] = [[], []]
-        for node, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
-            if len(s) and node_of(s) == node:
-                out[0].append(node)
-                out[1].append(s.tobytes())
-        yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], ["node", "shingles"])
+        yield pa.record_batch([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1))], pa.binary())], ["node", "shingles"])
 
 
 def linked(x, y) -> bool:
@@ -466,63 +469,100 @@ def components(links: DataFrame, work: Workspace, name: str) -> DataFrame:
     """(node, label): the smallest node that each node of the links reaches.
 
     Each round takes the least label of all neighbours and then the label of
-    that label, until nothing changes.
+    that label, until nothing changes. A node may have any number of
+    neighbours, a label any number of nodes.
     """
     edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     edges = work.save(edges.unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), f"{name}-edges")
-    labels = work.save(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), f"{name}-0")
+    near = edges.groupBy("u").agg(F.count(F.lit(1)).alias("degree"), F.min("v").alias("m"))
+    labels = work.save(near.select(F.col("u").alias("node"), "degree", F.least("u", "m").alias("label")), f"{name}-0")
     step = 0
     while True:
         step += 1
-        near = edges.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("near"))
-        own = labels.join(near, F.col("node") == F.col("u")).select("node", "label", F.least("label", "near").alias("best"))
+        near = join_groups(edges, labels.withColumnRenamed("node", "v"), "v", "degree", ["label"], F.col("u")).groupBy("u").agg(F.min("label").alias("near"))
+        own = labels.join(near, F.col("node") == F.col("u")).select("node", "degree", "label", F.least("label", "near").alias("best"))
         own = work.save(own, f"{name}-{step}-near")
-        jump = own.select(F.col("node").alias("_node"), F.col("best").alias("_best"))
-        new = own.join(jump, F.col("best") == F.col("_node")).select("node", "label", F.least("best", "_best").alias("next"))
-        new = work.save(new, f"{name}-{step}")
-        labels = new.select("node", F.col("next").alias("label"))
+        heads = own.groupBy("best").agg(F.count(F.lit(1)).alias("size"))
+        heads = work.save(heads.join(own.select("node", F.col("best").alias("head")), F.col("best") == F.col("node")).select("best", "size", "head"), f"{name}-{step}-heads")
+        new = join_groups(own, heads, "best", "size", ["head"], F.col("node"))
+        new = work.save(new.select("node", "degree", "label", F.least("best", "head").alias("next")), f"{name}-{step}")
+        labels = new.select("node", "degree", F.col("next").alias("label"))
         if not new.where("next <> label").limit(1).count():
-            return labels
+            return labels.select("node", "label")
+
+
+def _beside(pairs: DataFrame, held: DataFrame, end: str, values: list[str]) -> DataFrame:
+    """``pairs`` with the values that the nodes at one end have in ``held``, as ``value_end``; a node may be in any number of pairs."""
+    degree = pairs.groupBy(F.col(end).alias("_end")).agg(F.count(F.lit(1)).alias("degree"))
+    groups = held.join(degree, F.col("node") == F.col("_end")).select(F.col("node").alias(end), "degree", *[F.col(v).alias(f"{v}_{end}") for v in values])
+    return join_groups(pairs, groups, end, "degree", [f"{v}_{end}" for v in values], F.xxhash64("a", "b"))
 
 
 def verify(pairs: DataFrame, docs: DataFrame, info: DataFrame, members: DataFrame, work: Workspace, name: str) -> DataFrame:
     """The pairs (a, b) of nodes that are linked, compared shingle by shingle."""
-    one, two = ([F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "bits")] for k in ("a", "b"))
-    told = pairs.join(info.select(*one), F.col("a") == F.col("node_a")).join(info.select(*two), F.col("b") == F.col("node_b"))
+    told = _beside(_beside(pairs, info, "a", ["n", "bits"]), info, "b", ["n", "bits"])
     left = work.save(told.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(_bounded, _PAIRS), f"{name}-bounded")
     asked = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    asked = asked.join(members.select("node", "key"), "node")
-    texts = docs.join(asked, "key").select("node", "text")
-    signed = work.save(texts.mapInArrow(_signatures, "node long, shingles binary").dropDuplicates(["node"]), f"{name}-signed")
-    x = signed.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    y = signed.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    links = work.save(left.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_exact, _PAIRS), f"{name}-links")
+    asked = asked.join(members.select("node", F.col("first_row").alias("row")), "node")
+    texts = docs.select("row", "text").join(asked, "row").select("node", "text")
+    signed = work.save(texts.mapInArrow(_signatures, "node long, shingles binary"), f"{name}-signed")
+    both = _beside(_beside(left, signed, "a", ["shingles"]), signed, "b", ["shingles"])
+    links = work.save(both.select("a", "b", "shingles_a", "shingles_b").mapInArrow(_exact, _PAIRS), f"{name}-links")
     work.drop(f"{name}-signed")
     return links
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, row, n_shingles, node (equal for equal sets), component_id of each row of ``docs``."""
-    from pyspark.sql.pandas.types import to_arrow_type
+def _frequent(told: DataFrame, work: Workspace) -> list[int]:
+    """About ``COMMON`` of the shingles that most documents share.
 
-    spark, kind = docs.sparkSession, docs.schema[id_col].dataType
-    work, parts = Workspace(spark, "jaccard-join"), shuffle_partitions(spark)
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("string"), F.lit("-")).alias("key"))
-    told = work.save(docs.select("doc_id", "text").mapInArrow(_describe(to_arrow_type(kind)), _SETS.format(id=kind.simpleString())), "sets")
-    sets = told.where("row IS NOT NULL").select("doc_id", "row", "n", "node")
-    frequent = told.where("token IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(COMMON)
-    common = [r["token"] for r in frequent.select("token").collect()]
+    Counts are compared by levels; of the last level that takes part, a hash chooses.
+    """
+    counts = work.save(told.where("token IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen")).withColumn("level", F.floor(F.log2("seen") * 8).cast("int")), "frequent")
+    room, cut, share = COMMON, 0, 1.0
+    for level, n in sorted(counts.groupBy("level").count().collect(), reverse=True):
+        cut, share = level, min(1.0, room / n)
+        room -= n
+        if room <= 0:
+            break
+    chosen = (F.col("level") > cut) | ((F.col("level") == cut) & (F.pmod(F.xxhash64("token"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))))
+    return [r["token"] for r in counts.where(chosen).select("token").collect()]
+
+
+def _shared_buckets(hot: DataFrame, work: Workspace) -> DataFrame:
+    """(bucket, pivot, node) from distinct (key, node) of frequent shingles: named by an aggregate over the nodes, so that no bucket is held in one task."""
+    told = hot.groupBy("key").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1")
+    # Shingles of the same nodes give one bucket.
+    told = told.groupBy(F.xxhash64("x", "n", "pivot").alias("bucket")).agg(F.min_by(F.struct("key", "pivot", "n"), "key").alias("k"))
+    told = work.save(told.select("bucket", "k.*"), "shared-names")
+    return join_groups(hot, told, "key", "n", ["bucket", "pivot"], F.col("node")).where("bucket IS NOT NULL").select("bucket", "pivot", "node")
+
+
+def _classes(docs: DataFrame, work: Workspace) -> DataFrame:
+    """doc_id, row, n, node (equal for equal sets), component_id of each row of ``docs``: row (unique, written), id, text."""
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    # One document for each set, to read its text again, and the number of rows.
-    members = sets.where("node IS NOT NULL").groupBy("node").agg(F.min(F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias("key"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows"))
+    spark, kind = docs.sparkSession, docs.schema["id"].dataType
+    parts = shuffle_partitions(spark)
+    told = work.save(docs.select("id", "text", "row").mapInArrow(_describe(to_arrow_type(kind)), _SETS.format(id=kind.simpleString())), "sets")
+    common = _frequent(told, work)
+    sets = told.where("row IS NOT NULL").select("doc_id", "row", "n", "node", "proof")
+
+    # One row for each set, to read its text again, and the number of rows. Two of 2^32 sets may share a name.
+    names = work.save(sets.where("node IS NOT NULL").groupBy("node").agg(F.min("proof").alias("low"), F.max("proof").alias("high")).where("low <> high"), "clashes")
+    clashes = frozenset(r["node"] for r in names.select("node").collect())
+    if clashes:
+        sets = sets.withColumn("node", F.when(F.col("node").isin(*clashes), F.col("proof")).otherwise(F.col("node")))
+    members = sets.where("node IS NOT NULL").groupBy("node").agg(F.min("row").alias("first_row"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows"))
     members = work.save(members, "members")
 
-    nodes = work.save(docs.select("text").mapInArrow(_prefixes(common), "node long, n long, bits binary, prefix binary"), "nodes")
+    nodes = work.save(docs.select("text").mapInArrow(_prefixes(common, clashes), "node long, n long, bits binary, prefix binary, shared binary"), "nodes")
     entries = nodes.select("node", "prefix").mapInArrow(_entries, "key long, node long").repartition(parts, "key").sortWithinPartitions("key", "node")
-    buckets = work.save(entries.mapInArrow(_buckets, "bucket long, pivot long, node long").distinct(), "buckets")
+    hot = work.save(nodes.where("octet_length(shared) > 0").select("node", "shared").mapInArrow(_entries, "key long, node long").distinct(), "shared")
+    buckets = entries.mapInArrow(_buckets, "bucket long, pivot long, node long").unionByName(_shared_buckets(hot, work))
+    buckets = work.save(buckets.distinct(), "buckets")
     info = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "n", "bits").dropDuplicates(["node"])
     info = work.save(info, "info")
-    work.drop("nodes")
+    work.drop("nodes", "shared")
 
     star = buckets.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     star = work.save(star, "star")
@@ -532,7 +572,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("component"))
     named = work.save(named, "named")
     mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
-    met = work.save(named.join(mixed.select("bucket", "size"), "bucket"), "met")
+    mixed = work.save(mixed.select("bucket", "size"), "mixed")
+    met = join_groups(named, mixed, "bucket", "size", ["size"], F.col("node")).where("size IS NOT NULL")
     marks = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("bucket")), 1, MARKS).alias("marks"))
     rows = met.join(info.join(marks, "node"), "node")
     one = F.lit(0)
@@ -544,10 +585,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(links.unionByName(more), work, "all")
 
     joined = members.join(labels, "node", "left").select("node", "first_id", "rows", F.coalesce("label", "node").alias("label"))
-    least = joined.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    groups = work.save(joined.join(least, "label").select("node", "rows", "component_id"), "groups")
-    found = join_groups(sets, groups, "node", "rows", ["component_id"], F.col("row"))
-    return found.select(F.col("doc_id").alias(id_col), "row", F.col("n").alias("n_shingles"), "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    least = joined.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("size"))
+    least = work.save(least, "least")
+    groups = join_groups(joined, least, "label", "size", ["component_id"], F.col("node"))
+    groups = work.save(groups.select("node", "rows", "label", "component_id"), "groups")
+    found = join_groups(sets, groups, "node", "rows", ["label", "component_id"], F.col("row"))
+    return found.select("doc_id", "row", "n", "node", "label", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, row (any unique number), n_shingles, node (equal for equal sets), component_id of each row of ``docs``."""
+    work = Workspace(docs.sparkSession, "jaccard-join")
+    found = _classes(identified(docs, work, id_col, text_col, False), work)
+    return found.select(F.col("doc_id").alias(id_col), "row", F.col("n").alias("n_shingles"), "node", "component_id")
 
 
 def _pieces(rows: DataFrame, work: Workspace) -> DataFrame:
@@ -559,8 +609,8 @@ def _pieces(rows: DataFrame, work: Workspace) -> DataFrame:
     rows = work.save(rows, "large")
     sizes = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("total"))
-    main = main.select("bucket", F.col("m.component").alias("main"), F.greatest(F.lit(1), F.ceil((F.col("total") - F.col("m.c")) / (BUCKET // 2))).cast("int").alias("q"), F.greatest(F.lit(1), F.ceil(F.col("m.c") / (BUCKET // 2))).cast("int").alias("s"))
-    rows = rows.join(main, "bucket")
+    main = main.select("bucket", "total", F.col("m.component").alias("main"), F.greatest(F.lit(1), F.ceil((F.col("total") - F.col("m.c")) / (BUCKET // 2))).cast("int").alias("q"), F.greatest(F.lit(1), F.ceil(F.col("m.c") / (BUCKET // 2))).cast("int").alias("s"))
+    rows = join_groups(rows, work.save(main, "large-main"), "bucket", "total", ["main", "q", "s"], F.col("node"))
     inside = F.col("component") == F.col("main")
     own = F.when(inside, F.pmod(F.xxhash64("node"), F.col("s"))).otherwise(F.pmod(F.xxhash64("node"), F.col("q"))).cast("int")
     q = F.sequence(F.lit(0), F.col("q") - 1)
@@ -575,14 +625,16 @@ def _pieces(rows: DataFrame, work: Workspace) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all columns: the first row of each component.
 
-    First is the smallest id, then the position. Texts without words have no
-    links, and all stay. Rows that repeat an id stay or go together.
+    First is the smallest non-null id, then the position. Texts without words
+    have no links, and all stay.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    order = F.struct(F.col(id_col).isNull().alias("null"), F.col(id_col).alias("id"), F.col("row").alias("row"), F.col("n_shingles").alias("n"))
-    kept = found.where("node IS NOT NULL").groupBy("component_id").agg(F.min(order).alias("k")).select(F.col("k.id").alias("_id"))
-    kept = kept.unionByName(found.where("node IS NULL").select(F.col(id_col).alias("_id"))).select(F.coalesce(F.col("_id").cast("string"), F.lit("-")).alias("_key")).distinct()
-    return docs.withColumn("_key", F.coalesce(F.col(id_col).cast("string"), F.lit("-"))).join(kept, "_key", "left_semi").select(*docs.columns)
+    work = Workspace(docs.sparkSession, "jaccard-join")
+    rows = identified(docs, work, id_col, text_col, True)
+    found = _classes(rows.select("row", "id", "text"), work)
+    order = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
+    kept = found.where("node IS NOT NULL").groupBy("label").agg(F.min(order).alias("k")).select("k.row")
+    kept = kept.unionByName(found.where("node IS NULL").select("row"))
+    return rows.join(kept, "row", "left_semi").select("doc.*")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
