@@ -66,25 +66,35 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
 
 
 def parse_chats(chats: DataFrame) -> DataFrame:
-    """The turns, array<struct<role, text, loss>>, back from formatted text and mask.
+    """The turns, array<struct<role, text>>, and loss_texts, the unescaped texts under the mask, back from formatted text and mask.
 
-    ``loss`` comes from the mask, whose runs are those of the text's pieces.
+    The formatted text is cut at its control strings into the pieces that the
+    mask tells of; piece by piece their lengths have to agree, so that each run
+    of the mask covers the text at its own place. Only the mask decides which
+    pieces are loss texts.
     """
-    blocks = F.split(F.col("formatted"), r"<\|im_end\|>\n")
-    blocks = F.filter(blocks, lambda b: b != "")
-    blocks = F.transform(blocks, lambda b: F.substring(b, len(START) + 1, F.length(b)))
-
-    def read(b: Column) -> Column:
-        name = F.substring_index(b, "\n", 1)
-        texts = F.split(F.substring(b, F.length(name) + 2, F.length(b)), r"<\|im_sep\|>")
-        return F.transform(texts, lambda t, j: F.struct(unescape(name).alias("role"), t.alias("raw"), (j == F.size(texts) - 1).alias("closes")))
-
-    told = chats.withColumn("_turns", F.flatten(F.transform(blocks, read)))
-    # In the mask, every turn has a head or separator and its text; a block's last turn has the end mark besides.
-    runs = F.filter(F.transform("mask", lambda m, i: F.struct(m["chars"].alias("chars"), m["loss"].alias("loss"), i.alias("i"))), lambda m: m["loss"])
-    told = told.withColumn("_spoken", F.filter("_turns", lambda t: t["role"] == "assistant")).withColumn("_runs", runs)
-    lost = F.transform(F.arrays_zip(F.col("_spoken"), F.col("_runs")), lambda z: F.when(F.length(z["_spoken"]["raw"]) == z["_runs"]["chars"], unescape(z["_spoken"]["raw"])).otherwise(F.raise_error(F.lit("the mask does not fit the text")).cast("string")))
-    return told.select(*chats.columns, F.transform("_turns", lambda t: F.struct(t["role"].alias("role"), unescape(t["raw"]).alias("text"))).alias("turns"), lost.alias("loss_texts"))
+    blocks = F.filter(F.split(F.col("formatted"), r"<\|im_end\|>\n"), lambda b: b != "")
+
+    def cut(b: Column) -> Column:
+        """A block's head and texts."""
+        head = F.concat(F.substring_index(b, "\n", 1), F.lit("\n"))
+        return F.struct(head.alias("head"), F.split(F.substring(b, F.length(head) + 1, F.length(b)), r"<\|im_sep\|>").alias("texts"))
+
+    def turns(b: Column) -> Column:
+        role = F.substring(b["head"], len(START) + 1, F.length(b["head"]) - len(START) - 1)
+        return F.transform(b["texts"], lambda t: F.struct(unescape(role).alias("role"), unescape(t).alias("text")))
+
+    def pieces(b: Column) -> Column:
+        texts = F.flatten(F.transform(b["texts"], lambda t, j: F.array(F.when(j == 0, b["head"]).otherwise(F.lit(SEP)), t)))
+        return F.concat(texts, F.array(F.lit(END + "\n")))
+
+    told = chats.withColumn("_blocks", F.transform(blocks, cut))
+    told = told.withColumn("_pieces", F.flatten(F.transform("_blocks", pieces)))
+    wrong = F.raise_error(F.lit("the mask does not fit the text"))
+    fits = (F.size("_pieces") == F.size("mask")) & F.forall(F.arrays_zip("_pieces", "mask"), lambda z: F.length(z["_pieces"]).eqNullSafe(z["mask"]["chars"]))
+    masked = F.filter(F.arrays_zip("_pieces", "mask"), lambda z: z["mask"]["loss"])
+    lost = F.when(fits, F.transform(masked, lambda z: unescape(z["_pieces"]))).otherwise(wrong.cast("array<string>"))
+    return told.select(*chats.columns, F.flatten(F.transform("_blocks", turns)).alias("turns"), lost.alias("loss_texts"))
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,12 @@ stated total. Then the transfer framing is taken off and the digest compared.
 
 Files are written and read by Spark, as rows of text and as binary files, and
 none is larger than ``file_bytes`` and one record. What does not add up is told
-in ``problem``, with payload columns null.
+in ``problem``, with payload columns null; of an archive that breaks off or
+holds something else, the records before that place are read, and a row with a
+null page tells where. An empty folder gives no rows.
+
+Payloads are equal if their SHA-256 and lengths are; the SHA-1 that records
+print decides nothing.
 
 Defined results: null payload counts as empty; a row with a null page id is a
 response if no row with an id has its payload; rows that repeat a page id with
@@ -108,6 +113,8 @@ def parse_records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             raise ValueError(f"no record at byte {at}")
         fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
         size = int(fields["content-length"])
+        if size < 0:
+            raise ValueError(f"the record at byte {at} has a negative length")
         block = archive[end + 4 : end + 4 + size]
         at = end + 4 + size
         if len(block) != size or archive[at : at + 4] != b"\r\n\r\n":
@@ -148,7 +155,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     """Writes the pages' records as archives into the folder ``path``."""
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"), F.monotonically_increasing_id().alias("row"))
-    rows = rows.withColumn("digest", F.concat_ws("/", F.sha1("payload"), F.octet_length("payload").cast("string")))
+    rows = rows.withColumn("digest", F.concat_ws("/", F.sha2("payload", 256), F.octet_length("payload").cast("string")))
     groups = rows.select("page_id", "digest").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_page"))
     work = Workspace(pages.sparkSession, "payloads")
     groups = work.save(groups, "groups")
@@ -188,20 +195,28 @@ def _told(fields: dict[str, str], block: bytes) -> tuple:
     return page_id, len(payload), digest, kind, refers_to, None
 
 
+def _part(fields: dict[str, str], block: bytes) -> tuple:
+    """The columns of _PARTS of one record."""
+    origin = fields.get("warc-segment-origin-id", fields["warc-record-id"])
+    number, total = int(fields.get("warc-segment-number", 0)), fields.get("warc-segment-total-length")
+    if not number:
+        return origin, 0, None, False, None, *_told(fields, block)
+    page = int(fields["x-page-id"]) if "x-page-id" in fields else None
+    stated = fields.get("warc-payload-digest", "").removeprefix("sha1:")
+    return origin, number, int(total) if total else None, bool(total), block, page, None, stated, fields["warc-type"], None, None
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _PARTS from archives (path, content)."""
     schema = _schema(_PARTS)
     for batch in batches:
-        for archive in batch.column(0):
+        for path, archive in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             rows = []
-            for fields, block in parse_records(archive.as_py()):
-                origin = fields.get("warc-segment-origin-id", fields["warc-record-id"])
-                number, total = int(fields.get("warc-segment-number", 0)), fields.get("warc-segment-total-length")
-                if number:
-                    page = int(fields["x-page-id"]) if "x-page-id" in fields else None
-                    stated = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-                    rows.append((origin, number, int(total) if total else None, bool(total), block, page, None, stated, fields["warc-type"], None, None))
-                else:
-                    rows.append((origin, 0, None, False, None, *_told(fields, block)))
+            try:
+                for fields, block in parse_records(archive):
+                    rows.append(_part(fields, block))
+            except (ValueError, KeyError) as e:
+                rows.append((f"archive {path}", 0, None, False, None, None, None, None, None, None, f"after {len(rows)} records of {path}: {e}"))
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema)
 
 
@@ -242,7 +257,7 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, problem of each page in the archives."""
-    parts = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse, _PARTS)
+    parts = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_parse, _PARTS)
     dealt = parts.repartition(shuffle_partitions(spark), "origin").sortWithinPartitions("origin", "number")
     return dealt.mapInArrow(_assemble, _READ)
 
