@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -22,19 +23,25 @@ def label_counts(docs: DataFrame, labels: DataFrame, label: str, training: Colum
     return found.get(0, 0), found.get(1, 0)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training: Column, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text, label) of at most ``per_class`` documents of either label, chosen by a hash of their ids.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training: Column, per_class: int, id_col: str = "doc_id", text_col: str = "text", most_chars: int | None = None) -> DataFrame:
+    """(_doc, label, text) of at most ``per_class`` documents of either label, chosen by a hash of their ids.
 
     Rows of ``labels`` with a null id or label are left out; of several rows of
-    one document, the largest label counts. The sample of ids has at most twice
-    ``per_class`` rows and so is broadcast; texts are never shuffled.
+    one document, the largest label and the greatest text count. With
+    ``most_chars``, documents of a label are taken, in the order of the hash, as
+    long as they have no more characters together. The sample of ids has at
+    most twice ``per_class`` rows and so is broadcast.
     """
     told = _told(labels, label, training, id_col)
     order = [F.xxhash64(F.col(id_col).cast("string")), F.col(id_col)]
     ids = [told.where(F.col("label") == k).orderBy(*order).limit(per_class) for k in (0, 1)]
     chosen = ids[0].unionByName(ids[1]).select(F.col(id_col).alias("_id"), "label")
     rows = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_doc", "text", "label")
+    if most_chars is not None:
+        sizes = rows.select("_doc", F.length("text").alias("n")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).groupBy("_id", "label").agg(F.max("n").alias("n"))
+        upto = F.sum("n").over(W.partitionBy("label").orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").rowsBetween(W.unboundedPreceding, 0))
+        chosen = sizes.withColumn("upto", upto).where(F.col("upto") <= most_chars).select("_id", "label")
+    return rows.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).groupBy("_doc", "label").agg(F.max("text").alias("text"))
 
 
 def score_documents(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,9 +6,10 @@ function of its words; that of the document is their noisy-or,
 differentiated through the noisy-or down to weights of words and of beginnings
 of words. The probabilities of sentences then locate what offends.
 
-The fit runs on the driver, on at most ``PER_CLASS`` labelled documents of
-either label; scoring covers every row and whole texts, in one pass and without
-a shuffle.
+Executors turn the labelled documents into numbers; the fit runs on the driver,
+on at most ``PER_CLASS`` documents and ``MOST_CHARS`` characters of either
+label, and no text comes there. Scoring covers every row and whole texts, in
+one pass and without a shuffle.
 
 Defined results: null text counts as empty, and an empty text has the score of
 one empty sentence; repeated rows are scored alike; without labels of both
@@ -21,7 +22,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,6 +33,8 @@ from .labelled import keep_documents, labelled_sample, score_documents
 
 #: Labelled documents of either label that a fit may use at most.
 PER_CLASS = 4000
+#: Characters that these may have together, for either label.
+MOST_CHARS = 32 << 20
 #: Weights are held by hash of a feature, modulo this number.
 BUCKETS = 1 << 17
 #: Lengths of the beginnings of words that are features beside the whole word.
@@ -41,7 +43,7 @@ PREFIXES = (3, 4, 5, 6)
 LEAST_DOCS = 5
 #: Characters of a piece at most; longer ones are cut.
 LONGEST = 64
-_EDGE = re.compile(r"^\W+|\W+$")
+_WORD = re.compile(r"[^\W_]+")
 _ENDS = (".", "!", "?", "\n", "。", "！", "？", "｡")
 #: White space beside the space and the line feed (for RE2), and ends of sentences that no space follows.
 _ODD_SPACE = r"[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -60,19 +62,18 @@ _TEXTS, _PLACES = 256, 1 << 18
 def word_features(piece: str) -> list[int]:
     """Buckets of a piece of text between spaces.
 
-    A word gives itself and its beginnings. Where words cannot be told (scripts
-    without spaces, pieces of ``LONGEST`` characters), the strings of two to six
-    characters at every place count; the longer ones are named like beginnings.
+    A word, letters and digits between other characters, gives itself and its
+    beginnings. Where words cannot be told (scripts without spaces, pieces of
+    ``LONGEST`` characters), the strings of two to six characters at every place
+    count, too; the longer ones are named like beginnings.
     """
     low = piece.lower()
-    word = _EDGE.sub("", low)
-    if not word:
-        return []
-    if len(piece) >= LONGEST or not piece.isascii() and _UNSPACED.search(piece):
-        names = {"w" + word, *(f"c{low[i : i + 2]}" for i in range(len(low) - 1))}
+    names = set()
+    for word in _WORD.findall(low):
+        names.update(("w" + word, *(f"p{word[:n]}" for n in PREFIXES if len(word) > n)))
+    if names and (len(piece) >= LONGEST or not piece.isascii() and _UNSPACED.search(piece)):
+        names.update(f"c{low[i : i + 2]}" for i in range(len(low) - 1))
         names.update(f"p{low[i : i + n]}" for n in PREFIXES for i in range(len(low) - n + 1))
-    else:
-        names = {"w" + word, *(f"p{word[:n]}" for n in PREFIXES if len(word) > n)}
     return [zlib.crc32(x.encode()) % BUCKETS for x in sorted(names)]
 
 
@@ -194,32 +195,59 @@ class ToxicityModel:
         return {c: np.concatenate(x) if x else np.zeros(0) for c, x in told.items()}
 
 
+#: What a fit needs of texts: of a document, its label and, place by place, hashes of pieces (64 bits) and numbers of
+#: sentences (32 bits); of a few documents, each piece's hash, its number of features, and these (32 bits).
+_BAGS = pa.schema([("label", pa.int32()), ("pieces", pa.binary()), ("sentences", pa.binary()), ("names", pa.binary()), ("n_features", pa.binary()), ("features", pa.binary())])
+
+
+def bags(texts, labels) -> pa.RecordBatch:
+    """Rows of ``_BAGS`` of an Arrow array of texts."""
+    import numpy as np
+    import xxhash
+
+    distinct, index, sentence, doc = split_sentences(texts)
+    names = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in distinct), np.uint64, len(distinct)).view(np.int64)
+    found = [word_features(x) for x in distinct]
+    features = np.fromiter((f for fs in found for f in fs), np.int32)
+    at = np.searchsorted(doc[sentence], np.arange(len(texts) + 1))
+    own = [(names[index[a:b]].tobytes(), (sentence[a:b] - sentence[a]).tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
+    none = [None] * len(own)
+    rows = [*zip(labels, *(zip(*own, strict=True) if own else ((), ())), none, none, none, strict=True), (None, None, None, names.tobytes(), np.array([len(f) for f in found], np.int32).tobytes(), features.tobytes())]
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _BAGS, strict=True)], schema=_BAGS)
+
+
 def fit(texts: list[str], toxic: list[int], rounds: int = 150, rate: float = 0.15, sparsity: float = 5e-4) -> ToxicityModel:
-    """Full-batch Adam on the cross-entropy of noisy-or documents, documents of either label weighing as much."""
+    """A model from texts."""
+    parts = [bags(pa.array(texts[k : k + _TEXTS], pa.string()), [int(x) for x in toxic[k : k + _TEXTS]]) for k in range(0, len(texts), _TEXTS)]
+    return fit_bags([r for b in parts for r in zip(*[c.to_pylist() for c in b.columns], strict=True)], rounds, rate, sparsity)
+
+
+def fit_bags(rows: list[tuple], rounds: int = 150, rate: float = 0.15, sparsity: float = 5e-4) -> ToxicityModel:
+    """Full-batch Adam on the cross-entropy of noisy-or documents, documents of either label weighing as much; ``rows`` of ``_BAGS``."""
     import numpy as np
 
-    y = np.array(toxic, float)
+    told = [r[3:] for r in rows if r[0] is None]
+    rows = sorted(r[:3] for r in rows if r[0] is not None)
+    y = np.array([r[0] for r in rows], float)
     if not len(y) or y.min() == y.max():
         return ToxicityModel(constant=float(y.mean()) if len(y) else 0.5)
-    # A few texts at a time become numbers, so that their pieces are never held all at once.
-    number, held, n_features, parts = {}, array("i"), array("i"), []
-    sentences = 0
-    for k in range(0, len(texts), _TEXTS):
-        pieces, index, sentence, doc = split_sentences(pa.array(texts[k : k + _TEXTS], pa.string()))
-        own = np.zeros(len(pieces), np.int32)
-        for i, piece in enumerate(pieces):
-            if (at := number.get(piece)) is None:
-                at = number[piece] = len(number)
-                found = word_features(piece)
-                held.extend(found)
-                n_features.append(len(found))
-            own[i] = at
-        parts.append((own[index], sentence + np.int32(sentences), doc + np.int32(k)))
-        sentences += len(doc)
-    index, sentence, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-    distinct, n_features = len(number), np.array(n_features, np.int64)
-    del parts, number
-    feature, first = np.frombuffer(held, np.int32) if held else np.zeros(0, np.int32), np.concatenate([[0], np.cumsum(n_features)])
+    joined = lambda k, kind: np.frombuffer(b"".join(r[k] for r in told), kind)
+    names, counts, held = joined(0, np.int64), joined(1, np.int32), joined(2, np.int32)
+    # A piece that several tasks tell of counts once.
+    known, first = np.unique(names, return_index=True)
+    n_features = counts[first].astype(np.int64)
+    ends = np.cumsum(n_features)
+    feature = held[np.repeat((np.cumsum(counts, dtype=np.int64) - counts)[first] - (ends - n_features), n_features) + np.arange(ends[-1] if len(ends) else 0)]
+    first = ends - n_features
+    distinct = len(known)
+    sizes = np.array([len(r[1]) // 8 for r in rows])
+    index = np.searchsorted(known, np.frombuffer(b"".join(r[1] for r in rows), np.int64)).astype(np.int32)
+    sentence = np.frombuffer(b"".join(r[2] for r in rows), np.int32)
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    in_doc = sentence[upto[1:] - 1].astype(np.int64) + 1  # every document has a place
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), in_doc)
+    sentence = sentence + np.repeat((np.cumsum(in_doc) - in_doc).astype(np.int32), sizes)
+    del rows, told, names, counts, held
     word = np.repeat(np.arange(distinct, dtype=np.int32), n_features)
     # Features of under LEAST_DOCS documents tell these documents apart and nothing else.
     seen, places = np.zeros(BUCKETS, np.int64), np.searchsorted(doc[sentence], np.arange(len(y) + 1))
@@ -262,9 +290,16 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 150, rate: float = 0.1
 
 def fit_on(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """A model from the labelled rows whose crc32 is not divisible by 5."""
-    rows = labelled_sample(docs, labels, "toxic", ~text_split(id_col, 0, 5), per_class, id_col, text_col).collect()
-    rows = sorted(rows, key=lambda r: (str(r["_doc"]), r["text"]))
-    return fit([r["text"] for r in rows], [r["label"] for r in rows])
+    rows = labelled_sample(docs, labels, "toxic", ~text_split(id_col, 0, 5), per_class, id_col, text_col, MOST_CHARS)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, _TEXTS):
+                part = batch.slice(k, _TEXTS)
+                yield bags(part.column(0), part.column(1).to_pylist())
+
+    kinds = ", ".join(f"{f.name} {'int' if f.name == 'label' else 'binary'}" for f in _BAGS)
+    return fit_bags([tuple(r) for r in rows.select("text", "label").mapInArrow(told, kinds).collect()])
 
 
 def locate_sentences(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:

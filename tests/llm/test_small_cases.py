@@ -36,12 +36,12 @@ def nothing(docs):
 def test_groups_join_hot_and_cold_rows(spark):
     rows = spark.range(1000).select("id", F.when(F.col("id") < 600, 0).when(F.col("id") < 990, F.col("id")).alias("k"))
     groups = rows.where("k IS NOT NULL").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("best"))
-    got = {r.id: r.best for r in join_groups(rows, groups, "k", "n", ["best"], F.col("id"), hot_groups=10).collect()}
+    got = {r.id: r.best for r in join_groups(rows, groups, "k", "n", ["best"], F.col("id"), hot_groups=10, least=1).collect()}
     assert got == {i: 599 if i < 600 else i if i < 990 else None for i in range(1000)}
 
 
 def test_exact_dedup(docs, nothing):
-    got = exact_dedup.dedup_exact(docs, block=8).collect()
+    got = exact_dedup.dedup_exact(docs, block=512).collect()
     assert len(got) == len(TEXTS)
     same = {r.text_sha256: [x for x in got if x.text_sha256 == r.text_sha256] for r in got}
     for rows in same.values():
@@ -56,8 +56,9 @@ def test_exact_dedup(docs, nothing):
 
 def test_one_name_a_text(docs):
     """Short blocks give the levels of naming that long texts have."""
-    by_block = [{(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.dedup_exact(docs, block=b).collect()} for b in (3, 64, 1 << 20)]
-    assert by_block[0] == by_block[1] == by_block[2]
+    short = docs.withColumn("text", F.left("text", F.lit(60)))
+    by_block = [{(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.dedup_exact(short, block=b).collect()} for b in (3, 1 << 20)]
+    assert by_block[0] == by_block[1]
 
 
 @pytest.mark.parametrize(
@@ -272,12 +273,44 @@ def test_nearest(spark):
 
 
 def test_pigeonhole_finds_every_code_within_the_radius():
-    codes = np.random.default_rng(5).integers(0, 2**63, 3000).astype(np.uint64)
-    codes[:50] = codes[0] ^ (np.uint64(1) << np.arange(50).astype(np.uint64))
+    codes = np.random.default_rng(5).integers(0, 1 << 16, (3000, ann.PARTS)).astype(np.uint16)
+    for i in range(1, 50):
+        codes[i] = codes[0]
+        for b in range(i):
+            codes[i, b * 5 % ann.PARTS] ^= np.uint16(1 << (b * 7 % 16))
     index = ann.SubstringIndex(codes)
-    for radius in (0, 3, 9, 26):
-        found = index.within(codes[0], radius, ann._masks(index.width, radius // ann.PARTS))
-        assert set(found.tolist()) == set(np.flatnonzero(np.bitwise_count(codes ^ codes[0]) <= radius).tolist())
+    for radius in (0, 3, 9, 26, 50):
+        found = index.within(codes[0], radius, [ann._masks(16, r) for r in ann.reaches(radius)])
+        assert set(found.tolist()) == set(np.flatnonzero(ann.distances(codes, codes[0]) <= radius).tolist())
+
+
+def clusters(n=40, each=8, dim=48):
+    """Groups of near vectors, far from each other: the radius that is learned is narrow."""
+    draw = np.random.default_rng(14)
+    x = np.repeat(draw.standard_normal((n, dim)), each, axis=0)
+    return x + 0.01 * draw.standard_normal(x.shape)
+
+
+def test_both_ways_to_probe_find_the_same(spark, monkeypatch):
+    x = clusters()
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    told = []
+    for probes in (ann.PROBES, -1):
+        monkeypatch.setattr(ann, "PROBES", probes)
+        told.append(sorted(tuple(r) for r in ann.search(df, df.where("vec_id % 20 = 0")).collect()))
+    assert told[0] == told[1]
+    want = ann.brute_force(x, range(len(x)), range(0, len(x), 20))
+    assert {(q, v) for q, _, v, _ in told[0]} == {(q, v) for q, vs in want.items() for v in vs}
+
+
+def test_a_vector_that_most_rows_have(spark):
+    """Ties go to the smallest ids, and rows that repeat an id count once."""
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(60)] + [(7, [1.0, 2.0, 3.0])] * 5 + [(100 + i, [float(i), 1.0, 0.5]) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, df.where("vec_id IN (3, 50, 110)")).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert [v for _, v in sorted(got[3])] == [0, 1, 2, 4, 5] and [v for _, v in sorted(got[50])] == [0, 1, 2, 3, 4] and len(got[110]) == 5
 
 
 def labelled(n=600):
@@ -330,7 +363,9 @@ def test_labels_with_nulls_and_repeats(spark, docs):
     from metrascope.llm.labelled import labelled_sample
 
     got = sorted((r["_doc"], r["label"]) for r in labelled_sample(docs, labels, "toxic", F.lit(True), 10).collect())
-    assert got == [(1, 1), (1, 1), (9, 0)]
+    few = labelled_sample(docs, labels, "toxic", F.lit(True), 10, most_chars=10)
+    assert [(r["_doc"], r["label"]) for r in few.collect()] == [(9, 0)]
+    assert got == [(1, 1), (9, 0)]
 
 
 def insulting(join, word="nastya"):
@@ -371,6 +406,21 @@ def test_toxicity_of_texts_without_spaces():
     assert toxicity.split_sentences(pa.array(["一二。三四！五", "a b"]))[3].tolist() == [0, 0, 0, 1]
 
 
+def test_the_last_word_of_10000_characters_counts(toxic_model):
+    """A run without spaces whose last word is toxic, against the same run without it."""
+    import pyarrow as pa
+
+    run = "".join(f"word{k % 300}" for k in range(1500))[:10_000]
+    bad, clean = toxic_model.score(pa.array([run + "nastyb", run + "word38"]))["score"]
+    assert bad > 0.5 and bad > clean + 0.2
+
+
+@pytest.mark.parametrize("joined", ["you,nastyc", "you.nastyc", "(nastyc)", "you_nastyc", "so-nastyc!", "you/nastyc"])
+def test_punctuation_parts_words(joined):
+    word = set(toxicity.word_features("nastyc"))
+    assert word <= set(toxicity.word_features(joined))
+
+
 def test_cut_pieces_are_whole():
     for piece in ("ab" * 500, "x" * 65, "a," * 100, "http://a.b/" + "c" * 300 + "?" + "d" * 10, "。" * 70):
         parts, ends = toxicity.cut_piece(piece)
