@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,22 +21,43 @@ DASHES, SINGLE_QUOTES, DOUBLE_QUOTES = "[\u2010-\u2015]", "[\u2018\u2019`]", "[\
 SOURCE_RADIUS, METADATA_RADIUS = 700, 400
 
 
-def match_positions(text: Column, pattern: str) -> Column:
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def sums_before(xs: Column, block: int = 64) -> Column:
+    """For each integer of an array, the sum of those before it.
+
+    Sums of blocks, then sums within a block: arrays of any usual length take
+    time in proportion to their length.
+    """
+    add = lambda part: F.aggregate(part, F.lit(0), lambda s, x: s + x)
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.expr("CAST(array() AS ARRAY<INT>)"))
+
+    def of(xs: Column) -> Column:
+        totals = F.transform(upto(F.ceil(F.size(xs) / block).cast("int")), lambda b: add(F.slice(xs, b * block + 1, F.lit(block))))
+        bases = let(totals, lambda ts: F.transform(ts, lambda _, i: add(F.slice(ts, F.lit(1), i))))
+        here = lambda bs: F.transform(xs, lambda _, i: F.get(bs, F.floor(i / block).cast("int")) + add(F.slice(xs, i - i % block + 1, i % block)))
+        return let(bases, here)
+
+    return let(xs, of)
+
+
+def match_positions(text: Column, pattern: str | Column) -> Column:
     """array<struct<offset, matched>> of all non-empty matches, offsets counted in characters from 0.
 
     The pieces between matches and the matches themselves add up to the text.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS ARRAY<STRUCT<offset: INT, matched: STRING>>)").alias("hits"))
-    steps = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("skip"), m.alias("matched")))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    found, pieces = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
+    steps = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("skip"), m.alias("matched")))
 
-    def add(state: Column, step: Column) -> Column:
-        at = state["at"] + step["skip"]
-        hit = F.struct(at.alias("offset"), step["matched"].alias("matched"))
-        return F.struct((at + F.length(step["matched"])).alias("at"), F.array_append(state["hits"], hit).alias("hits"))
+    def placed(steps: Column) -> Column:
+        starts = sums_before(F.transform(steps, lambda s: s["skip"] + F.length(s["matched"])))
+        return F.zip_with(steps, starts, lambda s, at: F.struct((at + s["skip"]).alias("offset"), s["matched"].alias("matched")))
 
-    return F.aggregate(steps, start, add, lambda state: state["hits"])
+    return let(steps, placed)
 
 
 def window(text: Column, offset: Column, radius: int, length: Column | int = 0) -> Column:

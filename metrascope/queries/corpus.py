@@ -75,9 +75,26 @@ def rule_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(spark, sf_dir).select("term", X.first_class(around, RULES, "plain").alias("rule_class")).groupBy("term", "rule_class").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Sentences that lexicon_scan sets before the texts, and the hits in them: term, tier, offset, matched, rule class.
+PLANTED = [
+    ("", []),
+    ("We thank ChatGPT for help with editing.", [("ChatGPT", "llm", 9, "ChatGPT", "ack_usage")]),
+    ("No AI was used; we did not use ChatGPT.", [("AI-bare", "generic", 3, "AI", "negation_context"), ("ChatGPT", "llm", 31, "ChatGPT", "negation_context")]),
+    ("Université Claude Bernard Lyon", [("Claude", "llm", 11, "Claude", "known_fp")]),
+    ("verified in Lean by computation", [("Lean", "prover", 12, "Lean", "usage_context")]),
+    ("GPT-4o wrote this", [("GPT", "llm", 0, "GPT-4o", "plain")]),
+    ("AI Usage: Claude Code", [("AI-bare", "generic", 0, "AI", "disclosure_genre"), ("AI-compound", "generic", 0, "AI Usage", "disclosure_genre"), ("Claude", "llm", 10, "Claude Code", "disclosure_genre")]),
+    ("large language models and mathlib", [("large language model", "llm", 0, "large language models", "usage_context"), ("mathlib", "prover", 26, "mathlib", "usage_context")]),
+    ("a lean argument of the bard", []),
+]
+
+
 def lexicon_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of the full lexicon."""
-    return L.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+    """Hits of the full lexicon in documents, lower-cased, after a sentence of known hits; dots keep the windows of hits apart from the text."""
+    docs = table(spark, sf_dir, "documents")
+    first = F.element_at(F.array(*[F.lit(x) for x, _ in PLANTED]), (F.pmod("doc_id", F.lit(len(PLANTED))) + 1).cast("int"))
+    text = F.concat(first, F.repeat(F.lit(" ."), 400), F.lit(" "), F.lower(F.coalesce("text", F.lit(""))))
+    return L.scan(docs.select("doc_id", text.alias("text")), ["doc_id"]).drop("context")
 
 
 def source_and_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,21 +130,29 @@ def tool_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quote_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item, document) pairs in which the passage stands word for word.
 
-    Passages meet documents by one of their words, and only (document, word)
-    rows take part in that join; candidates then meet their texts.
+    Passages meet documents by the rarest of their words, and only (document,
+    word) rows take part in that join; candidates then meet their texts.
     """
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     words = F.split(F.col("text"), r"\s+")
-    # The words at a passage's ends may go on in the document; those between cannot. Long words are rarer.
-    inner = F.filter(F.slice(words, 2, F.greatest(F.lit(0), F.size(words) - 2)), lambda w: w != "")
-    rarest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
-    # A passage of fewer than three words has no such word and is an error.
-    none = F.raise_error(F.lit("passages need three words at least")).cast("string")
-    asked = items.select("item_id", F.when(F.size(inner) > 0, rarest).otherwise(none).alias("word"))
-    held = docs.select("doc_id", F.explode(F.array_distinct(words)).alias("word"))
-    met = held.join(asked, "word").select("item_id", "doc_id")
-    texts = met.join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", F.col("text").alias("passage")), "item_id")
-    return texts.where(F.contains("text", "passage")).select("item_id", "doc_id").distinct()
+    # The words at a passage's ends may go on in the document; those between cannot.
+    inner = F.array_distinct(F.filter(F.slice(words, 2, F.greatest(F.lit(0), F.size(words) - 2)), lambda w: w != ""))
+    asked = items.select("item_id", F.explode(inner).alias("word"))
+    # Of the documents' words only those of passages are counted and kept; the list is as long as the passages' vocabulary.
+    held = docs.select("doc_id", F.explode(F.array_distinct(words)).alias("word")).join(asked.select("word").distinct(), "word", "left_semi")
+    counted = held.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    rarest = asked.join(counted, "word", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("w")).select("item_id", "w.word")
+    met = held.join(rarest, "word").select("item_id", "doc_id")
+    passages = items.select("item_id", F.col("text").alias("passage"))
+    texts = met.join(docs.select("doc_id", "text"), "doc_id").join(passages, "item_id")
+    found = texts.where(F.contains("text", "passage")).select("item_id", "doc_id")
+    # Passages of fewer than three words have no such word; as a list they meet the words of each document that may hold them.
+    short = passages.where((F.size(F.split("passage", r"\s+")) < 3) & (F.length("passage") > 0))
+    if short.limit(1).count():
+        listed = [r["passage"] for r in short.select("passage").distinct().collect()]
+        held_by = docs.select("doc_id", F.explode(F.filter(F.array(*[F.lit(x) for x in listed]), lambda p: F.contains(F.col("text"), p))).alias("passage"))
+        found = found.unionByName(held_by.join(short, "passage").select("item_id", "doc_id"))
+    return found.distinct()
 
 
 def quote_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,5 +201,7 @@ ORACLE_SQL = {
     "quote_containment": "SELECT DISTINCT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
     "middle_cut": """WITH c AS (SELECT doc_id, CASE WHEN length(text) > 3000 THEN left(text, 2000) || chr(10) || '[...]' || chr(10) || right(text, 1000) ELSE text END AS c FROM documents)
         SELECT doc_id, length(c) AS chars, sha256(c) AS sha256 FROM c""",
+    "lexicon_scan": f"""WITH p(k, term, tier, "offset", matched, rule_class) AS (VALUES {", ".join(f"({k}, '{t}', '{tier}', {at}, '{m}', '{c}')" for k, (_, hits) in enumerate(PLANTED) for t, tier, at, m, c in hits)})
+        SELECT doc_id, term, tier, "offset", matched, rule_class FROM documents JOIN p ON k = doc_id % {len(PLANTED)}""",
     "source_and_language": "SELECT FALSE AS hit, count(*) AS documents FROM documents",
 }
