@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, operator by operator."""
 
 import base64
+import bisect
 import hashlib
 import itertools
 import zlib
@@ -96,6 +97,18 @@ def test_chats(spark):
     assert chat_format.format_chats(rows.where("false")).count() == 0
 
 
+def test_the_mask_decides_what_is_lost(spark):
+    """A mask that lies on another text of the same length gives that text; one that fits no pieces is refused."""
+    rows = spark.createDataFrame([(1, 0, "user", "abcd"), (1, 1, "assistant", "wxyz")], "conv_id long, turn long, role string, text string")
+    out = chat_format.format_chats(rows)
+    moved = out.withColumn("mask", F.transform("mask", lambda m, i: F.struct(m["chars"].alias("chars"), (i == 1).alias("loss"))))
+    assert [chat_format.parse_chats(x).first().loss_texts for x in (out, moved)] == [["wxyz"], ["abcd"]]
+    for change in (lambda m, i: m["chars"] + F.when(i == 0, 1).when(i == 1, -1).otherwise(0), lambda m, i: m["chars"] + (i == 4).cast("int")):
+        broken = out.withColumn("mask", F.transform("mask", lambda m, i: F.struct(change(m, i).cast("int").alias("chars"), m["loss"].alias("loss"))))  # noqa: B023
+        with pytest.raises(Exception, match="does not fit"):
+            chat_format.parse_chats(broken).collect()
+
+
 def shingles(text):
     words = (text or "").encode().lower().split()
     return frozenset(zip(*[words[i:] for i in range(5)], strict=False)) if len(words) >= 5 else frozenset([tuple(words)] if words else [])
@@ -129,6 +142,42 @@ def test_near_duplicates(docs, nothing):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 4, 5, 6, 9]
 
 
+CLASHING = ("_id", "_sha", "_n", "_key", "row", "doc", "node", "label", "part", "id", "identity", "size", "score")
+
+
+def test_stages_keep_foreign_columns(spark):
+    """Columns with the names that operators use keep their values and types; null and repeated ids, copies and empty texts."""
+    copies = [(1, "a b c d e f g h"), (1, "a b c d e f g h"), (2, " a b c d e f g h"), (None, "a b c d e f g h"), (None, "x y z q r"), (None, "x y z q r s t"), (3, None), (4, ""), (5, LONG), (6, LONG + " end"), (7, LONG)]
+    rows = [(d, t, *[k * 100 + j for j in range(len(CLASHING))]) for k, (d, t) in enumerate(copies)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` int" for c in CLASHING))
+    by_place = {r[2]: r for r in rows}
+    exact = exact_dedup.drop_exact_duplicates(docs)
+    near = jaccard_join.drop_near_duplicates(docs)
+    for kept, want in ((exact, [[2], [4], [5], [6, 7], [8, 10], [9]]), (near, [[0, 1], [4], [5], [6], [7], [8]])):
+        assert kept.dtypes == docs.dtypes
+        got = [tuple(r) for r in kept.collect()]
+        assert all(by_place[r[2]] == r for r in got)
+        places = sorted(r[2] // 100 for r in got)
+        assert len(places) == len(want) and all(p in w for p, w in zip(places, want, strict=True))
+
+
+def test_one_group_of_long_copies_is_dealt_to_all_tasks(spark, monkeypatch):
+    """Half of all rows are copies of one text of several blocks: each join of names deals them to several copies of their group."""
+    seen = []
+    real = exact_dedup.join_groups
+
+    def spy(rows, groups, key, size, values, salt):
+        out = real(rows, groups, key, size, values, salt, hot_groups=10, least=10)
+        seen.append((key, groups.agg(F.max(size)).first()[0], "_copies" in out._jdf.queryExecution().analyzed().toString()))
+        return out
+
+    monkeypatch.setattr(exact_dedup, "join_groups", spy)
+    texts = [(k, "same " * 40 if k % 2 else f"own {k} " * 40) for k in range(400)]
+    got = exact_dedup.dedup_exact(spark.createDataFrame(texts, "doc_id long, text string"), block=64).collect()
+    assert all(r.keep_id == (1 if r.doc_id % 2 else r.doc_id) and r.group_size == (200 if r.doc_id % 2 else 1) for r in got)
+    assert len(seen) == 3 and all(largest >= 200 and dealt for _, largest, dealt in seen)
+
+
 def variants(n, seed=3):
     """A chain of edits, many edits of one text, and texts that share a passage."""
     draw = np.random.default_rng(seed)
@@ -186,14 +235,73 @@ def test_packing(docs, nothing):
     assert packing.pack(nothing, path).count() == 0
 
 
-def test_plan_is_best_fit_decreasing():
-    placed = packing.plan_runs([(6, 2), (4, 1), (3, 2), (1, 3)], 10)
-    gaps = {}
-    for length, _, n, first, offset in placed:
-        for s in range(first, first + n):
-            assert gaps.get(s, 0) == offset
-            gaps[s] = offset + length
-    assert sorted(gaps.values()) == [10, 10, 5] or sum(gaps.values()) == 25
+def best_fit(lengths, capacity):
+    """Sequences of best-fit decreasing, one piece after the other."""
+    gaps, n = [], 0
+    for length in sorted(lengths, reverse=True):
+        k = bisect.bisect_left(gaps, length)
+        gap = gaps.pop(k) if k < len(gaps) else capacity
+        n += gap == capacity
+        if gap > length:
+            bisect.insort(gaps, gap - length)
+    return n
+
+
+def filled(placed, gaps=()):
+    """Checks that pieces stand gapless in their sequences, and gives what each holds."""
+    held = {}
+    for _, length, at, offset in placed:
+        held.setdefault(at, []).append((offset, length))
+    for at, parts in held.items():
+        start = dict(gaps).get(at, 0)
+        for offset, length in sorted(parts):
+            assert offset == start
+            start += length
+    return {at: sum(n for _, n in parts) for at, parts in held.items()}
+
+
+def test_a_sweep_is_best_fit_decreasing():
+    draw = np.random.default_rng(12)
+    for n in (1, 5, 60, 800):
+        lengths = draw.integers(1, 101, n).tolist()
+        rows = sorted(((packing._PIECE, k, x) for k, x in enumerate(lengths)), key=lambda r: -r[2])
+        placed, left, gaps, small = packing.sweep(iter(rows), 100, itertools.count())
+        assert not left and sorted(k for k, *_ in placed) == list(range(n))
+        held = filled(placed)
+        assert max(held.values()) <= 100 and len(held) == best_fit(lengths, 100)
+        assert dict(gaps + small) == {at: 100 - n for at, n in held.items() if n < 100}
+
+
+def test_a_sweep_takes_the_smallest_gap_that_holds_a_piece():
+    piece, gap = packing._PIECE, packing._GAP
+    placed, left, gaps, small = packing.sweep(iter([(piece, 1, 90), (gap, 7, 80), (gap, 8, 60), (piece, 2, 50), (piece, 3, 50), (piece, 4, 40), (gap, 9, 20)]), 100)
+    assert left == [(1, 90), (4, 40)] and [(k, at, offset) for k, _, at, offset in placed] == [(2, 8, 40), (3, 7, 20)]
+    assert gaps == [(9, 20), (7, 30)] and small == [(8, 10)] or dict(gaps + small) == {9: 20, 7: 30, 8: 10}
+
+
+def test_ranges_match_by_rank():
+    """Pieces of a range take the gaps of the nearest earlier range that has some left."""
+    got = packing.match_ranges([(0, 3, 5), (1, 0, 2), (2, 4, 1), (3, 1, 0), (4, 9, 0)])
+    assert got == [(2, 0, 1, 0, 2), (2, 2, 0, 0, 2), (3, 0, 2, 0, 1), (4, 0, 0, 2, 3)]
+
+
+def test_length_ranges_cover_all_lengths():
+    counts = {n: 3 for n in range(1, 2049)}
+    for most in (1, 50, 10**6):
+        got = packing.length_ranges(counts, 2048, most)
+        assert got[0][1] == 2048 and got[-1][0] == 0 and all(x[0] == y[1] for x, y in zip(got[:-1], got[1:], strict=True)) and sum(n for *_, n in got) == 3 * 2048
+    assert len(packing.length_ranges(counts, 2048, 10**6)) == 1
+
+
+def test_packing_over_many_ranges(spark, monkeypatch):
+    """Ranges of a few rows: pieces meet gaps of other ranges, and there are hardly more sequences than one task would make."""
+    monkeypatch.setattr(packing, "RANGE", 60)
+    draw = np.random.default_rng(13)
+    texts = [(k, "word " * int(n)) for k, n in enumerate(draw.integers(0, 90, 700))]
+    rows = packing.pack(spark.createDataFrame(texts, "doc_id long, text string"), P.path("byte_bpe_50k.json"), capacity=64).collect()
+    assert {r.doc_id for r in rows} == set(range(700))
+    held = filled([(r.doc_id, r.length, r.sequence_id, r.offset) for r in rows])
+    assert max(held.values()) <= 64 and len(held) <= 1.02 * best_fit([r.length for r in rows], 64)
 
 
 def test_bpe_round_trip(docs, nothing):
@@ -241,6 +349,22 @@ def test_warc(spark, tmp_path):
         want.append((i, len(t.encode()), b32(t), "revisit" if revisit else "response", first[t] if revisit else None, None))
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     warc.write_archives(rows.where("false"), str(tmp_path / "none"))
+    assert warc.read_archives(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_damaged_archives_do_not_stop_a_reader(spark, tmp_path):
+    """Cut off, garbage, empty, without an id, and an empty folder."""
+    record = lambda k: b"".join(warc.page_records(f"<urn:uuid:{k}>", k, "u", b"payload", None))
+    files = {"good": record(1) + record(2), "cut": record(3) + record(4)[:-30], "garbage": b"\x00\xff nothing", "empty": b"", "nameless": record(5) + record(6).replace(b"WARC-Record-ID", b"X-Record"), "negative": record(7).replace(b"Content-Length: 1", b"Content-Length: -1", 1)}
+    (tmp_path / "damaged").mkdir()
+    for name, data in files.items():
+        (tmp_path / "damaged" / name).write_bytes(data)
+    got = warc.read_archives(spark, str(tmp_path / "damaged")).collect()
+    assert sorted(r.page_id for r in got if r.problem is None) == [1, 2, 3, 5]
+    told = [r.problem for r in got if r.problem]
+    assert len(told) == 4 and all(any(name in x for x in told) for name in ("cut", "garbage", "nameless", "negative"))
+    (tmp_path / "none").mkdir()
+    assert warc.read_archives(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_broken_archives_are_told():
