@@ -37,8 +37,8 @@ def rate_columns(k: Column, n: Column, places: int = 5) -> list[Column]:
 
 
 def kappa(agree: Column, expected: Column) -> Column:
-    """Cohen's kappa from observed and expected agreement; NaN if nothing was rated, 1 if chance agrees fully."""
-    return F.when(agree.isNull(), F.lit(float("nan"))).when(expected >= 1, F.lit(1.0)).otherwise((agree - expected) / (1 - expected))
+    """Cohen's kappa from observed and expected agreement; NaN if nothing was rated or chance agrees fully."""
+    return F.when(agree.isNull() | (expected >= 1), F.lit(float("nan"))).otherwise((agree - expected) / (1 - expected))
 
 
 def cost(tokens: Column, rates: Column) -> Column:

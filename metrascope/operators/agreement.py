@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.stats import kappa, ratio, wilson_bound
+from ..functions.stats import kappa, rate_columns, ratio, wilson_bound
 
 
 def seeded(seed: str | int, *keys: str) -> Column:
@@ -55,6 +57,61 @@ def calibration(rows: DataFrame, human: Column, machine: Column) -> DataFrame:
         ratio(F.col("confirmed"), F.col("human_positive")).alias("recall"), ratio(F.col("concordant"), F.col("n")).alias("concordance"))
 
 
+#: What a reviewer says of a true disclosure, and what counts neither for nor against the machine.
+TRUE, NOT_EVALUABLE = "TRUE_DISCLOSURE", ("UNCLEAR", "INSUFFICIENT_EVIDENCE")
+
+
+def plant(frame: DataFrame, orders: DataFrame, n: int, skip: int, seed: str | int, key: str = "arxiv_id") -> DataFrame:
+    """``n`` keys of strata POS and FLAG to show again, none that a reviewer has among the first ``skip`` places.
+
+    ``frame``: key, stratum; ``orders``: reviewer, key, place (from 0).
+    """
+    seen = orders.where(F.col("place") < skip).select(key).distinct()
+    return frame.where(F.col("stratum").isin("POS", "FLAG")).join(seen, key, "left_anti").select(key).orderBy(seeded(f"{seed}-plants", key), key).limit(n)
+
+
+def stratified_calibration(verdicts: DataFrame, frame: DataFrame, machine: DataFrame, seen: DataFrame, excluded: DataFrame, key: str = "arxiv_id") -> DataFrame:
+    """measure, n, k, rate and Wilson bounds of a machine against reviewers, by what papers were shown as.
+
+    ``verdicts``: key, verdict; ``frame``: key, stratum (POS, FLAG, NEG), plant;
+    ``machine``: key, polarity; ``seen``: keys that the machine classified;
+    ``excluded``: key, reason. Excluded papers and verdicts that say nothing
+    count in measures of their own only. Agreement is also told apart by
+    whether the machine saw the paper.
+    """
+    told = verdicts.join(frame, key, "left").join(machine.select(key, "polarity"), key, "left")
+    told = told.join(seen.select(key).distinct().withColumn("_seen", F.lit(True)), key, "left").join(excluded.select(key, "reason").dropDuplicates([key]), key, "left")
+    true, use = F.coalesce(F.col("verdict") == TRUE, F.lit(False)), F.coalesce(F.col("polarity") == "author_use", F.lit(False))
+    plant, seen_too, silent = F.coalesce("plant", F.lit(False)), F.coalesce("_seen", F.lit(False)), F.coalesce(F.col("verdict").isin(*NOT_EVALUABLE), F.lit(False))
+    kept = F.col("reason").isNull()
+    counts = kept & ~silent
+    stratum = lambda s: counts & F.coalesce(F.col("stratum") == s, F.lit(False))
+    measures = {
+        "pos_shown": (stratum("POS") & ~plant, true), "pos_plants": (counts & plant & use, true), "flag": (stratum("FLAG") & ~plant, true), "neg": (stratum("NEG"), true),
+        "agreement": (counts, true == use), "agreement_seen": (counts & seen_too, true == use), "agreement_unseen": (counts & ~seen_too, true == use),
+        "not_evaluable": (kept & silent, F.lit(False)), "excluded": (~kept, F.lit(False)),
+    }
+    rows = told.agg(F.array(*[F.struct(F.lit(name).alias("measure"), F.count_if(inside).alias("_n"), F.count_if(inside & hit).alias("_k")) for name, (inside, hit) in measures.items()]).alias("m"))
+    return rows.select(F.inline("m")).select("measure", *rate_columns(F.col("_k"), F.col("_n")))
+
+
+def unblinded(answers: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Answers (reviewer, blind_id, ...) with the keys of ``mapping`` (reviewer, blind_id, key) behind them; a blind id that is missing on either side is an error."""
+    told = answers.withColumn("_answered", F.lit(True)).join(mapping, ["reviewer", "blind_id"], "full_outer")
+    problem = F.when(F.col("_answered").isNull(), F.concat(F.lit("no answer to "), F.col("blind_id"))).when(F.col("key").isNull(), F.concat(F.lit("unknown item "), F.col("blind_id")))
+    return told.where(F.when(problem.isNull(), True).otherwise(F.raise_error(problem).cast("boolean"))).drop("_answered")
+
+
+def axis_summary(answers: DataFrame, expected: DataFrame, key: str, axes: list[str]) -> DataFrame:
+    """axis, n, k: how many items of all answers agree with what is expected on each axis, and on all (axis ``all``)."""
+    want = expected.select(key, *[F.col(c).alias(f"_{c}") for c in axes])
+    same = [F.to_json(F.struct(F.col(c).alias("x"))).eqNullSafe(F.to_json(F.struct(F.col(f"_{c}").alias("x")))) for c in axes]
+    each = [F.struct(F.lit(c).alias("axis"), s.alias("same")) for c, s in zip(axes, same, strict=True)]
+    whole = F.struct(F.lit("all").alias("axis"), reduce(Column.__and__, same).alias("same"))
+    told = answers.join(want, key).select(F.inline(F.array(*each, whole)))
+    return told.groupBy("axis").agg(F.count(F.lit(1)).alias("n"), F.count_if("same").alias("k"))
+
+
 def stability(answers: DataFrame, item: str, axes: list[str], expected: dict[str, str] | None = None) -> DataFrame:
     """Whether all repetitions of an item agree on each axis, and match what is expected of it."""
     told = answers.groupBy(item).agg(*[(F.count_distinct(F.to_json(F.struct(c))) == 1).alias(f"{c}_stable") for c in axes], *[F.bool_and(F.col(c).eqNullSafe(F.col(e))).alias(f"{c}_expected") for c, e in (expected or {}).items()])

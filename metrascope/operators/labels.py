@@ -118,6 +118,9 @@ def passes_gates(grounded: bool, rendered: bool) -> Column:
 def roll_up(items: DataFrame, key: str = "arxiv_id", grounded: bool = False, rendered: bool = False) -> DataFrame:
     """One row per paper from valid items (id, polarity, impact, tools, models, categories, location, flags, gate columns).
 
+    Items may have booleans has_explicit_zero_attempt and has_undetermined_use:
+    states that one merged snippet carries beside its impact.
+
     The polarity of highest rank wins. Items of use that fail the gates do not
     count; papers left without use because of that are ``ungated``. Lists and
     impacts are merged over all items of use, the diagnostics of ``flags`` over
@@ -129,6 +132,7 @@ def roll_up(items: DataFrame, key: str = "arxiv_id", grounded: bool = False, ren
     told = items.withColumn("_ok", ~use | passes_gates(grounded, rendered))
     counts, used = F.col("_ok"), F.col("_ok") & use
     merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(used, F.col(c))))))
+    carried = lambda c: F.coalesce(F.bool_or(F.when(used, F.col(c))), F.lit(False)) if c in items.columns else F.lit(False)
     flag = lambda f, when: F.coalesce(F.bool_or(F.when(when, F.coalesce(F.try_element_at("flags", F.lit(f)), F.lit(False)))), F.lit(False))
     paper = told.groupBy(key).agg(
         F.max_by(F.when(counts, F.col("polarity")), F.when(counts, F.struct(F.coalesce(F.try_element_at(rank, F.col("polarity")), F.lit(0)), -F.col("id")))).alias("polarity"),
@@ -137,16 +141,52 @@ def roll_up(items: DataFrame, key: str = "arxiv_id", grounded: bool = False, ren
         F.array_sort(F.collect_set(F.when(used, F.col("impact")))).alias("impacts_seen"),
         F.max_by(F.when(used, F.col("impact")), F.when(used, F.struct(F.coalesce(F.try_element_at(weight, F.col("impact")), F.lit(0)), -F.col("id")))).alias("impact"),
         F.map_from_arrays(F.array(*[F.lit(f) for f in (*FLAGS, *DIAGNOSTICS)]), F.array(*[flag(f, used) for f in FLAGS], *[flag(f, counts) for f in DIAGNOSTICS])).alias("flags"),
-        F.bool_or(use & ~F.col("_ok")).alias("_failed"))
+        F.bool_or(use & ~F.col("_ok")).alias("_failed"), carried("has_explicit_zero_attempt").alias("_zero"), carried("has_undetermined_use").alias("_open"))
     seen = F.col("impacts_seen")
     return paper.select(
         key, "polarity", "tools", "models", "categories", "locations", "impact", "impacts_seen", "flags",
         F.arrays_overlap(seen, F.array(*[F.lit(x) for x in CONTRIBUTING])).alias("has_contributing_use"),
-        F.array_contains(seen, "zero_contribution").alias("has_zero_contribution_attempt"),
-        F.array_contains(seen, "undetermined").alias("has_undetermined_impact"),
+        (F.array_contains(seen, "zero_contribution") | F.col("_zero")).alias("has_zero_contribution_attempt"),
+        (F.array_contains(seen, "undetermined") | F.col("_open")).alias("has_undetermined_impact"),
         (F.col("_failed") & ~F.coalesce(F.col("polarity") == "author_use", F.lit(False))).alias("ungated"))
 
 
+#: How far a rendered text bears out a quote, best first.
+RENDER_RANK = {"rendered": 5, "rendered_fuzzy": 4, "non_rendered_evidence": 3, "quote_too_short": 3, "pdf_error": 2, "no_pdf": 2, "unknown_version": 1}
+RENDER_GROUPS = {"rendered": "certified", "rendered_fuzzy": "fuzzy", "non_rendered_evidence": "no_match", "quote_too_short": "no_match", "pdf_error": "no_text", "no_pdf": "no_text"}
+
+
+def certification(papers: DataFrame, items: DataFrame, key: str = "arxiv_id") -> DataFrame:
+    """``papers`` with render_status, the best of their valid items of use (of ties, the first by name), and the group it counts in."""
+    rank = F.create_map(*[x for s, r in RENDER_RANK.items() for x in (F.lit(s), F.lit(r))])
+    group = F.create_map(*[x for s, g in RENDER_GROUPS.items() for x in (F.lit(s), F.lit(g))])
+    worth = F.try_element_at(rank, F.col("render_status"))
+    best = items.where((F.col("status") == "ok") & (F.col("polarity") == "author_use") & worth.isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min_by("render_status", F.struct(-worth, F.col("render_status"))).alias("render_status"))
+    told = papers.join(best, F.col(key) == F.col("_key"), "left").drop("_key")
+    return told.withColumn("certification", F.coalesce(F.try_element_at(group, F.col("render_status")), F.lit("unknown")))
+
+
+def evidence_edges(items: DataFrame) -> DataFrame:
+    """(classification_item_id, scan_hit_id) of items (id, hit_ids), failed ones too: a failure keeps its lineage."""
+    return items.select(F.col("id").alias("classification_item_id"), F.explode("hit_ids").alias("scan_hit_id")).distinct()
+
+
+def settle_batches(snippets: DataFrame, replies: DataFrame) -> DataFrame:
+    """``snippets`` (batch, place, ...) with status and label_json of their replies (batch, error, ids, labels).
+
+    A batch counts as a whole: with an error, or ids other than 0 .. n-1, each
+    of its snippets is kept as an error row, so that none is lost or repeated.
+    """
+    size = snippets.groupBy("batch").agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    told = replies.join(size, "batch")
+    status = F.when(F.col("error").isNotNull(), F.concat(F.lit("error:"), F.left("error", F.lit(200)))).when(~reply_ids_complete(F.col("ids"), F.col("_n")), F.lit("error:ids are not those asked for")).otherwise("ok")
+    told = told.select("batch", status.alias("_status"), "ids", "labels")
+    met = snippets.join(told, "batch", "left")
+    own = F.get("labels", F.array_position("ids", F.col("place")).cast("int") - 1)
+    status = F.coalesce("_status", F.lit("error:no reply"))
+    return met.select(*snippets.columns, status.alias("status"), F.when(status == "ok", own).alias("label_json"))
+
+
 def eligible_items(evidence: DataFrame, hits: DataFrame, run: str) -> DataFrame:
     """Items with evidence from hits of one scan run."""
     own = hits.where(F.col("scan_run") == run).select(F.col("id").alias("scan_hit_id"))

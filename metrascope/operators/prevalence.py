@@ -57,6 +57,18 @@ def complete_weeks(grid: DataFrame) -> DataFrame:
     return weeks.where("days = 7").drop("days")
 
 
+def rebucket(grid: DataFrame, grain: str, top: int = 8) -> DataFrame:
+    """(series, bucket, n) of a day grid: the total, the ``top`` largest categories (ties by name), and the others as one.
+
+    Weeks and months count only where the grid holds all their days.
+    """
+    best = grid.groupBy("category").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "category").limit(top).select(F.col("category").alias("_best"))
+    told = grid.join(F.broadcast(best), F.col("category") == F.col("_best"), "left").withColumn("series", F.explode(F.array(F.lit("TOTAL"), F.coalesce("_best", F.lit("OTHER")))))
+    days = {"week": F.lit(7), "month": F.dayofmonth(F.last_day("day"))}.get(grain, F.lit(1))
+    cells = told.groupBy("series", bucket(F.col("day"), grain).alias("bucket")).agg(F.sum("n").alias("n"), F.count_distinct("day").alias("_days"), F.max(days).alias("_all"))
+    return cells.where("_days = _all").drop("_days", "_all")
+
+
 def rolling_pair(rows: DataFrame, day: Column, last: Column, span: int = 28, back: int = 364) -> DataFrame:
     """Rows of the ``span`` days up to ``last``, of the same window ``back`` days earlier, and the change in percent."""
     age = F.date_diff(last, F.to_date(day))

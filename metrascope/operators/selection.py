@@ -80,6 +80,18 @@ def coverage(frame: DataFrame, items: DataFrame, files: DataFrame, key: str = "a
     return met.withColumn("state", state.when(F.col("_got"), STATES[3]).otherwise(STATES[2])).drop("_ok", "_got")
 
 
+def checked_hashes(items: DataFrame, hits: DataFrame, ledger: DataFrame, key: str = "arxiv_id") -> tuple[DataFrame, DataFrame]:
+    """(items, hits) of a scan held against a ledger (key, sha256): bytes other than the ledger's are an error, and their hits do not count.
+
+    ``items``: key, error, read_sha256. Items that failed before keep their error.
+    """
+    told = items.join(ledger.select(F.col(key).alias("_key"), F.col("sha256").alias("_want")), F.col(key) == F.col("_key"), "left")
+    differs = F.coalesce(F.col("error").isNull() & (F.col("_want") != F.col("read_sha256")), F.lit(False))
+    why = F.concat(F.lit("HashMismatch: ledger "), F.left("_want", F.lit(12)), F.lit(" != read "), F.left("read_sha256", F.lit(12)))
+    told = told.withColumn("error", F.when(differs, why).otherwise(F.col("error"))).select(*items.columns)
+    return told, without(hits, told.where(F.col("error").startswith("HashMismatch")), [key])
+
+
 def version_stratum(version: Column, basis: Column) -> Column:
     """unknown, later, v1_inferred or v1; an unknown version is never taken for the first."""
     return F.when(version.isNull(), "unknown").when(version != 1, "later").when(basis == "inferred-single-version", "v1_inferred").otherwise("v1")
@@ -104,6 +116,6 @@ def membership_hash(rows: DataFrame, key: Column, version: Column) -> DataFrame:
                 n += 1
         yield pa.record_batch([pa.array([n], pa.int64()), pa.array([state.hexdigest()])], ["n", "membership_sha256"])
 
-    # The sort is distributed; one task then reads its partitions in turn, as a hash has to, and holds a batch.
+    # A digest of all lines in one order is one task's work by definition; it reads sorted lines and holds a batch.
     told = rows.select(line.alias("line")).orderBy("line").coalesce(1).mapInArrow(digest, "n long, membership_sha256 string")
     return told.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.coalesce(F.max("membership_sha256"), F.sha2(F.lit("").cast("binary"), 256)).alias("membership_sha256"))

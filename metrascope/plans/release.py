@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import rate_columns
+from ..functions.stats import rate_columns, ratio
 from ..operators.labels import roll_up
 from ..operators.selection import coverage, membership_hash, version_stratum
 
@@ -45,7 +46,7 @@ def run_problems(scans: DataFrame, labelled: DataFrame, items: DataFrame, scan_r
 
 
 def paper_table(papers: DataFrame, scan_items: DataFrame, files: DataFrame, hits: DataFrame, label_items: DataFrame, start: str, end: str, category: str = "math", **gates: bool) -> DataFrame:
-    """One row per paper of the cohort: month, state, stratum, flagged, pending, polarity, positive.
+    """One row per paper of the cohort: month, state, stratum, flagged, pending, failed, polarity, positive, unverified.
 
     ``hits`` and ``label_items`` are those of the selected runs.
     """
@@ -53,13 +54,13 @@ def paper_table(papers: DataFrame, scan_items: DataFrame, files: DataFrame, hits
     states = coverage(frame, scan_items, files)
     version = scan_items.groupBy("arxiv_id").agg(F.min("version").alias("version"), F.min("version_basis").alias("basis"))
     flagged = hits.where(F.col("tier").isin("llm", "generic") & (F.col("rule_class") != "known_fp")).select("arxiv_id", F.lit(True).alias("flagged")).distinct()
-    seen = label_items.select("arxiv_id", F.lit(True).alias("seen")).distinct()
+    seen = label_items.groupBy("arxiv_id").agg(F.lit(True).alias("seen"), F.bool_or(F.col("status") == "ok").alias("any_ok"))
     rolled = roll_up(label_items.where("status = 'ok'"), **gates).select("arxiv_id", "polarity", "ungated")
     rows = states.join(version, "arxiv_id", "left").join(flagged, "arxiv_id", "left").join(seen, "arxiv_id", "left").join(rolled, "arxiv_id", "left")
     scanned, is_flagged = F.col("state") == "scanned", F.coalesce("flagged", F.lit(False))
     return rows.select(
         "arxiv_id", "month", "state", version_stratum(F.col("version"), F.col("basis")).alias("stratum"), (scanned & is_flagged).alias("flagged"),
-        (scanned & is_flagged & F.col("seen").isNull()).alias("pending"), "polarity", (scanned & F.coalesce(F.col("polarity") == "author_use", F.lit(False))).alias("positive"),
+        (scanned & is_flagged & F.col("seen").isNull()).alias("pending"), (scanned & ~F.coalesce("any_ok", F.lit(True))).alias("failed"), "polarity", (scanned & F.coalesce(F.col("polarity") == "author_use", F.lit(False))).alias("positive"),
         (scanned & F.coalesce("ungated", F.lit(False))).alias("unverified"))
 
 
@@ -69,6 +70,35 @@ def prevalence(table: DataFrame, *by: str) -> DataFrame:
     return told.select(*by, *rate_columns(F.col("_k"), F.col("_n")), "flagged", "pending")
 
 
+def unresolved(table: DataFrame) -> DataFrame:
+    """Papers without an outcome, by the first reason that applies, and the extreme rates over the whole frame.
+
+    The extremes take all unresolved papers for negative, then for positive;
+    they bound what is missing, not the error of labels.
+    """
+    why = F.when(F.col("state") != "scanned", "not_scanned").when(F.col("pending"), "pending").when(F.col("failed"), "failed").when(F.col("unverified"), "unverified")
+    told = table.withColumn("_why", why)
+    positive = F.count_if(F.col("positive") & F.col("_why").isNull())
+    n, open_ = F.count(F.lit(1)), F.count("_why")
+    reasons = [F.count_if(F.col("_why") == r).alias(r) for r in ("not_scanned", "pending", "failed", "unverified")]
+    return told.agg(n.alias("frame"), positive.alias("positive"), open_.alias("unresolved"), *reasons, F.round(ratio(positive, n), 5).alias("lowest"), F.round(ratio(positive + open_, n), 5).alias("highest"))
+
+
+def report(table: DataFrame, rolled: DataFrame) -> DataFrame:
+    """(section, name, n) of a report: states, months, strata and polarities of the frame, then categories, impacts and locations of positive papers.
+
+    ``rolled``: papers as ``roll_up`` gives them. One row per cell, for any presentation.
+    """
+    of = lambda df, section, value: df.groupBy(F.lit(section).alias("section"), value.cast("string").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    scanned = table.where("state = 'scanned'")
+    use = rolled.join(scanned.where("positive").select("arxiv_id"), "arxiv_id", "left_semi")
+    listed = lambda c: F.explode(F.when(F.size(c) > 0, F.col(c)).otherwise(F.array(F.lit("unknown"))))
+    parts = [of(table, "state", F.col("state")), of(table, "month", F.col("month")), of(scanned, "stratum", F.col("stratum")), of(scanned, "polarity", F.coalesce("polarity", F.lit("none")))]
+    parts += [of(use.select(listed(c).alias("v")), section, F.col("v")) for section, c in (("category", "categories"), ("location", "locations"), ("tool", "tools"))]
+    parts.append(of(use, "impact", F.coalesce("impact", F.lit("unknown"))))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def release_counts(table: DataFrame, scan_items: DataFrame) -> DataFrame:
     """The single row of a release: scanned, positive, and the hash of its members."""
     members = table.where("state = 'scanned'").join(scan_items.select("arxiv_id", "version"), "arxiv_id")

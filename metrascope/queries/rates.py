@@ -61,8 +61,9 @@ def complete_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def privacy_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors by user on the first day; users with few fold into one cell."""
-    cells = table(spark, sf_dir, "events").where("event_type = 'error' AND ts < TIMESTAMP '2024-01-08'").groupBy(F.col("user_id").cast("string").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    """Errors by user and day; cells with few fold into one."""
+    name = F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
+    cells = table(spark, sf_dir, "events").where("event_type = 'error'").groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("n"))
     return P.fold_small(cells, "name", "n")
 
 
@@ -85,12 +86,19 @@ def horizon_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.groupBy("horizon", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 
 
+def rebucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors by user group: total, the eight largest groups and the others, by day, complete week and complete month."""
+    grid = P.day_grid(table(spark, sf_dir, "events").where("event_type = 'error'"), F.col("ts"), (F.col("user_id") % 20).cast("string"))
+    told = [P.rebucket(grid, g).withColumn("grain", F.lit(g)) for g in ("day", "week", "month")]
+    return told[0].unionByName(told[1]).unionByName(told[2])
+
+
 def stream_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weekly rates, computed by a stream over the events."""
     return weekly.weekly_rates(spark, f"{sf_dir}/events.parquet")
 
 
-QUERIES = {f.__name__: f for f in (prevalence_daily, prevalence_weekly, prevalence_monthly, prevalence_by_stratum, subfield_rates, rate_cube, rolling_4w_vs_prior, day_category_grid, complete_weeks, privacy_floor, chart_fold, top_counters, horizon_counts, stream_weekly)}
+QUERIES = {f.__name__: f for f in (prevalence_daily, prevalence_weekly, prevalence_monthly, prevalence_by_stratum, subfield_rates, rate_cube, rolling_4w_vs_prior, day_category_grid, complete_weeks, privacy_floor, chart_fold, top_counters, horizon_counts, rebucketed, stream_weekly)}
 ORACLE_SQL = {
     "prevalence_daily": f"SELECT {_DAY} AS bucket, {_RATE} FROM events GROUP BY 1",
     "prevalence_weekly": f"SELECT {_WEEK} AS bucket, {_RATE} FROM events GROUP BY 1 HAVING count(*) >= 200",
@@ -111,7 +119,7 @@ ORACLE_SQL = {
     "complete_weeks": """WITH x AS (SELECT date_trunc('week', ts) AS w, event_type, CAST(ts AS DATE) AS d FROM events),
         full_weeks AS (SELECT date_trunc('week', d) AS w FROM (SELECT unnest(range(min(CAST(ts AS DATE)), max(CAST(ts AS DATE)) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS d FROM events) GROUP BY 1 HAVING count(*) = 7)
         SELECT strftime(x.w, '%Y-%m-%d') AS week, event_type AS category, count(*) AS n FROM x JOIN full_weeks USING (w) GROUP BY 1, 2""",
-    "privacy_floor": """WITH c AS (SELECT CAST(user_id AS VARCHAR) AS name, count(*) AS n FROM events WHERE event_type = 'error' AND ts < TIMESTAMP '2024-01-08' GROUP BY 1)
+    "privacy_floor": """WITH c AS (SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS name, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1)
         SELECT CASE WHEN n < 3 THEN 'other (<3 each)' ELSE name END AS name, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1""",
     "chart_fold": """WITH c AS (SELECT CAST(l_suppkey AS VARCHAR) AS name, count(*) AS n FROM lineitem GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY n DESC, name) AS r FROM c)
         SELECT CASE WHEN r > 12 THEN 'Other' ELSE name END AS name, CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY 1""",
@@ -119,5 +127,13 @@ ORACLE_SQL = {
         SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY n DESC, name) AS rank FROM c QUALIFY rank <= 25""",
     "horizon_counts": """WITH l AS (SELECT CAST(max(o_orderdate) AS DATE) AS last FROM orders), h(horizon, days) AS (VALUES ('all', 0), ('year', 365), ('quarter', 92))
         SELECT horizon, o_orderstatus, count(*) AS n FROM orders, l, h WHERE days = 0 OR CAST(o_orderdate AS DATE) >= last - days GROUP BY 1, 2""",
+    "rebucketed": f"""WITH e AS (SELECT CAST(ts AS DATE) AS day, CAST(user_id % 20 AS VARCHAR) AS category FROM events WHERE event_type = 'error'),
+        d AS (SELECT CAST(unnest(range(min(day), max(day) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS day FROM e),
+        t AS (SELECT category FROM e GROUP BY 1 ORDER BY count(*) DESC, category LIMIT 8),
+        s AS (SELECT day, 'TOTAL' AS series FROM e UNION ALL SELECT day, CASE WHEN category IN (FROM t) THEN category ELSE 'OTHER' END FROM e),
+        g AS (SELECT d.day, n.series, count(s.day) AS n FROM d CROSS JOIN (SELECT DISTINCT series FROM s) n LEFT JOIN s ON s.day = d.day AND s.series = n.series GROUP BY 1, 2)
+        SELECT 'day' AS grain, series, strftime(day, '%Y-%m-%d') AS bucket, n FROM g
+        UNION ALL SELECT 'week', series, strftime(date_trunc('week', day), '%Y-%m-%d'), CAST(sum(n) AS BIGINT) FROM g GROUP BY 2, 3 HAVING count(*) = 7
+        UNION ALL SELECT 'month', series, strftime(day, '%Y-%m'), CAST(sum(n) AS BIGINT) FROM g GROUP BY 2, 3 HAVING count(*) = max(day(last_day(day)))""",
     "stream_weekly": f"SELECT {_WEEK} AS bucket, {_RATE} FROM events GROUP BY 1",
 }

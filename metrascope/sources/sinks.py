@@ -48,6 +48,17 @@ def write_manifest(path: str, counts: DataFrame, **facts: object) -> dict:
     return told
 
 
+def write_report(cells: DataFrame, path: str) -> None:
+    """The cells of a report (section, name, n) as JSON: a line for each section, an object of its names."""
+    told = cells.groupBy("section").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "n")))).alias("counts"))
+    told.orderBy("section").coalesce(1).write.mode("overwrite").json(path)
+
+
+def append_lines(rows: DataFrame, path: str) -> None:
+    """Rows as JSON lines beside those that are there; none is ever rewritten."""
+    rows.write.mode("append").json(path)
+
+
 def file_sha256(spark: SparkSession, path: str) -> DataFrame:
     """(path, sha256) of files."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))

@@ -87,9 +87,11 @@ def read_metadata_pages(spark: SparkSession, path: str) -> DataFrame:
     })
 
 
-def parse_list(lines: DataFrame, col: str = "value") -> DataFrame:
-    """(title, url, subjects, arxiv_id, all_ids) from the rows of a Markdown table."""
+def parse_list(lines: DataFrame, col: str = "value", least: int = LEAST_ENTRIES) -> DataFrame:
+    """(title, url, subjects, arxiv_id, all_ids) from the rows of a Markdown table; fewer than ``least`` mean a broken list, which is an error."""
     rows = lines.where(F.col(col).rlike(LIST_ROW))
+    if (n := rows.limit(least).count()) < least:
+        raise ValueError(f"the list has {n} entries; at least {least} are expected")
     part = lambda k: F.regexp_extract(col, LIST_ROW, k)
     ids = F.regexp_extract_all(col, F.lit(LIST_ID), F.lit(1))
     return rows.select(part(1).alias("title"), part(2).alias("url"), F.transform(F.split(part(3), ","), lambda s: F.trim(s)).alias("subjects"), F.get(ids, F.lit(0)).alias("arxiv_id"), ids.alias("all_ids"))

@@ -82,9 +82,10 @@ def test_kappa(spark):
     def of(*pairs):
         return A.agreement(spark.createDataFrame(list(pairs), "a string, b string"), "a", "b").first()
 
-    assert of(("x", "x"), ("y", "y")).kappa == 1
+    assert of(("x", "x"), ("y", "y")).kappa == pytest.approx(1)
     assert of(("x", "x"), ("x", "y")).kappa == 0
     assert math.isnan(A.agreement(spark.createDataFrame([], "a string, b string"), "a", "b").first().kappa)
+    assert math.isnan(of(("x", "x"), ("x", "x")).kappa)  # chance agrees fully, so agreement tells nothing
 
 
 def test_sample_is_exact_and_repeatable(spark):
@@ -143,6 +144,53 @@ def test_roll_up(spark):
     assert {r.arxiv_id: r.polarity for r in B.roll_up(df).collect()}["b"] == "author_use"
 
 
+def test_states_within_one_snippet_survive_the_roll_up(spark):
+    rows = [(1, "p", "author_use", "supportive", True, None), (2, "p", "author_use", "cosmetic", False, None), (3, "q", "author_use", "result_bearing", None, True), (4, "q", "topic_only", "not_applicable", True, None)]
+    told = spark.createDataFrame(rows, "id int, arxiv_id string, polarity string, impact string, has_explicit_zero_attempt boolean, has_undetermined_use boolean")
+    empty = F.expr("CAST(array() AS ARRAY<STRING>)")
+    told = told.select("*", *[empty.alias(c) for c in ("tools", "models", "categories")], F.lit("body").alias("location"), F.expr("map('catalytic', false)").alias("flags"))
+    got = {r.arxiv_id: (r.has_contributing_use, r.has_zero_contribution_attempt, r.has_undetermined_impact) for r in B.roll_up(told).collect()}
+    assert got == {"p": (True, True, False), "q": (True, False, True)}
+
+
+def test_bytes_other_than_the_ledgers_are_an_error(spark):
+    items = spark.createDataFrame([("a", None, "1" * 64), ("b", None, "2" * 64), ("c", "OSError: x", "9" * 64), ("d", None, None)], "arxiv_id string, error string, read_sha256 string")
+    hits = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3), ("d", 4)], "arxiv_id string, id int")
+    ledger = spark.createDataFrame([("a", "1" * 64), ("b", "3" * 64), ("c", "3" * 64), ("d", "4" * 64)], "arxiv_id string, sha256 string")
+    told, left = S.checked_hashes(items, hits, ledger)
+    assert {r.arxiv_id: r.error for r in told.collect()} == {"a": None, "b": f"HashMismatch: ledger {'3' * 12} != read {'2' * 12}", "c": "OSError: x", "d": None}
+    assert sorted(r.id for r in left.collect()) == [1, 4]
+
+
+def test_unresolved_papers_bound_the_rate(spark):
+    papers = spark.createDataFrame([(str(k), "math.NT", "2024-01-05") for k in range(8)], "arxiv_id string, primary_category string, created string").withColumn("created", F.to_date("created"))
+    scans = spark.createDataFrame([(str(k), "ok", 1, "explicit-v1") for k in range(6)], "arxiv_id string, status string, version int, version_basis string")
+    hits = spark.createDataFrame([(str(k), "llm", "plain") for k in range(5)], "arxiv_id string, tier string, rule_class string")
+    use = lambda k, status, grounded: (k, str(k), status, "author_use", "supportive", grounded)
+    items = spark.createDataFrame([use(0, "ok", 1), use(1, "ok", 1), use(2, "ok", 0), use(3, "error:x", 1)], "id int, arxiv_id string, status string, polarity string, impact string, quote_grounded int")
+    empty = F.expr("CAST(array() AS ARRAY<STRING>)")
+    items = items.select("*", *[empty.alias(c) for c in ("tools", "models", "categories")], F.lit("body").alias("location"), F.expr("map('catalytic', false)").alias("flags"), F.lit("rendered").alias("render_status"), F.lit("tex").alias("source_kind"))
+    files = spark.createDataFrame([("6", "ok")], "arxiv_id string, status string")
+    told = release.paper_table(papers, scans, files, hits, items, "2024-01-01", "2024-02-01", grounded=True)
+    got = release.unresolved(told).first().asDict()
+    assert got == {"frame": 8, "positive": 2, "unresolved": 5, "not_scanned": 2, "pending": 1, "failed": 1, "unverified": 1, "lowest": 0.25, "highest": 0.875}
+    cells = {(r.section, r.name): r.n for r in release.report(told, B.roll_up(items.where("status = 'ok'"), grounded=True)).collect()}
+    assert cells["state", "scanned"] == 6 and cells["impact", "supportive"] == 2 and cells["category", "unknown"] == 2 and cells["polarity", "author_use"] == 2 and cells["location", "body"] == 2
+
+
+def test_plants_and_blind_ids(spark):
+    frame = spark.createDataFrame([(f"p{k}", "POS" if k % 2 else "NEG") for k in range(20)], "arxiv_id string, stratum string")
+    orders = spark.createDataFrame([("a", f"p{k}", k) for k in range(20)] + [("b", f"p{k}", 19 - k) for k in range(20)], "reviewer string, arxiv_id string, place int")
+    got = {r.arxiv_id for r in A.plant(frame, orders, 3, 5, 1).collect()}
+    assert len(got) == 3 and all(int(p[1:]) % 2 and 5 <= int(p[1:]) < 15 for p in got)
+    answers = spark.createDataFrame([("a", "i1", "yes"), ("a", "i2", "no")], "reviewer string, blind_id string, polarity string")
+    keys = spark.createDataFrame([("a", "i1", "k1"), ("a", "i2", "k2"), ("a", "i3", "k3")], "reviewer string, blind_id string, key string")
+    with pytest.raises(Exception, match="no answer to i3"):
+        A.unblinded(answers, keys).collect()
+    expected = spark.createDataFrame([("k1", "yes"), ("k2", "yes")], "key string, polarity string")
+    assert {(r.axis, r.n, r.k) for r in A.axis_summary(A.unblinded(answers, keys.where("key <> 'k3'")), expected, "key", ["polarity"]).collect()} == {("polarity", 2, 1), ("all", 2, 1)}
+
+
 def test_release_gates(spark):
     scan = spark.createDataFrame([("s", "tex", "complete", "abcdef1")], "run_id string, stage string, status string, code_commit string")
     label = lambda **x: spark.createDataFrame([({"run_id": "c", "scan_runs_json": '["s"]', "params_json": "{}", "status": "complete", "model": "m@1", "code_commit": "abcdef1", "backend": "api:x", "isolate": 1} | x)], "run_id string, scan_runs_json string, params_json string, status string, model string, code_commit string, backend string, isolate int")

@@ -52,6 +52,23 @@ def test_archives_and_status(spark, tmp_path):
     assert [r[0] for r in status.select(A.item_status(F.col("e"), F.col("n"))).collect()] == ["error:OSError", "error:UnknownFormat", "incomplete:members-skipped", "skipped:pdf-tar-member", "ok"]
 
 
+def test_members_by_reference(spark, tmp_path):
+    (tmp_path / "in/2024").mkdir(parents=True)
+    (tmp_path / "in/2024/jan.tar").write_bytes(tar(("a/x.tex", b"one"), ("b.tex", b"two"), mode="w"))
+    (tmp_path / "in/plain.gz").write_bytes(b"three")
+    refs = ["2024/jan.tar::a/x.tex", "2024/jan.tar::none", "plain.gz", "gone.gz", "plain.gz"]
+    got = A.read_members(spark, str(tmp_path / "in"), spark.createDataFrame([(r,) for r in refs], "ref string"))
+    assert {r.ref: r.content and bytes(r.content) for r in got.collect()} == {"2024/jan.tar::a/x.tex": b"one", "2024/jan.tar::none": None, "plain.gz": b"three", "gone.gz": None}
+
+
+def test_contexts_are_cut_again_where_hits_were(spark, tmp_path):
+    (tmp_path / "a.tar.gz").write_bytes(tar(("a.tex", b"% gone\nUniversit\\'e~Claude wrote")))
+    files = spark.read.format("binaryFile").load(str(tmp_path / "a.tar.gz")).select("path", "content")
+    path = files.first().path
+    hits = spark.createDataFrame([(path, "a.tex", 12, "Claude"), (path, "a.tex", 3, "Claude"), (path, "b.tex", 0, "x")], "path string, member string, offset int, matched string")
+    assert sorted((r.offset, r.context, r.stands) for r in A.re_extract(files, hits, 7).where("context IS NOT NULL").collect()) == [(3, "\nUniversit"[:10], False), (12, "ersite Claude w"[:14], True)]
+
+
 def test_tar_ledger(spark, tmp_path):
     (tmp_path / "x.tar").write_bytes(tar(("a", b"%PDF"), ("b", b"zz"), ("a", b"%PDF-2"), mode="w"))
     files = spark.read.format("binaryFile").load(str(tmp_path / "x.tar"))
@@ -79,7 +96,10 @@ def test_metadata_pages(spark, tmp_path):
 
 def test_lists(spark):
     lines = ["| **[One](https://arxiv.org/abs/2401.00001)** | NT, CO |", "| **[Two](http://x.org)** | AG |", "text", "| **[Three](https://arxiv.org/pdf/2402.00003)** | NT |", "| **[Four](https://arxiv.org/abs/2401.00004)** | NT |", "| **[Five](https://arxiv.org/abs/2401.00005)** | NT |"]
-    entries = T.parse_list(spark.createDataFrame([(x,) for x in lines], "value string"))
+    rows = spark.createDataFrame([(x,) for x in lines], "value string")
+    with pytest.raises(ValueError, match="has 5 entries"):
+        T.parse_list(rows)
+    entries = T.parse_list(rows, least=5)
     assert entries.count() == 5 and entries.where("title = 'One'").first().subjects == ["NT", "CO"]
     papers = spark.createDataFrame([("2401.00001", "math.NT"), ("2401.00004", "cs.AI")], "arxiv_id string, primary_category string")
     flagged = spark.createDataFrame([("2401.00001",)], "arxiv_id string")
@@ -110,6 +130,16 @@ def test_sinks(spark, tmp_path):
     assert len(K.file_sha256(spark, str(tmp_path / "m.json")).first().sha256) == 64
 
 
+def test_reports_and_lines(spark, tmp_path):
+    cells = spark.createDataFrame([("state", "scanned", 3), ("state", "unfetched", 1), ("month", "2024-01", 4)], "section string, name string, n long")
+    K.write_report(cells, str(tmp_path / "r"))
+    lines = [json.loads(x) for f in (tmp_path / "r").glob("part-*") for x in f.read_text().splitlines()]
+    assert lines == [{"section": "month", "counts": {"2024-01": 4}}, {"section": "state", "counts": {"scanned": 3, "unfetched": 1}}]
+    for _ in range(2):
+        K.append_lines(cells, str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).count() == 6
+
+
 def test_chart():
     svg = K.svg_lines("t", {"a": [(1, 1.0), (2, None), (3, 2.0)], "b": [(1, 0.0)]})
     assert svg.count("<polyline") == 3 and K.svg_lines("t", {}).startswith("<svg")
