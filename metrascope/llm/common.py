@@ -100,11 +100,11 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, values:
     total, largest = groups.agg(F.sum(size), F.max(size)).first()
     share = max(least, (total or 0) / hot_groups)
     copies = F.ceil(F.col(size) / F.lit(share)).cast("int")
-    held = groups.select(F.col(key).alias("_key"), F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), copies))).alias("_copy"), F.struct(*values).alias("_values"))
+    held = groups.select(F.col(key).alias("_group_key"), F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), copies))).alias("_group_copy"), F.struct(*values).alias("_group_values"))
     dealt, own = rows, F.lit(1)
     if (largest or 0) > share:
-        listed = groups.select(F.col(key).alias("_hot"), copies.alias("_copies")).where("_copies > 1")
-        dealt, own = rows.join(F.broadcast(listed), F.col(key) == F.col("_hot"), "left"), F.pmod(F.xxhash64(salt), F.coalesce("_copies", F.lit(1))) + 1
-    dealt = dealt.withColumn("_deal", F.when(F.col(key).isNull(), F.xxhash64(salt)).otherwise(own))
-    found = dealt.join(held, (F.col(key) == F.col("_key")) & (F.col("_deal") == F.col("_copy")), "left")
-    return found.select(*rows.columns, *[F.col(f"_values.{v}").alias(v) for v in values])
+        listed = groups.select(F.col(key).alias("_group_hot"), copies.alias("_group_copies")).where("_group_copies > 1")
+        dealt, own = rows.join(F.broadcast(listed), F.col(key) == F.col("_group_hot"), "left"), F.pmod(F.xxhash64(salt), F.coalesce("_group_copies", F.lit(1))) + 1
+    dealt = dealt.withColumn("_group_deal", F.when(F.col(key).isNull(), F.xxhash64(salt)).otherwise(own))
+    found = dealt.join(held, (F.col(key) == F.col("_group_key")) & (F.col("_group_deal") == F.col("_group_copy")), "left")
+    return found.select(*rows.columns, *[F.col(f"_group_values.{v}").alias(v) for v in values])

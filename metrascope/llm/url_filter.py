@@ -5,6 +5,10 @@ at a label boundary and a prefix of its path. They meet the rules in an
 equi-join on 32 bits of a SHA-256, which the full digest then confirms; of the
 rules that fit, the longest decides. Everything is Spark expressions.
 
+A list of at most ``BROADCAST`` rules meets the expressions by a broadcast. A
+longer one meets them in a shuffle, in which a rule that a third of all urls
+fit (a whole top-level domain, say) is dealt to several tasks.
+
 Defined results: a null url, or one without ``://``, has an empty host and
 path and fits no rule; rows with equal ids are judged one by one; extra columns
 are ignored; an empty table gives an empty result. Where an allow and a block
@@ -18,6 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import join_groups
+
 #: The rules of the registered query: (host, path, action).
 RULES = [
     ("org", "/", "allow"),
@@ -27,6 +33,9 @@ RULES = [
     ("com", "/de/", "block"),
 ]
 
+#: Rules that are broadcast, at most: some 100 bytes each.
+BROADCAST = 50_000
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -62,7 +71,7 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url: str = "url", keep: Sequen
     shape = rules.agg(
         F.sort_array(F.collect_set(F.length("host"))).alias("hosts"),
         F.sort_array(F.collect_set(F.length("path"))).alias("paths"),
-        F.coalesce(F.max(F.size(F.split("host", r"\."))), F.lit(0)).alias("labels"),
+        F.coalesce(F.max(F.size(F.split("host", r"\."))), F.lit(0)).alias("labels"), F.count(F.lit(1)).alias("n"),
     ).first()
     listed = rules.groupBy(_digest(F.col("host"), F.col("path")).alias("_rule_digest")).agg(F.max((F.col("action") == "block").cast("int")).alias("_block"))
     listed = listed.withColumn("_rule_key", F.substring("_rule_digest", 1, 8))
@@ -79,7 +88,14 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url: str = "url", keep: Sequen
     pairs = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.struct(s.alias("host"), p.alias("path")))))
     asked = rows.withColumn("_e", F.explode_outer(pairs)).withColumn("_digest", _digest(F.col("_e.host"), F.col("_e.path")))
     asked = asked.withColumn("_key", F.substring("_digest", 1, 8))
-    met = asked.join(listed, (F.col("_key") == F.col("_rule_key")) & (F.col("_digest") == F.col("_rule_digest")), "left")
+    if shape.n <= BROADCAST:
+        met = asked.join(F.broadcast(listed), (F.col("_key") == F.col("_rule_key")) & (F.col("_digest") == F.col("_rule_digest")), "left")
+    else:
+        # Short keys first, with the digests of all their rules (hardly ever more than one), then the digest confirms.
+        by_key = listed.groupBy(F.col("_rule_key").alias("_key")).agg(F.map_from_entries(F.collect_list(F.struct("_rule_digest", "_block"))).alias("_rules"))
+        sizes = asked.groupBy("_key").agg(F.count(F.lit(1)).alias("_size"))
+        met = join_groups(asked, by_key.join(sizes, "_key"), "_key", "_size", ["_rules"], F.col("_row"))
+        met = met.withColumn("_block", F.try_element_at("_rules", F.col("_digest")))
 
     # Of one url, the length of the rule and of its host name the rule: the winner needs no second join.
     size = F.length("_e.host") + F.length("_e.path")

@@ -76,6 +76,17 @@ def test_urls(spark, url, host, path, rule, verdict):
     assert [tuple(r) for r in got] == [(1, host, path, rule, verdict)]
 
 
+def test_a_long_list_of_rules_gives_the_same(spark, monkeypatch):
+    """Above the broadcast's bound, with one rule that most urls fit."""
+    urls = [(k, f"http://{'' if k % 3 else 'www.'}example.{'org' if k % 4 else 'com'}/{'es/' if k % 5 else 'fr/'}{k}") for k in range(300)]
+    rows, rules = spark.createDataFrame(urls, "page_id long, url string"), url_filter.rule_table(spark, url_filter.RULES)
+    told = []
+    for most in (url_filter.BROADCAST, 2):
+        monkeypatch.setattr(url_filter, "BROADCAST", most)
+        told.append(sorted(tuple(r) for r in url_filter.judge_urls(rows, rules).collect()))
+    assert told[0] == told[1]
+
+
 def test_urls_repeat_and_rules_clash(spark):
     rows = spark.createDataFrame([(1, "http://a.net/x"), (1, "http://a.net/x"), (None, "http://b.net/")], "page_id long, url string")
     rules = url_filter.rule_table(spark, [("net", "/", "allow"), ("net", "/", "block"), ("a.net", "/x", "allow")])
