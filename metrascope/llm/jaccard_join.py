@@ -35,7 +35,7 @@ their names, are ignored, or kept with their values by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -425,26 +425,46 @@ def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, n_a, bits_a, n_b, bits_b) whose bitmaps allow a link."""
+def _may_link(n_a: int, bits_a: bytes, n_b: int, bits_b: bytes) -> bool:
+    """Whether the bitmaps of two sets allow a link."""
     import numpy as np
 
-    for batch in batches:
-        na, nb = batch.column(2).to_numpy(), batch.column(4).to_numpy()
-        keep = []
-        for i, (x, y) in enumerate(zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)):
-            one, two = (np.frombuffer(v, np.uint64)[None] for v in (x, y))
-            w = min(one.shape[1], two.shape[1])
-            zero = np.zeros(1, np.int64)
-            trees = [signature_tree(np.array([m]), _fold(v, w), np.array([c])) for m, v, c in ((na[i], one, 0), (nb[i], two, 1))]
-            keep.append(bool(_possible(trees[0][0], zero, trees[1][0], zero)[0]))
-        yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, text) to (node, shingles)."""
-    for batch in batches:
-        yield pa.record_batch([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1))], pa.binary())], ["node", "shingles"])
+    one, two = (np.frombuffer(v, np.uint64)[None] for v in (bits_a, bits_b))
+    w, zero = min(one.shape[1], two.shape[1]), np.zeros(1, np.int64)
+    trees = [signature_tree(np.array([m]), _fold(v, w), np.array([c])) for m, v, c in ((n_a, one, 0), (n_b, two, 1))]
+    return bool(_possible(trees[0][0], zero, trees[1][0], zero)[0])
+
+
+def _meetings(met: Callable):
+    """Rows (hub, deal, node, values...) in order, the hub's own first, to the pairs (a, b) of hub and others for which ``met`` holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, None
+        for batch in batches:
+            out: list[list] = [[], []]
+            hubs, deals, nodes, *values = (c.to_pylist() for c in batch.columns)
+            for hub, deal, node, *told in zip(hubs, deals, nodes, *values, strict=True):
+                if node == hub:
+                    at, own = (hub, deal), told
+                elif at == (hub, deal) and met(own, told):
+                    out[0].append(hub)
+                    out[1].append(node)
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in out], ["a", "b"])
+
+    return run
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, calls, text) to rows (hub, deal, node, shingles): a set for each of the hubs that it has to meet."""
+    import pyarrow.compute as pc
+
+    for whole in batches:
+        for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+            sets = pa.array([s.tobytes() for s in shingle_sets(batch.column(2))], pa.binary())
+            place, calls = pc.list_parent_indices(batch.column(1)), batch.column(1).flatten()
+            for i in range(0, len(place), 4096):
+                here = place[i : i + 4096]
+                yield pa.record_batch([calls.field("hub")[i : i + 4096], calls.field("deal")[i : i + 4096], batch.column(0).take(here), sets.take(here)], ["hub", "deal", "node", "shingles"])
 
 
 def linked(x, y) -> bool:
@@ -457,14 +477,6 @@ def linked(x, y) -> bool:
     return common * 100 >= PERCENT * (len(x) + len(y) - common)
 
 
-def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import numpy as np
-
-    for batch in batches:
-        keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
 def components(links: DataFrame, work: Workspace, name: str) -> DataFrame:
     """(node, label): the smallest node that each node of the links reaches.
 
@@ -491,25 +503,47 @@ def components(links: DataFrame, work: Workspace, name: str) -> DataFrame:
             return labels.select("node", "label")
 
 
-def _beside(pairs: DataFrame, held: DataFrame, end: str, values: list[str]) -> DataFrame:
-    """``pairs`` with the values that the nodes at one end have in ``held``, as ``value_end``; a node may be in any number of pairs."""
-    degree = pairs.groupBy(F.col(end).alias("_end")).agg(F.count(F.lit(1)).alias("degree"))
-    groups = held.join(degree, F.col("node") == F.col("_end")).select(F.col("node").alias(end), "degree", *[F.col(v).alias(f"{v}_{end}") for v in values])
-    return join_groups(pairs, groups, end, "degree", [f"{v}_{end}" for v in values], F.xxhash64("a", "b"))
+#: Members that a hub meets in one task, about.
+MEET = 1000
+
+
+def _calls(pairs: DataFrame) -> DataFrame:
+    """(node, calls array<struct<hub, deal>>): where each node of the pairs (a, b) has to be, with ``a`` as the hub.
+
+    A hub with many members is there once for about ``MEET`` of them. A node is
+    in no more pairs than its set has shingles in front, or it is a hub.
+    """
+    degree = pairs.groupBy(F.col("a").alias("hub")).agg(F.ceil(F.count(F.lit(1)) / MEET).cast("int").alias("deals"))
+    own = degree.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
+    large = degree.where("deals > 1").withColumn("size", F.col("deals") * MEET)
+    dealt = join_groups(pairs, large.withColumnRenamed("hub", "a"), "a", "size", ["deals"], F.col("b"))
+    others = dealt.select(F.col("b").alias("node"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.coalesce("deals", F.lit(1))).cast("int").alias("deal"))
+    return own.unionByName(others).groupBy("node").agg(F.collect_list(F.struct("hub", "deal")).alias("calls"))
+
+
+def _met(rows: DataFrame, met: Callable, parts: int) -> DataFrame:
+    """The pairs (a, b) among rows (hub, deal, node, values...) for which ``met`` holds."""
+    first = (F.col("node") != F.col("hub")).cast("int")
+    dealt = rows.withColumn("_first", first).repartition(parts, "hub", "deal").sortWithinPartitions("hub", "deal", "_first").drop("_first")
+    return dealt.mapInArrow(_meetings(met), _PAIRS)
 
 
 def verify(pairs: DataFrame, docs: DataFrame, info: DataFrame, members: DataFrame, work: Workspace, name: str) -> DataFrame:
-    """The pairs (a, b) of nodes that are linked, compared shingle by shingle."""
-    told = _beside(_beside(pairs, info, "a", ["n", "bits"]), info, "b", ["n", "bits"])
-    left = work.save(told.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(_bounded, _PAIRS), f"{name}-bounded")
-    asked = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    asked = asked.join(members.select("node", F.col("first_row").alias("row")), "node")
-    texts = docs.select("row", "text").join(asked, "row").select("node", "text")
-    signed = work.save(texts.mapInArrow(_signatures, "node long, shingles binary"), f"{name}-signed")
-    both = _beside(_beside(left, signed, "a", ["shingles"]), signed, "b", ["shingles"])
-    links = work.save(both.select("a", "b", "shingles_a", "shingles_b").mapInArrow(_exact, _PAIRS), f"{name}-links")
-    work.drop(f"{name}-signed")
-    return links
+    """The pairs (a, b) of nodes that are linked, compared shingle by shingle.
+
+    Bitmaps drop what cannot be linked; texts are then read again for what is
+    left. Either way, each set goes straight to the hubs that it has to meet.
+    """
+    import numpy as np
+
+    parts = shuffle_partitions(docs.sparkSession)
+    told = info.join(_calls(pairs), "node").select(F.inline("calls"), "node", "n", "bits")
+    left = work.save(_met(told, lambda x, y: _may_link(*x, *y), parts), f"{name}-bounded")
+    asked = _calls(left).join(members.select("node", F.col("first_row").alias("row")), "node")
+    # What is asked for grows with the corpus, so it is merged with the sorted texts and never broadcast.
+    texts = docs.select("row", "text").join(asked.hint("merge"), "row").select("node", "calls", "text")
+    signed = texts.mapInArrow(_signed, "hub long, deal int, node long, shingles binary")
+    return work.save(_met(signed, lambda x, y: linked(*(np.frombuffer(v[0], np.uint64) for v in (x, y))), parts), f"{name}-links")
 
 
 def _frequent(told: DataFrame, work: Workspace) -> list[int]:
