@@ -41,6 +41,22 @@ def kappa(agree: Column, expected: Column) -> Column:
     return F.when(agree.isNull() | (expected >= 1), F.lit(float("nan"))).otherwise((agree - expected) / (1 - expected))
 
 
+def worst_rate(rates: Column) -> Column:
+    """The highest rate per million of any class of input tokens; null without any."""
+    return F.array_max(F.map_values(F.map_filter(rates, lambda k, _: k != "output")))
+
+
+def reservation(prompt: Column, rates: Column, overhead: int, most_output: int) -> Column:
+    """What one request may cost at most: no token has less than a byte, input counts at its worst rate, output in full."""
+    given = F.octet_length(prompt) + F.lit(overhead)
+    return (given * worst_rate(rates) + most_output * F.element_at(rates, F.lit("output"))) / 1e6
+
+
+def settlement(status: Column, reserved: Column, actual: Column) -> Column:
+    """What a request counts for in the end: nothing if it was refused unprocessed (429), its price if that is known, else all that was reserved."""
+    return F.when(status == 429, F.lit(0.0)).otherwise(F.coalesce(actual, reserved))
+
+
 def cost(tokens: Column, rates: Column) -> Column:
     """Sum over token classes of tokens x rate per million, from two maps; a class without a rate is an error."""
     classes = F.map_keys(tokens)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .sessions import pick_first
@@ -28,6 +29,36 @@ def todo(papers: DataFrame, files: DataFrame, key: str, residual: Column) -> Dat
     return without(papers, files.where(residual), [key])
 
 
+def queue(rows: DataFrame, preferred: DataFrame, key: str, order: Column, limit: int, only: bool = False) -> DataFrame:
+    """The first ``limit`` of ``rows`` with place, from 1: those among ``preferred`` first (with ``only``, no others), each part in the given order."""
+    told = rows.join(preferred.select(key).distinct().withColumn("_first", F.lit(True)), key, "left_semi" if only else "left")
+    sort = [order, F.col(key)] if only else [F.col("_first").isNull(), order, F.col(key)]
+    # The first rows are found by all tasks, and only these are numbered.
+    return told.orderBy(*sort).limit(limit).withColumn("place", F.row_number().over(W.orderBy(*sort))).select(*rows.columns, "place")
+
+
+def to_render(items: DataFrame, polarities: list[str], redo: bool = False) -> DataFrame:
+    """Valid items with a quote whose rendering is to be checked; without ``redo`` only those unchecked or failed for want of a PDF."""
+    own = (F.col("status") == "ok") & F.col("polarity").isin(*polarities) & (F.coalesce("quote", F.lit("")) != "")
+    return items.where(own if redo else own & F.col("render_status").isin("unchecked", "pdf_error"))
+
+
+def ingested(verdicts: DataFrame, assigned: DataFrame, existing: DataFrame, key: str = "arxiv_id") -> DataFrame:
+    """``verdicts`` with outcome: ``rejected`` if not in the drawn sample, ``duplicate`` if there before, else ``new``."""
+    mark = lambda df, name: df.select(key).distinct().withColumn(name, F.lit(True))
+    told = verdicts.join(mark(assigned, "_drawn"), key, "left").join(mark(existing, "_there"), key, "left")
+    outcome = F.when(F.col("_drawn").isNull(), "rejected").when(F.col("_there"), "duplicate").otherwise("new")
+    return told.select(*verdicts.columns, outcome.alias("outcome"))
+
+
+def hit_summary(hits: DataFrame, relevant: Column, key: str, order: Column) -> DataFrame:
+    """One row for each paper with hits (status, term, source, snippet): counts, sorted sets, and the snippet of the first relevant hit, or of the first."""
+    distinct = lambda c: F.array_join(F.sort_array(F.collect_set(c)), "; ").alias(f"{c}es" if c.endswith("s") else f"{c}s")
+    own = F.count_if(relevant)
+    told = hits.groupBy(key).agg(F.count(F.lit(1)).alias("hit_count"), own.alias("relevant_hit_count"), *[distinct(c) for c in ("status", "term", "source")], F.min_by("snippet", F.struct((~relevant).alias("r"), order.alias("o"))).alias("representative_snippet"))
+    return told.withColumn("auto_class", F.when(F.col("relevant_hit_count") > 0, "probable_author_ai_use").otherwise("possible_only"))
+
+
 def by_version_count(versions: DataFrame, key: str, several: bool) -> DataFrame:
     """Keys with more than one version, or with exactly one."""
     n = F.count(F.lit(1))

@@ -10,6 +10,7 @@ from ..operators import lexicon as L
 from ..operators import providers as V
 from ..operators import quotes as Q
 from ..operators import sessions as S
+from ..sources import tables as T
 from .common import table
 
 #: A lexicon for the driver's texts: term, tier, pattern that all regular-expression engines read alike.
@@ -63,6 +64,25 @@ def hit_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", F.array_join("ts", ",").alias("terms"), "n", "first_offset", "last_offset")
 
 
+def merged_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of hits as snippets: terms, ids in order, and the longest context as a hash."""
+    k = F.create_map(*[x for i, t in enumerate(dict.fromkeys(t for t, _, _ in TERMS)) for x in (F.lit(t), F.lit(i))])
+    hits = _hits(spark, sf_dir).groupBy("doc_id", "text", "term", "offset").agg(F.count(F.lit(1)).alias("_n"))
+    hits = hits.withColumns({"id": F.col("offset") * 10 + F.element_at(k, F.col("term")), "context": X.window(F.col("text"), F.col("offset").cast("int"), X.METADATA_RADIUS)})
+    told = S.merge_snippets(hits, ["doc_id"])
+    return told.select("doc_id", F.array_join("terms", ",").alias("terms"), F.array_join("hit_ids", ",").alias("hit_ids"), F.sha2("context", 256).alias("context_sha256"), "first_offset", "last_offset")
+
+
+def list_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a Markdown list, made from documents, by the bucket in which they fall."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("24"), F.lpad((F.col("doc_id") % 12 + 1).cast("string"), 2, "0"), F.lit("."), F.lpad(F.col("doc_id").cast("string"), 5, "0")).alias("arxiv_id"))
+    url = F.when(F.col("doc_id") % 7 == 0, "http://example.org/x").otherwise(F.concat(F.lit("https://arxiv.org/abs/"), F.col("arxiv_id")))
+    entries = T.parse_list(docs.select(F.concat(F.lit("| **[Title]("), url, F.lit(")** | NT, CO |")).alias("value")))
+    papers = docs.where("doc_id % 5 <> 0").select("arxiv_id", F.when(F.col("doc_id") % 3 == 0, "cs.AI").otherwise("math.NT").alias("primary_category"))
+    told = T.list_buckets(entries, papers, docs.where("doc_id % 2 = 0"), [f"24{m:02}" for m in range(1, 7)])
+    return told.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
 def hit_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text around each hit, as a hash and a length."""
     around = X.window(F.col("text"), F.col("offset").cast("int"), X.METADATA_RADIUS)
@@ -172,7 +192,7 @@ def middle_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.length(c).cast("long").alias("chars"), F.sha2(c, 256).alias("sha256"))
 
 
-QUERIES = {f.__name__: f for f in (hit_offsets, term_hits, flagged_documents, hit_snippets, hit_contexts, rule_class, lexicon_scan, source_and_language, anchored_excerpts, highlight_spans, provider_buckets, tool_providers, quote_containment, quote_matches, stripped_sources, middle_cut)}
+QUERIES = {f.__name__: f for f in (hit_offsets, term_hits, flagged_documents, hit_snippets, merged_snippets, list_reconciliation, hit_contexts, rule_class, lexicon_scan, source_and_language, anchored_excerpts, highlight_spans, provider_buckets, tool_providers, quote_containment, quote_matches, stripped_sources, middle_cut)}
 _WINDOW = lambda r: f'substr(text, CAST(greatest(0, "offset" - {r}) + 1 AS BIGINT), CAST("offset" + {r} - greatest(0, "offset" - {r}) AS BIGINT))'
 ORACLE_SQL = {
     "hit_offsets": _HITS_SQL + 'SELECT doc_id, term, tier, "offset", matched FROM hits',
@@ -181,6 +201,16 @@ ORACLE_SQL = {
     "hit_snippets": _HITS_SQL + """, o AS (SELECT *, CASE WHEN "offset" - lag("offset") OVER w <= 600 THEN 0 ELSE 1 END AS opens FROM hits WINDOW w AS (PARTITION BY doc_id ORDER BY "offset", term)),
         s AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY "offset", term) AS session FROM o)
         SELECT doc_id, string_agg(DISTINCT term, ',' ORDER BY term) AS terms, count(*) AS n, min("offset") AS first_offset, max("offset") AS last_offset FROM s GROUP BY doc_id, session""",
+    "merged_snippets": _HITS_SQL + f""", d AS (SELECT DISTINCT doc_id, text, term, "offset" FROM hits),
+        k AS (SELECT *, "offset" * 10 + CASE term WHEN 'license' THEN 0 WHEN 'mail' THEN 1 WHEN 'insult' THEN 2 ELSE 3 END AS id, {_WINDOW(400)} AS ctx FROM d),
+        o AS (SELECT *, CASE WHEN "offset" - lag("offset") OVER w <= 600 THEN 0 ELSE 1 END AS opens FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY "offset", id)),
+        s AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY "offset", id) AS session FROM o)
+        SELECT doc_id, string_agg(DISTINCT term, ',' ORDER BY term) AS terms, string_agg(CAST(id AS VARCHAR), ',' ORDER BY "offset", id) AS hit_ids,
+            sha256((list(ctx ORDER BY length(ctx) DESC, "offset", id))[1]) AS context_sha256, min("offset") AS first_offset, max("offset") AS last_offset FROM s GROUP BY doc_id, session""",
+    "list_reconciliation": """SELECT CASE WHEN doc_id % 7 = 0 THEN 'no_arxiv_id' WHEN doc_id % 12 >= 6 THEN 'out_of_frame_window' WHEN doc_id % 5 = 0 THEN 'not_in_db' WHEN doc_id % 3 = 0 THEN 'out_of_frame_category'
+        WHEN doc_id % 2 = 1 THEN 'in_frame_not_flagged' ELSE 'in_frame_flagged' END AS bucket, count(*) AS n FROM documents GROUP BY 1""",
+    "stripped_sources": """WITH c AS (SELECT doc_id, replace(regexp_replace(text, '(^|[^\\\\])%[^\\n]*', '\\1', 'g'), '~', ' ') AS c FROM documents)
+        SELECT doc_id, length(c) AS chars, sha256(c) AS sha256 FROM c""",
     "hit_contexts": _HITS_SQL + f'SELECT doc_id, term, "offset", sha256({_WINDOW(400)}) AS context_sha256, length({_WINDOW(400)}) AS chars FROM hits',
     "rule_class": _HITS_SQL + f""", c AS (SELECT term, {_WINDOW(300)} AS around FROM hits)
         SELECT term, CASE WHEN regexp_matches(around, '[Nn]ot |[Nn]o ') THEN 'negation' WHEN regexp_matches(around, '[Ll]icense') THEN 'licence'

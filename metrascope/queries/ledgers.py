@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parse import status_class
-from ..functions.stats import cost
+from ..functions.stats import cost, reservation, settlement
 from ..operators import selection as S
 from ..operators import sessions as W
 from ..sources.sinks import upsert
@@ -137,11 +137,48 @@ def spend_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(told)
 
 
+def fetch_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred orders to fetch: those with a returned item first, then by a seeded shuffle."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    flagged = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_linenumber = 7").select(F.col("l_orderkey").alias("o_orderkey"))
+    return S.queue(orders, flagged, "o_orderkey", F.md5(F.concat(F.lit("42|"), F.col("o_orderkey").cast("string"))), limit=100)
+
+
+def render_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items whose rendering is to be checked, by their state."""
+    k = F.col("l_partkey")
+    state = F.element_at(F.array(*[F.lit(x) for x in ("unchecked", "rendered", "pdf_error", "no_pdf")]), (k % 4 + 1).cast("int"))
+    items = table(spark, sf_dir, "lineitem").select(F.when(k % 9 == 0, "error:x").otherwise("ok").alias("status"), F.when(F.col("l_suppkey") % 2 == 0, "author_use").otherwise("unclear").alias("polarity"), F.when(k % 5 != 0, "words").alias("quote"), state.alias("render_status"))
+    told = [S.to_render(items, ["author_use"], redo).groupBy("render_status").agg(F.count(F.lit(1)).alias("n")).withColumn("redo", F.lit(redo)) for redo in (False, True)]
+    return told[0].unionByName(told[1])
+
+
+def verdict_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts by whether they were asked for and are new."""
+    labels = table(spark, sf_dir, "labels").select("doc_id")
+    told = S.ingested(labels, labels.where("doc_id % 4 <> 0"), labels.where("doc_id % 6 = 1"), "doc_id")
+    return told.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+def paper_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user as hits of a paper."""
+    hits = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("status"), (F.col("event_id") % 5).cast("string").alias("term"), (F.col("event_id") % 3).cast("string").alias("source"), F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("snippet"))
+    return S.hit_summary(hits, F.col("status") == "purchase", "user_id", F.col("event_id"))
+
+
+def reservations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What requests reserve at the worst rate, and what they count for once settled."""
+    rates = F.create_map(*[x for k, v in (("input", 3.0), ("cached_input", 0.3), ("cache_write", 3.75), ("output", 15.0)) for x in (F.lit(k), F.lit(v))])
+    events = table(spark, sf_dir, "events").withColumn("reserved", reservation(F.col("props"), rates, 100, 1000))
+    status, actual = F.when(F.col("event_id") % 10 == 0, 429).otherwise(200), F.when(F.col("event_id") % 3 != 0, F.col("value") / 1e5)
+    return rounded(events.groupBy("event_type").agg(F.sum("reserved").alias("reserved"), F.sum(settlement(status, F.col("reserved"), actual)).alias("settled")))
+
+
 def newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").agg(F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("last"), F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (coverage_states, error_breakdown, orders_without_items, negatives, todo_anti, refill_targets, reconcile, artifact_choice, version_strata, run_compare, membership_hash, latest_upsert, merged_customers, settled_results, turn_sessions, request_batches, json_props, spend_ledger, newest)}
+QUERIES = {f.__name__: f for f in (coverage_states, error_breakdown, orders_without_items, negatives, todo_anti, refill_targets, reconcile, artifact_choice, version_strata, run_compare, membership_hash, latest_upsert, merged_customers, settled_results, turn_sessions, request_batches, json_props, spend_ledger, newest, fetch_queue, render_selection, verdict_ingest, paper_hits, reservations)}
 ORACLE_SQL = {
     "coverage_states": """SELECT CASE WHEN toxic = 0 THEN 'scanned' WHEN toxic = 1 THEN 'scan_error' WHEN d.doc_id % 2 = 1 THEN 'unfetched' WHEN d.doc_id % 6 = 0 THEN 'fetch_failed'
         ELSE 'fetched_not_in_run' END AS state, count(*) AS n FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1""",
@@ -181,5 +218,17 @@ ORACLE_SQL = {
     "json_props": """WITH k AS (SELECT event_type, CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS BIGINT) AS k FROM events)
         SELECT event_type, count(k) AS n, CAST(sum(k) AS BIGINT) AS total, count(DISTINCT k) AS different FROM k GROUP BY 1""",
     "spend_ledger": """SELECT event_type, round(sum((CAST(floor(value * 100) AS BIGINT) * 3e0 + user_id * 15e0) / 1e6), 6) AS usd, count(*) FILTER (user_id % 9 = 0) AS open FROM events GROUP BY 1""",
+    "fetch_queue": """WITH q AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 7), md5('42|' || o_orderkey), o_orderkey) AS place FROM orders)
+        SELECT * FROM q WHERE place <= 100""",
+    "render_selection": """WITH i AS (SELECT CASE l_partkey % 4 WHEN 0 THEN 'unchecked' WHEN 1 THEN 'rendered' WHEN 2 THEN 'pdf_error' ELSE 'no_pdf' END AS render_status FROM lineitem
+            WHERE l_partkey % 9 <> 0 AND l_suppkey % 2 = 0 AND l_partkey % 5 <> 0)
+        SELECT render_status, FALSE AS redo, count(*) AS n FROM i WHERE render_status IN ('unchecked', 'pdf_error') GROUP BY 1 UNION ALL SELECT render_status, TRUE, count(*) FROM i GROUP BY 1""",
+    "verdict_ingest": "SELECT CASE WHEN doc_id % 4 = 0 THEN 'rejected' WHEN doc_id % 6 = 1 THEN 'duplicate' ELSE 'new' END AS outcome, count(*) AS n FROM labels GROUP BY 1",
+    "paper_hits": """SELECT user_id, count(*) AS hit_count, count(*) FILTER (event_type = 'purchase') AS relevant_hit_count, string_agg(DISTINCT event_type, '; ' ORDER BY event_type) AS statuses,
+        string_agg(DISTINCT CAST(event_id % 5 AS VARCHAR), '; ' ORDER BY CAST(event_id % 5 AS VARCHAR)) AS terms, string_agg(DISTINCT CAST(event_id % 3 AS VARCHAR), '; ' ORDER BY CAST(event_id % 3 AS VARCHAR)) AS sources,
+        's' || coalesce(min(event_id) FILTER (event_type = 'purchase'), min(event_id)) AS representative_snippet, CASE WHEN count(*) FILTER (event_type = 'purchase') > 0 THEN 'probable_author_ai_use' ELSE 'possible_only' END AS auto_class
+        FROM events GROUP BY 1""",
+    "reservations": """WITH r AS (SELECT event_type, event_id, value, ((strlen(props) + 100) * 3.75e0 + 1000 * 15e0) / 1e6 AS reserved FROM events)
+        SELECT event_type, round(sum(reserved), 6) AS reserved, round(sum(CASE WHEN event_id % 10 = 0 THEN 0 WHEN event_id % 3 <> 0 THEN value / 1e5 ELSE reserved END), 6) AS settled FROM r GROUP BY 1""",
     "newest": "SELECT strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last, count(*) AS n FROM events",
 }

@@ -98,7 +98,13 @@ def stream_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weekly.weekly_rates(spark, f"{sf_dir}/events.parquet")
 
 
-QUERIES = {f.__name__: f for f in (prevalence_daily, prevalence_weekly, prevalence_monthly, prevalence_by_stratum, subfield_rates, rate_cube, rolling_4w_vs_prior, day_category_grid, complete_weeks, privacy_floor, chart_fold, top_counters, horizon_counts, rebucketed, stream_weekly)}
+def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in windows of four weeks that begin every Monday, computed by a stream."""
+    told = weekly.run_to_table(weekly.sliding_totals(weekly.event_stream(spark, f"{sf_dir}/events.parquet")))
+    return told.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "n")
+
+
+QUERIES = {f.__name__: f for f in (prevalence_daily, prevalence_weekly, prevalence_monthly, prevalence_by_stratum, subfield_rates, rate_cube, rolling_4w_vs_prior, day_category_grid, complete_weeks, privacy_floor, chart_fold, top_counters, horizon_counts, rebucketed, stream_weekly, stream_sliding)}
 ORACLE_SQL = {
     "prevalence_daily": f"SELECT {_DAY} AS bucket, {_RATE} FROM events GROUP BY 1",
     "prevalence_weekly": f"SELECT {_WEEK} AS bucket, {_RATE} FROM events GROUP BY 1 HAVING count(*) >= 200",
@@ -135,5 +141,6 @@ ORACLE_SQL = {
         SELECT 'day' AS grain, series, strftime(day, '%Y-%m-%d') AS bucket, n FROM g
         UNION ALL SELECT 'week', series, strftime(date_trunc('week', day), '%Y-%m-%d'), CAST(sum(n) AS BIGINT) FROM g GROUP BY 2, 3 HAVING count(*) = 7
         UNION ALL SELECT 'month', series, strftime(day, '%Y-%m'), CAST(sum(n) AS BIGINT) FROM g GROUP BY 2, 3 HAVING count(*) = max(day(last_day(day)))""",
+    "stream_sliding": """SELECT strftime(CAST(date_trunc('week', ts) AS DATE) - 7 * back, '%Y-%m-%d') AS start, count(*) AS n FROM events, (SELECT unnest([0, 1, 2, 3]) AS back) GROUP BY 1""",
     "stream_weekly": f"SELECT {_WEEK} AS bucket, {_RATE} FROM events GROUP BY 1",
 }
