@@ -136,17 +136,32 @@ def compare_runs(one: DataFrame, two: DataFrame, key: str, positive: str) -> Dat
 
 
 def membership_hash(rows: DataFrame, key: Column, version: Column) -> DataFrame:
-    """(n, sha256) of the sorted ``key:version`` lines; an unknown version is written as None."""
+    """(n, sha256) of the sorted ``key:version`` lines; an unknown version is written as None.
+
+    All tasks sort their ranges of lines and join them to blocks; one task then
+    digests the blocks in order, as a hash has to, and holds a batch of them.
+    """
     line = F.concat_ws(":", key.cast("string"), F.coalesce(version.cast("string"), F.lit("None")))
+    schema = "part int, place int, n long, lines binary"
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, place = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            if batch.num_rows:
+                lines = "".join(x + "\n" for x in batch.column(0).to_pylist()).encode()
+                yield pa.record_batch([pa.array([part], pa.int32()), pa.array([place], pa.int32()), pa.array([batch.num_rows], pa.int64()), pa.array([lines], pa.binary())], ["part", "place", "n", "lines"])
+                place += 1
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, n = hashlib.sha256(), 0
+        state, n, held = hashlib.sha256(), 0, b""
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                state.update((("\n" if n else "") + text).encode())
-                n += 1
+            for count, lines in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
+                # The last line's end is held back: nothing follows the last line of all.
+                state.update(held + lines.as_py()[:-1])
+                n, held = n + count, b"\n"
         yield pa.record_batch([pa.array([n], pa.int64()), pa.array([state.hexdigest()])], ["n", "membership_sha256"])
 
-    # A digest of all lines in one order is one task's work by definition; it reads sorted lines and holds a batch.
-    told = rows.select(line.alias("line")).orderBy("line").coalesce(1).mapInArrow(digest, "n long, membership_sha256 string")
+    told = rows.select(line.alias("line")).orderBy("line").mapInArrow(blocks, schema).repartition(1).sortWithinPartitions("part", "place").mapInArrow(digest, "n long, membership_sha256 string")
     return told.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.coalesce(F.max("membership_sha256"), F.sha2(F.lit("").cast("binary"), 256)).alias("membership_sha256"))
