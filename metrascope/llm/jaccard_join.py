@@ -73,6 +73,8 @@ def shingle_sets(texts) -> Iterator:
     import numpy as np
     import pyarrow.compute as pc
 
+    if texts.offset:  # Arrow's lower-casing misreads slices that are cast afterwards
+        texts = texts.take(pa.array(np.arange(len(texts))))
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     at = 0

@@ -214,6 +214,14 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, bucket):
     assert told(jaccard_join.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"))) == components(texts)
 
 
+def test_slices_of_texts_have_the_same_shingles():
+    import pyarrow as pa
+
+    texts = pa.array([None, "", *(f"Ünï WORD{k} Straße {k * 7} a b c d é" * (k % 5) for k in range(900))])
+    whole = [s.tolist() for s in jaccard_join.shingle_sets(texts)]
+    assert [s.tolist() for i in range(0, 902, 100) for s in jaccard_join.shingle_sets(texts.slice(i, 100))] == whole
+
+
 def test_signature_trees_lose_no_pair():
     draw = np.random.default_rng(1)
     base = draw.integers(0, 2**63, 300).astype(np.uint64)
