@@ -19,7 +19,7 @@ A round of one range is best-fit decreasing as one after the other would do it.
 In other rounds, a piece may miss a smaller gap that lies in another range.
 The ranges of lengths end at capacity / k for k up to 8, then halve, so that no
 two pieces of a round fit where one left its gap; those with few pieces are
-joined. There are 15 rounds at most, however many documents there are.
+joined. With 2,048 tokens there are 16 rounds at most, however many documents.
 
 The driver learns the number of pieces by length (at most ``capacity`` rows)
 and of what is left by range (a row for each range, of which there are as many
