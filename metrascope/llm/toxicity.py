@@ -6,10 +6,10 @@ function of its words; that of the document is their noisy-or,
 differentiated through the noisy-or down to weights of words and of beginnings
 of words. The probabilities of sentences then locate what offends.
 
-Executors turn the labelled documents into numbers; the fit runs on the driver,
-on at most ``PER_CLASS`` documents and ``MOST_CHARS`` characters of either
-label, and no text comes there. Scoring covers every row and whole texts, in
-one pass and without a shuffle.
+Executors turn the labelled documents into numbers, at most ``PER_CLASS``
+documents and ``MOST_CHARS`` characters of either label; one task fits the
+model to these, and only the model comes to the driver. Scoring covers every
+row and whole texts, in one pass and without a shuffle.
 
 Defined results: null text counts as empty, and an empty text has the score of
 one empty sentence; repeated rows are scored alike; without labels of both
@@ -298,8 +298,19 @@ def fit_on(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_co
                 part = batch.slice(k, _TEXTS)
                 yield bags(part.column(0), part.column(1).to_pylist())
 
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = fit_bags([r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True)])
+        weights = None if model.weights is None else model.weights.tobytes()
+        yield pa.record_batch([pa.array([weights], pa.binary()), pa.array([model.intercept], pa.float64()), pa.array([model.constant], pa.float64())], ["weights", "intercept", "constant"])
+
+    import numpy as np
+
     kinds = ", ".join(f"{f.name} {'int' if f.name == 'label' else 'binary'}" for f in _BAGS)
-    return fit_bags([tuple(r) for r in rows.select("text", "label").mapInArrow(told, kinds).collect()])
+    told = rows.select("text", "label").mapInArrow(told, kinds).repartition(1)
+    fitted = told.mapInArrow(learn, "weights binary, intercept double, constant double").collect()
+    if not fitted:
+        return fit_bags([])
+    return ToxicityModel(None if fitted[0]["weights"] is None else np.frombuffer(fitted[0]["weights"], np.float32), fitted[0]["intercept"], fitted[0]["constant"])
 
 
 def locate_sentences(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:

@@ -42,7 +42,7 @@ def test_groups_join_hot_and_cold_rows(spark):
 
 
 def test_exact_dedup(docs, nothing):
-    got = exact_dedup.dedup_exact(docs, block=512).collect()
+    got = exact_dedup.dedup_exact(docs, block=8192).collect()
     assert len(got) == len(TEXTS)
     same = {r.text_sha256: [x for x in got if x.text_sha256 == r.text_sha256] for r in got}
     for rows in same.values():
@@ -609,6 +609,16 @@ def test_all_of_4000_toxic_documents_take_part(spark):
     assert labelled_sample(docs, labels, "toxic", F.lit(True), toxicity.PER_CLASS).count() == n
 
 
+def test_the_fit_of_a_task_is_that_of_its_texts(spark):
+    texts, toxic, _ = labelled(200)
+    df = spark.createDataFrame([(k, t, x) for k, (t, x) in enumerate(zip(texts, toxic, strict=True))], "doc_id long, text string, toxic int").repartition(3)
+    own = [k for k in range(200) if zlib.crc32(str(k).encode()) % 5]
+    model, want = toxicity.fit_on(df, df.drop("text")), toxicity.fit([texts[k] for k in own], [toxic[k] for k in own])
+    np.testing.assert_allclose(model.weights, want.weights, atol=1e-4)
+    assert toxicity.fit_on(df.where("false"), df.drop("text")).constant == 0.5
+    assert toxicity.fit_on(df, df.drop("text").where("toxic = 1")).constant == 1.0
+
+
 def test_fit_does_not_depend_on_slices(monkeypatch):
     texts, toxic, _ = labelled(200)
     fits = []
