@@ -5,6 +5,7 @@ from __future__ import annotations
 from .ann import op2_multi_index_hashing
 from .bpe import op9_byte_bpe
 from .chat_format import OP5_SQL, op5_chat_format
+from .divergence import OP11_SQL, op11_source_divergence
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .jaccard_join import op6_jaccard_join
 from .packing import op7_best_fit_packing
@@ -39,6 +40,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_toxicity": op10_toxicity,
+    "op11_source_divergence": op11_source_divergence,
 }
 
 ORACLE_SQL = {
@@ -47,4 +49,5 @@ ORACLE_SQL = {
     "op5_chat_format": OP5_SQL,
     "op6_jaccard_join": OP6_SQL,
     "op8_warc": OP8_SQL,
+    "op11_source_divergence": OP11_SQL,
 }
