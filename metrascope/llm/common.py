@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workspace import Workspace, shared_dir, shuffle_partitions
+
+__all__ = ["ASCII_SPACE", "Workspace", "identified", "join_groups", "read", "shared_dir", "shuffle_partitions", "text_split"]
+
 #: ASCII white space, the class ``[\x20\x09-\x0D]``.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
@@ -18,56 +19,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where everything runs in one process (a ``local`` master, as in tests)
-    a temporary folder becomes the checkpoint folder; elsewhere executors would
-    write to disks of their own, so a session that names no folder is refused.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="metrascope-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
-class Workspace:
-    """Intermediate tables as Parquet in the shared folder.
-
-    A saved table cuts the lineage: a lost executor costs the tasks that read
-    it, never the work that made it. Results read from these tables, so they
-    stay until the application ends, which deletes them.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        path, files = self._at(self.path)
-        files.deleteOnExit(path)
-
-    def _at(self, path: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.path}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            path, files = self._at(f"{self.path}/{name}")
-            files.delete(path, True)
+def column(name: str) -> Column:
+    """The column of that name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def identified(docs: DataFrame, work: Workspace, id_col: str, text_col: str, whole: bool) -> DataFrame:
@@ -77,7 +31,7 @@ def identified(docs: DataFrame, work: Workspace, id_col: str, text_col: str, who
     those of an operator.
     """
     if whole:
-        rows = work.save(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), "rows-in")
+        rows = work.save(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[column(c) for c in docs.columns]).alias("doc")), "rows-in")
         return rows.select("row", F.col("doc").getField(id_col).alias("id"), F.col("doc").getField(text_col).alias("text"), "doc")
     return work.save(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "rows-in")
 

@@ -7,6 +7,7 @@ from .bpe import op9_byte_bpe
 from .chat_format import OP5_SQL, op5_chat_format
 from .divergence import OP11_SQL, op11_source_divergence
 from .exact_dedup import OP3_SQL, op3_exact_dedup
+from .importance import OP13_SQL, op13_importance_resampling
 from .jaccard_join import op6_jaccard_join
 from .packing import op7_best_fit_packing
 from .quality import op1_quality
@@ -41,6 +42,7 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_toxicity": op10_toxicity,
     "op11_source_divergence": op11_source_divergence,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLE_SQL = {
@@ -50,4 +52,5 @@ ORACLE_SQL = {
     "op6_jaccard_join": OP6_SQL,
     "op8_warc": OP8_SQL,
     "op11_source_divergence": OP11_SQL,
+    "op13_importance_resampling": OP13_SQL,
 }
