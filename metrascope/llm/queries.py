@@ -5,6 +5,7 @@ from __future__ import annotations
 from .ann import op2_multi_index_hashing
 from .bpe import op9_byte_bpe
 from .chat_format import OP5_SQL, op5_chat_format
+from .decontamination import OP12_SQL, op12_benchmark_decontamination
 from .divergence import OP11_SQL, op11_source_divergence
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .importance import OP13_SQL, op13_importance_resampling
@@ -42,6 +43,7 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_toxicity": op10_toxicity,
     "op11_source_divergence": op11_source_divergence,
+    "op12_benchmark_decontamination": op12_benchmark_decontamination,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
@@ -52,5 +54,7 @@ ORACLE_SQL = {
     "op6_jaccard_join": OP6_SQL,
     "op8_warc": OP8_SQL,
     "op11_source_divergence": OP11_SQL,
+    "op12_benchmark_decontamination": op12_benchmark_decontamination,
+    "op12_benchmark_decontamination": OP12_SQL,
     "op13_importance_resampling": OP13_SQL,
 }
