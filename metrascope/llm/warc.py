@@ -10,8 +10,9 @@ records are decoded where they are read. Segments meet by the identifier of
 their first record, ordered by number; their lengths have to add up to the
 stated total. Then the transfer framing is taken off and the digest compared.
 
-Files are written and read by Spark, as rows of text and as binary files, and
-none is larger than ``file_bytes`` and one record. What does not add up is told
+Files are written and read by Spark, as gzipped rows of text and as binary
+files, gzipped or not, and none holds more than ``file_bytes`` and one record.
+What does not add up is told
 in ``problem``, with payload columns null; of an archive that breaks off or
 holds something else, the records before that place are read, and a row with a
 null page tells where. An empty folder gives no rows.
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -123,6 +125,23 @@ def parse_records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, block
 
 
+def opened(content: bytes) -> tuple[bytes, str | None]:
+    """The archive in a file, gzipped or not, as far as it can be had, and what is wrong with the compression."""
+    if content[:2] != b"\x1f\x8b":
+        return content, None
+    out = []
+    while content:
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(content))
+        except zlib.error as e:
+            return b"".join(out), str(e)
+        if not member.eof:
+            return b"".join(out), "the compressed data break off"
+        content = member.unused_data
+    return b"".join(out), None
+
+
 def _payload(block: bytes) -> bytes:
     head, _, body = block.partition(b"\r\n\r\n")
     return unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
@@ -164,7 +183,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     revisit = (F.octet_length("payload") >= min_revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_page"))
     rows = rows.select("page_id", "url", "payload", F.when(revisit, F.col("first_page")).alias("refers_to"), "row")
     archives = rows.mapInArrow(_write(segment_bytes, file_bytes), "archive binary")
-    archives.select(F.col("archive").cast("string")).write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(path)
+    archives.select(F.col("archive").cast("string")).write.option("lineSep", "\n").option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
     work.drop("groups")
 
 
@@ -210,11 +229,14 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of _PARTS from archives (path, content)."""
     schema = _schema(_PARTS)
     for batch in batches:
-        for path, archive in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        for path, content in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             rows = []
             try:
+                archive, broken = opened(content)
                 for fields, block in parse_records(archive):
                     rows.append(_part(fields, block))
+                if broken:
+                    raise ValueError(broken)
             except (ValueError, KeyError) as e:
                 rows.append((f"archive {path}", 0, None, False, None, None, None, None, None, None, f"after {len(rows)} records of {path}: {e}"))
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema)
