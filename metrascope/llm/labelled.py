@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: A text of over such a part of a sample's characters is long.
+LONG = 256
+
 
 def _told(labels: DataFrame, label: str, training: Column, id_col: str) -> DataFrame:
     """id, label: one row of each document with a label for training."""
@@ -28,9 +31,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training: Co
 
     Rows of ``labels`` with a null id or label are left out; of several rows of
     one document, the largest label and the greatest text count. With
-    ``most_chars``, documents of a label are taken, in the order of the hash, as
-    long as they have no more characters together. The sample of ids has at
-    most twice ``per_class`` rows and so is broadcast.
+    ``most_chars``, documents of a label are taken as long as they have no more
+    characters together, and the first in any case: in the order of the hash,
+    but those of over a ``LONG``-th of the bound come last, the shortest first,
+    so that no long text keeps others out. The sample of ids has at most twice
+    ``per_class`` rows and so is broadcast.
     """
     told = _told(labels, label, training, id_col)
     order = [F.xxhash64(F.col(id_col).cast("string")), F.col(id_col)]
@@ -39,8 +44,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training: Co
     rows = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if most_chars is not None:
         sizes = rows.select("_doc", F.length("text").alias("n")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).groupBy("_id", "label").agg(F.max("n").alias("n"))
-        upto = F.sum("n").over(W.partitionBy("label").orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").rowsBetween(W.unboundedPreceding, 0))
-        chosen = sizes.withColumn("upto", upto).where(F.col("upto") <= most_chars).select("_id", "label")
+        long = F.when(F.col("n") > most_chars / LONG, F.col("n"))
+        turn = W.partitionBy("label").orderBy(F.asc_nulls_first(long), F.xxhash64(F.col("_id").cast("string")), "_id").rowsBetween(W.unboundedPreceding, 0)
+        chosen = sizes.withColumns({"upto": F.sum("n").over(turn), "turn": F.count(F.lit(1)).over(turn)}).where((F.col("upto") <= most_chars) | (F.col("turn") == 1)).select("_id", "label")
     return rows.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).groupBy("_doc", "label").agg(F.max("text").alias("text"))
 
 

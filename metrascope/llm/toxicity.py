@@ -8,13 +8,16 @@ of words. The probabilities of sentences then locate what offends.
 
 Executors turn the labelled documents into numbers, at most ``PER_CLASS``
 documents and ``MOST_CHARS`` characters of either label; one task fits the
-model to these, and only the model comes to the driver. Scoring covers every
-row and whole texts, in one pass and without a shuffle.
+model to these, and only the model comes to the driver. Texts over
+``MOST_CHARS`` / 256 characters take part in the fit only where shorter ones
+leave room. Scoring covers every row and whole texts, in one pass and without a
+shuffle.
 
 Defined results: null text counts as empty, and an empty text has the score of
 one empty sentence; repeated rows are scored alike; without labels of both
-kinds all scores are the share of toxic labels (0.5 without any); extra columns
-are ignored; an empty table gives an empty result.
+kinds all scores are the share of toxic labels (0.5 without any); very long
+texts are scored in full, a few megabytes at a time; a score of exactly 0.5 is
+toxic; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
