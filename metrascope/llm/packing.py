@@ -21,9 +21,11 @@ The ranges of lengths end at capacity / k for k up to 8, then halve, so that no
 two pieces of a round fit where one left its gap; those with few pieces are
 joined. With 2,048 tokens there are 16 rounds at most, however many documents.
 
-The driver learns the number of pieces by length (at most ``capacity`` rows)
-and of what is left by range (a row for each range, of which there are as many
-as shuffle partitions at most). Pieces and gaps stay on the executors.
+A round has as many ranges as its rows fill, so a task sweeps about ``RANGE``
+rows whatever the input, and gives them away a few thousand at a time. The
+driver learns the number of pieces by length (at most ``capacity`` rows) and of
+what is left by range (a row of three numbers for each: 61,000 for 10^9 rows).
+Pieces and gaps stay on the executors.
 
 Ids are those of the ``tokenizers`` library by default: a control string in a
 text is its own token.
@@ -43,12 +45,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, shuffle_partitions
+from .common import Workspace
 
 CAPACITY, END_ID = 2048, 0
 
 #: Rows of a range, about.
 RANGE = 1 << 14
+#: Rows that a task gives away at a time.
+_TOGETHER = 4096
 
 _PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long, pid long"
 
@@ -122,7 +126,7 @@ def sweep(rows: Iterator[tuple[int, int, int]], capacity: int, new: Iterator[int
 
 def _sweeps(capacity: int, opened: int | None):
     """Sweeps a task's rows (kind, id, size); ``opened`` tells new sequences of this round from others, None opens none."""
-    from itertools import count
+    from itertools import chain, count, islice
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -130,13 +134,16 @@ def _sweeps(capacity: int, opened: int | None):
         part = TaskContext.get().partitionId()
         new = None if opened is None else count((opened << 24 | part) << 32)
         placed, left, gaps, small = sweep((row for b in batches for row in zip(*[c.to_pylist() for c in b.columns], strict=True)), capacity, new)
-        told = [(_PLACED, key, size, at, offset, part, 0) for key, size, at, offset in placed]
-        told += [(_PIECE, key, size, None, None, part, k) for k, (key, size) in enumerate(left)]
-        told += [(_GAP, key, size, None, None, part, k) for k, (key, size) in enumerate(gaps)]
-        told += [(_SMALL, key, size, None, None, part, 0) for key, size in small]
+        told = chain(
+            ((_PLACED, key, size, at, offset, part, 0) for key, size, at, offset in placed),
+            ((_PIECE, key, size, None, None, part, k) for k, (key, size) in enumerate(left)),
+            ((_GAP, key, size, None, None, part, k) for k, (key, size) in enumerate(gaps)),
+            ((_SMALL, key, size, None, None, part, 0) for key, size in small),
+        )
         kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
         names = [x.split()[0] for x in _SWEPT.split(", ")]
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*told, strict=True) if told else [()] * 7, kinds, strict=True)], names)
+        while rows := list(islice(told, _TOGETHER)):
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return run
 
@@ -186,7 +193,7 @@ def _round(pieces: DataFrame, gaps: DataFrame, n: int, capacity: int, number: in
     spark = pieces.sparkSession
     own = lambda df, kind: df.select(F.lit(kind).alias("kind"), "id", "size")
     rows = own(pieces, _PIECE).unionByName(own(gaps, _GAP))
-    ranges = max(1, min(shuffle_partitions(spark), -(-n // RANGE)))
+    ranges = max(1, -(-n // RANGE))
     order = [F.desc("size"), F.desc("kind"), F.col("id")]
 
     def swept(rows: DataFrame, ranges: int, opened: int | None, name: str) -> DataFrame:
