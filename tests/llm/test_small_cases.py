@@ -2,6 +2,7 @@
 
 import base64
 import bisect
+import gzip
 import hashlib
 import itertools
 import zlib
@@ -323,6 +324,28 @@ def test_packing_over_many_ranges(spark, monkeypatch):
     assert max(held.values()) <= 64 and len(held) <= 1.02 * best_fit([r.length for r in rows], 64)
 
 
+def test_ranges_follow_the_rows_and_not_the_partitions(spark, tmp_path, monkeypatch):
+    """Two shuffle partitions, some forty ranges: no task sweeps more than twice ``RANGE`` rows."""
+    from metrascope.llm.common import Workspace
+
+    monkeypatch.setattr(packing, "RANGE", 100)
+    draw = np.random.default_rng(14)
+    lengths = [int(x) for x in draw.integers(134, 201, 4000)]  # a round: a half to a third of the capacity
+    units = spark.createDataFrame(list(enumerate(lengths)), "id long, size int")
+    work, before = Workspace(spark, "ranges"), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        placed, gaps = packing._round(units, units.where("false"), 4000, 400, 0, work)
+        rows = placed.collect()
+        swept = spark.read.parquet(f"{work.path}/swept0").groupBy("part").count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(swept) >= 35 and max(r["count"] for r in swept) <= 200
+    held = filled([(r["id"], r["size"], r["at"], r["offset"]) for r in rows])
+    assert sorted(r["id"] for r in rows) == list(range(4000)) and max(held.values()) <= 400
+    assert len(held) <= 1.01 * best_fit(lengths, 400) + 1
+
+
 def test_bpe_round_trip(docs, nothing):
     import tiktoken
 
@@ -374,14 +397,15 @@ def test_warc(spark, tmp_path):
 def test_damaged_archives_do_not_stop_a_reader(spark, tmp_path):
     """Cut off, garbage, empty, without an id, and an empty folder."""
     record = lambda k: b"".join(warc.page_records(f"<urn:uuid:{k}>", k, "u", b"payload", None))
-    files = {"good": record(1) + record(2), "cut": record(3) + record(4)[:-30], "garbage": b"\x00\xff nothing", "empty": b"", "nameless": record(5) + record(6).replace(b"WARC-Record-ID", b"X-Record"), "negative": record(7).replace(b"Content-Length: 1", b"Content-Length: -1", 1)}
+    packed = gzip.compress(record(8)) + gzip.compress(record(9))
+    files = {"packed": packed, "torn": gzip.compress(record(10)) + gzip.compress(record(11))[:-12], "good": record(1) + record(2), "cut": record(3) + record(4)[:-30], "garbage": b"\x00\xff nothing", "empty": b"", "nameless": record(5) + record(6).replace(b"WARC-Record-ID", b"X-Record"), "negative": record(7).replace(b"Content-Length: 1", b"Content-Length: -1", 1)}
     (tmp_path / "damaged").mkdir()
     for name, data in files.items():
         (tmp_path / "damaged" / name).write_bytes(data)
     got = warc.read_archives(spark, str(tmp_path / "damaged")).collect()
-    assert sorted(r.page_id for r in got if r.problem is None) == [1, 2, 3, 5]
+    assert sorted(r.page_id for r in got if r.problem is None) == [1, 2, 3, 5, 8, 9, 10]
     told = [r.problem for r in got if r.problem]
-    assert len(told) == 4 and all(any(name in x for x in told) for name in ("cut", "garbage", "nameless", "negative"))
+    assert len(told) == 5 and all(any(name in x for x in told) for name in ("cut", "garbage", "nameless", "negative", "torn"))
     (tmp_path / "none").mkdir()
     assert warc.read_archives(spark, str(tmp_path / "none")).count() == 0
 
@@ -507,10 +531,25 @@ def test_labels_with_nulls_and_repeats(spark, docs):
 
     got = sorted((r["_doc"], r["label"]) for r in labelled_sample(docs, labels, "toxic", F.lit(True), 10).collect())
     few = labelled_sample(docs, labels, "toxic", F.lit(True), 10, most_chars=10)
-    assert [(r["_doc"], r["label"]) for r in few.collect()] == [(9, 0)]
+    assert sorted((r["_doc"], r["label"]) for r in few.collect()) == [(1, 1), (9, 0)]
     assert got == [(1, 1), (9, 0)]
 
 
+def test_a_long_text_keeps_no_label_out(spark):
+    """Whichever text is made long, all others of its label stay in the sample; a label of long texts only has its shortest."""
+    from metrascope.llm.labelled import labelled_sample
+
+    ids = list(range(40))
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    for long in (0, 1, 7, 22, 39):
+        docs = spark.createDataFrame([(i, "a few words " * (2000 if i == long else 3)) for i in ids], "doc_id long, text string")
+        got = {r["_doc"] for r in labelled_sample(docs, labels, "toxic", F.lit(True), 100, most_chars=20_000).collect()}
+        assert got == {*ids} - {long}
+    docs = spark.createDataFrame([(i, "a few words " * (2000 + i if i % 2 else 3)) for i in ids], "doc_id long, text string")
+    got = {r["_doc"] for r in labelled_sample(docs, labels, "toxic", F.lit(True), 100, most_chars=20_000).collect()}
+    assert got == {1, *range(0, 40, 2)}
+
+
 def insulting(join, word="nastya"):
     """A line of 40 words, the last but one of them toxic."""
     return join.join([*(f"word{k}" for k in range(38)), word, "word39"])
