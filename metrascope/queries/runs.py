@@ -1,0 +1,80 @@
+"""Runs compared, harvested, merged and labelled: queries over the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import comparison as C
+from ..sources import pages as G
+from ..sources.tables import papers_of, record_struct
+from ..streaming import upserts as U
+from ..streaming.weekly import event_stream
+from ..workspace import Workspace
+from .common import rounded, table
+
+
+def run_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed or pending orders against shipped items, month by month and by priority: urgent ones in one run, returned ones in the other."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderpriority", "o_orderstatus")
+    one = orders.where("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("paper"), "month", F.col("o_orderpriority").alias("stratum"), (F.col("o_orderpriority") == "1-URGENT").alias("use"))
+    items = table(spark, sf_dir, "lineitem").where("l_linenumber > 1").select(F.col("l_orderkey").alias("paper"), F.lit(None).cast("string").alias("month"), F.lit(None).cast("string").alias("stratum"), (F.col("l_returnflag") == "R").alias("use"))
+    return rounded(C.compare_cube(one, items, "paper", "use", ["month", "stratum"]))
+
+
+def run_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that two sets of labels judge differently, or that only one judges."""
+    labels, docs = table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents")
+    one = labels.select("doc_id", (F.col("toxic") == 1).alias("use"))
+    two = docs.where("n_chars > 500").select("doc_id", (F.col("text").rlike("idiot|moron|pathetic|worthless")).alias("use"))
+    return C.disagreements(one, two, "doc_id", "use")
+
+
+def harvested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages of records, archived and then read as a stream; toxic ones are deleted records."""
+    work, each = Workspace(spark, "harvest"), 100
+    title = F.trim(F.regexp_replace(F.left(F.coalesce("text", F.lit("")), F.lit(300)), "[^A-Za-z0-9<>&;.]+", " "))
+    escaped = F.replace(F.replace(F.replace(title, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    gone = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id", F.lit(' status="deleted"').alias("gone"))
+    docs = table(spark, sf_dir, "documents").join(gone, "doc_id", "left").withColumn("page", F.floor(F.col("doc_id") / each).cast("int"))
+    raw = F.concat(F.lit("<metadata><arXivRaw><id>"), F.col("doc_id").cast("string"), F.lit("</id><title>"), escaped, F.lit("</title><categories>"), F.col("lang"), F.lit(" "), F.col("source"), F.lit("</categories></arXivRaw></metadata>"))
+    record = F.concat(F.lit("<record><header"), F.coalesce("gone", F.lit("")), F.lit("><datestamp>2024-01-01</datestamp></header>"), F.when(F.col("gone").isNull(), raw).otherwise(""), F.lit("</record>"))
+    last = docs.agg(F.max("page")).first()[0]
+    told = docs.select("page", record.alias("record")).groupBy("page").agg(F.concat_ws("", F.collect_list("record")).alias("records"))  # a page has so many at most
+    token = F.when(F.col("page") < F.lit(last), F.concat(F.lit("next-"), F.col("page").cast("string"))).otherwise("")
+    page = F.concat(F.lit("<OAI-PMH><ListRecords>"), "records", F.lit("<resumptionToken>"), token, F.lit("</resumptionToken></ListRecords></OAI-PMH>"))
+    told.select(F.lpad(F.col("page").cast("string"), 9, "0").alias("page"), page.alias("xml")).write.partitionBy("page").text(f"{work.path}/archive")
+    records = U.stream_to_files(G.page_stream(spark, f"{work.path}/archive"), work, "records")
+    papers = papers_of(records.select("page", record_struct(F.col("record")).alias("r")).select("page", "r.*"), "page")
+    return papers.select(F.col("arxiv_id").cast("long").alias("doc_id"), (F.col("page") - 1).cast("long").alias("page"), "title", "primary_category")
+
+
+def stream_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each user and type, merged batch by batch from a stream that tells every event twice."""
+    work = Workspace(spark, "upserts")
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value", "ts")
+    work.save(events.unionByName(events), "events")
+    held = U.UpsertTable(spark, f"{work.path}/held", ["user_id", "event_type"], "event_id", merges=2)
+    stream = event_stream(spark, f"{work.path}/events", files=4)
+    U.upsert_stream(stream, held, f"{work.path}/checkpoint", at="ts", ids=["event_id"], late="3650 days").awaitTermination()
+    return held.read().select("user_id", "event_type", "event_id", "value")
+
+
+QUERIES = {f.__name__: f for f in (run_cube, run_disagreements, harvested_pages, stream_upserts)}
+ORACLE_SQL = {
+    "run_cube": """WITH a AS (SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority AS stratum, o_orderpriority = '1-URGENT' AS one FROM orders WHERE o_orderstatus <> 'O'),
+        b AS (SELECT l_orderkey AS k, bool_or(l_returnflag = 'R') AS two FROM lineitem WHERE l_linenumber > 1 GROUP BY 1),
+        m AS (SELECT coalesce(month, 'unknown') AS month, coalesce(stratum, 'unknown') AS stratum, a.k IS NOT NULL AS x, b.k IS NOT NULL AS y, coalesce(one, FALSE) AS one, coalesce(two, FALSE) AS two FROM a FULL JOIN b ON a.k = b.k),
+        c AS (SELECT month, stratum, grouping(month, stratum)::INTEGER AS level, count(*) FILTER (x AND y) AS common, count(*) FILTER (x AND y AND one) AS positive_one, count(*) FILTER (x AND y AND two) AS positive_two,
+            count(*) FILTER (x AND y AND one AND two) AS "both", count(*) FILTER (x AND y AND one AND NOT two) AS only_one, count(*) FILTER (x AND y AND two AND NOT one) AS only_two, count(*) FILTER (x AND y AND NOT one AND NOT two) AS neither,
+            count(*) FILTER (NOT y) AS missing_in_two, count(*) FILTER (NOT x) AS missing_in_one, count(*) FILTER (NOT y AND one) AS missing_in_two_positive, count(*) FILTER (NOT x AND two) AS missing_in_one_positive
+            FROM m GROUP BY GROUPING SETS ((month, stratum), (month), (stratum), ()))
+        SELECT *, round(positive_one::DOUBLE / nullif(common, 0), 6) AS rate_one, round(positive_two::DOUBLE / nullif(common, 0), 6) AS rate_two,
+            round(positive_one::DOUBLE / nullif(common, 0) - positive_two::DOUBLE / nullif(common, 0), 6) AS difference, round(("both" + neither)::DOUBLE / nullif(common, 0), 6) AS agreement FROM c""",
+    "run_disagreements": """WITH m AS (SELECT coalesce(l.doc_id, d.doc_id) AS doc_id, l.doc_id IS NOT NULL AS x, d.doc_id IS NOT NULL AS y, toxic = 1 AS one, regexp_matches(text, 'idiot|moron|pathetic|worthless') AS two
+            FROM labels l FULL JOIN (SELECT * FROM documents WHERE n_chars > 500) d ON d.doc_id = l.doc_id)
+        SELECT doc_id, CASE WHEN NOT y THEN 'missing_in_two' WHEN NOT x THEN 'missing_in_one' WHEN one THEN 'only_one' ELSE 'only_two' END AS outcome FROM m WHERE NOT (x AND y) OR one <> two""",
+    "harvested_pages": """SELECT doc_id, doc_id // 100 AS page, nullif(trim(regexp_replace(left(text, 300), '[^A-Za-z0-9<>&;.]+', ' ', 'g')), '') AS title, lang AS primary_category
+        FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
+    "stream_upserts": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1",
+}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 from pathlib import Path
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.concentration import FIELDS
 from ..operators.sessions import latest
+from ..workspace import written
 
 
 def write_metrics_csv(metrics: DataFrame, path: str) -> None:
@@ -18,16 +20,62 @@ def write_metrics_csv(metrics: DataFrame, path: str) -> None:
     metrics.select(*FIELDS).orderBy("year", "scope").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_run(tables: dict[str, DataFrame], root: str, run_id: str, runs: DataFrame) -> None:
-    """Appends a run's tables, then the row in ``runs`` that makes them count."""
-    for name, df in tables.items():
-        df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{root}/{name}")
-    runs.write.mode("append").parquet(f"{root}/runs")
+#: Version of the tables of runs; readers refuse others.
+SCHEMA_VERSION = 1
+COMMIT = "run_id string, schema_version int, protocol_sha256 string"
 
 
-def read_run(spark: SparkSession, root: str, name: str, run_id: str) -> DataFrame:
-    """A table of one run; the partition filter prunes all others."""
-    return spark.read.parquet(f"{root}/{name}").where(F.col("run_id") == run_id)
+def _run_name(run_id: str) -> str:
+    if not re.fullmatch(r"[\w.-]+", run_id):
+        raise ValueError(f"a run's id has letters, digits, '.', '-' and '_': {run_id!r}")
+    return f"run_id={run_id}"
+
+
+def committed_runs(spark: SparkSession, root: str) -> DataFrame:
+    """A row (``COMMIT`` and what else was told) of each run that counts."""
+    folders = [f"{root}/runs/{x}" for x in written(spark, f"{root}/runs")]
+    if not folders:
+        return spark.createDataFrame([], COMMIT)
+    schema = spark.read.option("mergeSchema", True).parquet(*folders).schema
+    return spark.read.schema(schema.add("run_id", "string")).option("basePath", f"{root}/runs").parquet(*folders)
+
+
+def write_run(tables: dict[str, DataFrame], root: str, run_id: str, runs: DataFrame, protocol_sha256: str = "", version: int = SCHEMA_VERSION) -> None:
+    """Writes a run's tables, each in a folder of its own, then the row of ``runs`` that makes them count.
+
+    Written again after a crash, a run replaces what it has left, and no other's
+    rows; one that counts already is refused, as its readers may be at work.
+    """
+    spark, name = runs.sparkSession, _run_name(run_id)
+    if name in written(spark, f"{root}/runs"):
+        raise ValueError(f"run {run_id} is committed")
+    for table, df in tables.items():
+        df.drop("run_id").write.mode("overwrite").parquet(f"{root}/{table}/{name}")
+    row = runs.where(F.col("run_id") == run_id).limit(1).withColumns({"schema_version": F.lit(version), "protocol_sha256": F.lit(protocol_sha256)})
+    row.drop("run_id").coalesce(1).write.mode("overwrite").parquet(f"{root}/runs/{name}")
+
+
+def read_runs(spark: SparkSession, root: str, name: str, run_ids: Sequence[str] | None = None, protocol_sha256: str | None = None, version: int = SCHEMA_VERSION) -> DataFrame:
+    """A table of committed runs, with run_id; the partition filter prunes all others.
+
+    Runs that were never committed do not show, and are an error if asked for;
+    so is any of another version of tables or, if given, another protocol.
+    """
+    told = {r["run_id"]: r for r in committed_runs(spark, root).select(*[c.split()[0] for c in COMMIT.split(", ")]).collect()}  # a row for each run
+    asked = sorted(told) if run_ids is None else list(run_ids)
+    if lost := [x for x in asked if x not in told] or ([] if asked else ["any"]):
+        raise ValueError(f"not committed: {lost}")
+    if other := [x for x in asked if told[x]["schema_version"] != version]:
+        raise ValueError(f"tables of another version than {version}: {other}")
+    if other := [x for x in asked if protocol_sha256 is not None and told[x]["protocol_sha256"] != protocol_sha256]:
+        raise ValueError(f"runs of another protocol: {other}")
+    schema = spark.read.option("mergeSchema", True).parquet(*[f"{root}/{name}/{_run_name(x)}" for x in asked]).schema
+    return spark.read.schema(schema.add("run_id", "string")).parquet(f"{root}/{name}").where(F.col("run_id").isin(*asked))
+
+
+def read_run(spark: SparkSession, root: str, name: str, run_id: str, protocol_sha256: str | None = None, version: int = SCHEMA_VERSION) -> DataFrame:
+    """A table of one committed run."""
+    return read_runs(spark, root, name, [run_id], protocol_sha256, version)
 
 
 def current_runs(events: DataFrame) -> DataFrame:

@@ -71,13 +71,23 @@ def read_metadata_pages(spark: SparkSession, path: str) -> DataFrame:
     name is never read.
     """
     reader = spark.read.format("xml").schema(_PAGE_RECORD).option("rowTag", "record").option("ignoreNamespace", True).option("recursiveFileLookup", True)
-    rows = reader.load(path).where("metadata.arXivRaw IS NOT NULL AND coalesce(header._status, '') <> 'deleted'")
+    return papers_of(reader.load(path))
+
+
+def record_struct(record: Column) -> Column:
+    """The header and metadata of a record's XML."""
+    return F.from_xml(record, f"struct<{_PAGE_RECORD}>", {"ignoreNamespace": "true"})
+
+
+def papers_of(records: DataFrame, *keep: str) -> DataFrame:
+    """Papers with their versions from records (header, metadata), and the columns to keep beside."""
+    rows = records.where("metadata.arXivRaw IS NOT NULL AND coalesce(header._status, '') <> 'deleted'")
     m = F.col("metadata.arXivRaw")
     flat = lambda c: F.nullif(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), F.lit(""))
     number = lambda v: F.coalesce(F.regexp_extract(v["_version"], r"(\d+)", 1).try_cast("int"), F.lit(0))
     versions = F.transform(F.coalesce(m["version"], F.expr("array()")), lambda v: F.struct(number(v).alias("version"), F.coalesce(F.date_format(date_of_stamp(v["date"]), "yyyy-MM-dd'T'HH:mm:ss'+00:00'"), v["date"]).alias("date"), v["size"].alias("size")))
     rows = rows.select(
-        flat(m["id"]).alias("arxiv_id"), flat(m["title"]).alias("title"), flat(m["authors"]).alias("authors"), F.lit(None).cast("string").alias("submitter"),
+        *keep, flat(m["id"]).alias("arxiv_id"), flat(m["title"]).alias("title"), flat(m["authors"]).alias("authors"), F.lit(None).cast("string").alias("submitter"),
         flat(m["abstract"]).alias("abstract"), flat(m["comments"]).alias("comments"), F.coalesce(flat(m["categories"]), F.lit("")).alias("categories"),
         flat(m["msc-class"]).alias("msc_class"), flat(m["journal-ref"]).alias("journal_ref"), flat(m["doi"]).alias("doi"), flat(m["license"]).alias("license"),
         F.array_sort(versions).alias("versions"), F.col("header.datestamp").alias("oai_datestamp"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import rate_columns
+from ..workspace import shared_dir, stored
 
 # Weeks begin on Mondays, four days after the epoch's Thursday.
 WEEK, MONDAY, LATE = "7 days", "4 days", "2 days"
@@ -16,8 +17,12 @@ WEEK, MONDAY, LATE = "7 days", "4 days", "2 days"
 def event_stream(spark: SparkSession, path: str, files: int = 8) -> DataFrame:
     """A stream over the Parquet files of a table (one file or a folder)."""
     schema = spark.read.parquet(path).schema
-    folder, _, name = path.rstrip("/").rpartition("/")
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", name if name.endswith(".parquet") else "*").parquet(folder)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
+    place, store = stored(spark, path)
+    if store.getFileStatus(place).isDirectory():
+        return reader.parquet(path)
+    folder, _, name = path.rpartition("/")
+    return reader.option("pathGlobFilter", name).parquet(folder)
 
 
 def timed(events: DataFrame, at: str) -> DataFrame:
@@ -49,19 +54,11 @@ def first_versions(events: DataFrame, keys: list[str], at: str = "ts", late: str
     return timed(events, at).withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
-def upsert_stream(rows: DataFrame, merge, checkpoint: str):
-    """A query that hands every micro-batch to ``merge(df, batch_id)``."""
-    return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Runs a stream over all that is there and returns its result; for aggregates of few rows."""
     spark, name = stream.sparkSession, f"stream_{uuid.uuid4().hex}"
     writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if shared := spark.conf.get("spark.checkpoint.dir", None):  # on a cluster, state lives in the shared folder
-        writer = writer.option("checkpointLocation", f"{shared.rstrip('/')}/{name}")
-    query = writer.start()
-    query.awaitTermination()
+    writer.option("checkpointLocation", f"{shared_dir(spark).rstrip('/')}/{name}").start().awaitTermination()
     return spark.table(name)
 
 

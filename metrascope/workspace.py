@@ -32,6 +32,21 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def stored(spark: SparkSession, path: str):
+    """(path, file system) of Hadoop for a folder or file."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def written(spark: SparkSession, root: str) -> list[str]:
+    """Names of the folders in ``root`` whose writing has ended, in order; a folder of a writer that was lost has no mark of success."""
+    path, files = stored(spark, root)
+    if not files.exists(path):
+        return []
+    names = sorted(x.getPath().getName() for x in files.listStatus(path) if x.isDirectory())
+    return [x for x in names if files.exists(stored(spark, f"{root}/{x}/_SUCCESS")[0])]
+
+
 class Workspace:
     """Intermediate tables as Parquet in the shared folder.
 
@@ -43,13 +58,9 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        path, files = self._at(self.path)
+        path, files = stored(spark, self.path)
         files.deleteOnExit(path)
 
-    def _at(self, path: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{name}"
         df.write.option("compression", "zstd").parquet(path)
@@ -57,5 +68,5 @@ class Workspace:
 
     def drop(self, *names: str) -> None:
         for name in names:
-            path, files = self._at(f"{self.path}/{name}")
+            path, files = stored(self.spark, f"{self.path}/{name}")
             files.delete(path, True)
