@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import comparison as C
+from ..operators import labelling as B
 from ..sources import pages as G
 from ..sources.tables import papers_of, record_struct
 from ..streaming import upserts as U
@@ -60,8 +61,38 @@ def stream_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.read().select("user_id", "event_type", "event_id", "value")
 
 
-QUERIES = {f.__name__: f for f in (run_cube, run_disagreements, harvested_pages, stream_upserts)}
+#: Rules of the stand-in labeller, and the longest prompt that it answers.
+RULES, MOST_CHARS = [("unclear", "idiot|moron|pathetic|worthless"), ("non_use_statement", "[Ll]icensed|[Ll]icense,")], 20_000
+
+
+def labelled_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents in batches of 30 of a language, put to a labeller that refuses long prompts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    told, _ = B.label_batches(docs, B.RuleLabeller(RULES, MOST_CHARS), Workspace(spark, "labelled"), "doc_id", "text", "lang")
+    return told.select(F.col("group").alias("lang"), "batch", F.col("key").cast("long").alias("doc_id"), "split_path", F.col("label.polarity").alias("polarity"), F.substring_index("reason", ":", 2).alias("reason"))
+
+
+def label_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of the requests behind ``labelled_batches``: how many snippets, and whether they were answered."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    _, records = B.label_batches(docs, B.RuleLabeller(RULES, MOST_CHARS), Workspace(spark, "labelled"), "doc_id", "text", "lang")
+    return records.select(F.col("group").alias("lang"), "batch", "split_path", F.size("keys").cast("long").alias("n"), F.element_at("keys", 1).cast("long").alias("first_doc"), F.col("response_sha256").isNotNull().alias("answered"))
+
+
+QUERIES = {f.__name__: f for f in (run_cube, run_disagreements, harvested_pages, stream_upserts, labelled_batches, label_requests)}
+# A prompt's length: header and end, then of each snippet its mark, number, text and line ends.
+_BATCHES_SQL = f"""WITH RECURSIVE d AS (SELECT lang, doc_id, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS k FROM documents),
+    p AS (SELECT lang, k // 30 AS batch, k % 30 AS place, doc_id, text, sum(length(coalesce(text, '')) + {len(B.MARK) + 4}) OVER (PARTITION BY lang, k // 30 ORDER BY k) AS upto FROM d),
+    s AS (SELECT lang, batch, list_prepend(0, list(upto ORDER BY place)) AS s, count(*) AS n FROM p GROUP BY 1, 2),
+    r AS (SELECT lang, batch, 0 AS lo, n::BIGINT AS hi, 'R' AS path, s FROM s
+          UNION ALL SELECT lang, batch, CASE WHEN side = 0 THEN lo ELSE lo + (hi - lo) // 2 END, CASE WHEN side = 0 THEN lo + (hi - lo) // 2 ELSE hi END, path || CASE WHEN side = 0 THEN '.L' ELSE '.R' END, s
+          FROM r, (VALUES (0), (1)) v(side) WHERE hi - lo > 1 AND {len(B.HEADER) + len(B.END)} + s[hi + 1] - s[lo + 1] + greatest(0, hi - lo - 10) > {MOST_CHARS}),
+    e AS (SELECT lang, batch, lo, hi, path, {len(B.HEADER) + len(B.END)} + s[hi + 1] - s[lo + 1] + greatest(0, hi - lo - 10) > {MOST_CHARS} AS failed FROM r)
+"""
 ORACLE_SQL = {
+    "labelled_batches": _BATCHES_SQL + f"""SELECT p.lang, p.batch, doc_id, path AS split_path, CASE WHEN failed THEN NULL WHEN regexp_matches(coalesce(text, ''), '{RULES[0][1]}') THEN 'unclear' WHEN regexp_matches(coalesce(text, ''), '{RULES[1][1]}') THEN 'non_use_statement' ELSE 'topic_only' END AS polarity,
+        CASE WHEN failed THEN 'RuntimeError: truncated' END AS reason FROM p JOIN e ON p.lang = e.lang AND p.batch = e.batch AND place >= lo AND place < hi WHERE NOT failed OR hi - lo = 1""",
+    "label_requests": _BATCHES_SQL + """SELECT e.lang, e.batch, path || CASE WHEN failed THEN '!' ELSE '' END AS split_path, hi - lo AS n, doc_id AS first_doc, NOT failed AS answered FROM e JOIN p ON p.lang = e.lang AND p.batch = e.batch AND place = lo""",
     "run_cube": """WITH a AS (SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority AS stratum, o_orderpriority = '1-URGENT' AS one FROM orders WHERE o_orderstatus <> 'O'),
         b AS (SELECT l_orderkey AS k, bool_or(l_returnflag = 'R') AS two FROM lineitem WHERE l_linenumber > 1 GROUP BY 1),
         m AS (SELECT coalesce(month, 'unknown') AS month, coalesce(stratum, 'unknown') AS stratum, a.k IS NOT NULL AS x, b.k IS NOT NULL AS y, coalesce(one, FALSE) AS one, coalesce(two, FALSE) AS two FROM a FULL JOIN b ON a.k = b.k),
