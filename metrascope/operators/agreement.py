@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import kappa, rate_columns, ratio, wilson_bound
+from ..workspace import Workspace
+from .numbering import numbered
 
 
 def seeded(seed: str | int, *keys: str) -> Column:
@@ -70,6 +73,27 @@ def plant(frame: DataFrame, orders: DataFrame, n: int, skip: int, seed: str | in
     return frame.where(F.col("stratum").isin("POS", "FLAG")).join(seen, key, "left_anti").select(key).orderBy(seeded(f"{seed}-plants", key), key).limit(n)
 
 
+def reviewer_orders(papers: DataFrame, reviewers: Sequence[str], seed: str | int, work: Workspace, key: str = "arxiv_id") -> DataFrame:
+    """(reviewer, key, place from 0): all papers, shuffled anew for each reviewer by the seed and the reviewer's name."""
+    rows = papers.select(key).distinct().select(F.explode(F.array(*[F.lit(r) for r in reviewers])).alias("reviewer"), key)
+    shuffle = F.md5(F.concat_ws("|", F.concat(F.lit(f"{seed}-"), "reviewer"), F.col(key).cast("string")))
+    told = numbered(rows, [shuffle, F.col(key)], work, "orders", ["reviewer"])
+    return told.select("reviewer", key, (F.col("number") - 1).alias("place"))
+
+
+def packets(orders: DataFrame, plants: DataFrame, excerpts: DataFrame, seed: str | int, size: int, key: str = "arxiv_id") -> DataFrame:
+    """(reviewer, packet, item from 1, blind_id, key, plant, excerpts) of what each reviewer is given, ``size`` papers a packet.
+
+    ``excerpts``: key, and how many excerpts it has; a plant is shown without
+    any, like papers that have none. The blind id tells neither paper nor stratum.
+    """
+    told = orders.join(plants.select(key).distinct().withColumn("_plant", F.lit(True)), key, "left").join(excerpts.groupBy(key).agg(F.sum("excerpts").alias("_n")), key, "left")
+    plant = F.coalesce("_plant", F.lit(False))
+    blind = F.left(F.sha2(F.concat_ws("|", F.lit(str(seed)), "reviewer", F.col(key).cast("string")), 256), F.lit(16))
+    shown = F.when(plant, 0).otherwise(F.coalesce("_n", F.lit(0))).cast("long")
+    return told.select("reviewer", F.floor(F.col("place") / size).alias("packet"), (F.pmod("place", F.lit(size)) + 1).alias("item"), blind.alias("blind_id"), key, plant.alias("plant"), shown.alias("excerpts"))
+
+
 def stratified_calibration(verdicts: DataFrame, frame: DataFrame, machine: DataFrame, seen: DataFrame, excluded: DataFrame, key: str = "arxiv_id") -> DataFrame:
     """measure, n, k, rate and Wilson bounds of a machine against reviewers, by what papers were shown as.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import is_grounded
 
@@ -26,6 +27,46 @@ MOST_ITEMS, MOST_CHARS, MOST_QUOTE = 20, 120, 600
 LABEL = "polarity string, tools array<string>, models array<string>, categories array<string>, epistemic_impact string, locations array<string>, confidence double, quote string, flags map<string,boolean>"
 
 
+#: Kinds of a label's keys that no vocabulary closes, and the vocabularies of the others.
+TEXTS, CLOSED = ("tools", "models"), {"polarity": POLARITIES, "categories": CATEGORIES, "epistemic_impact": IMPACTS, "locations": LOCATIONS}
+
+
+def label_schema(numbered: bool = True, closed: bool = True) -> dict:
+    """The JSON schema of a label, made from the vocabularies; ``numbered``: with the number of its snippet, ``closed``: other keys are refused."""
+    word = lambda k: {"type": "string", "enum": sorted(CLOSED[k]) if k != "locations" else list(LOCATIONS)}
+    kinds = {
+        "polarity": word("polarity"), **{k: {"type": "array", "items": {"type": "string"}} for k in TEXTS}, "categories": {"type": "array", "items": word("categories")},
+        "epistemic_impact": word("epistemic_impact"), "locations": {"type": "array", "minItems": 1, "items": word("locations")}, "confidence": {"type": "number"}, "quote": {"type": "string"},
+        "flags": {"type": "object", "properties": {f: {"type": "boolean"} for f in FLAGS}, "required": sorted(FLAGS)},
+    }
+    props = {**({"id": {"type": "integer"}} if numbered else {}), **{k: kinds[k] for k in KEYS}}
+    told = {"type": "object", "properties": props, "required": list(props)}
+    if closed:
+        told["additionalProperties"] = kinds["flags"]["additionalProperties"] = False
+    return told
+
+
+def reply_schema(closed: bool = True) -> dict:
+    """The JSON schema of a reply: an object with the labels."""
+    told = {"type": "object", "properties": {"labels": {"type": "array", "items": label_schema(closed=closed)}}, "required": ["labels"]}
+    return told | ({"additionalProperties": False} if closed else {})
+
+
+def struct_of(schema: dict) -> T.DataType:
+    """The Spark type of values that follow a JSON schema as these are."""
+    kind = schema["type"]
+    if kind == "array":
+        return T.ArrayType(struct_of(schema["items"]))
+    if kind == "object":
+        return T.StructType([T.StructField(k, struct_of(v)) for k, v in schema["properties"].items()])
+    return {"string": T.StringType(), "number": T.DoubleType(), "integer": T.LongType(), "boolean": T.BooleanType()}[kind]
+
+
+def read_replies(reply: Column) -> Column:
+    """The labels of a reply as structs of the schema; null where it is no such object. What the types alone cannot tell, ``validate_labels`` does."""
+    return F.from_json(reply, struct_of(reply_schema()))["labels"]
+
+
 def cross_field_problem(author_use: Column, impact: Column, catalytic: Column) -> Column:
     """Why impact, flag and polarity contradict each other; null if they do not. One rule for people and machines."""
     return (

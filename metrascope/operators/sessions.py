@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..workspace import Workspace
+from .numbering import numbered
+
 #: Characters after which a new snippet, and a new excerpt, begins; items of a batch.
 MERGE_GAP, EXCERPT_SPAN, BATCH = 600, 3000, 30
 
@@ -79,5 +82,6 @@ def settle(rows: DataFrame, keys: list[str], status: str, order: str) -> DataFra
 
 
 def batches(rows: DataFrame, keys: list[str], order: list[str], size: int = BATCH) -> DataFrame:
-    """``batch``: number of the run of ``size`` rows within the keys."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1) / size))
+    """``batch``: number of the run of ``size`` rows within the keys; a key of any share of the rows is numbered by all tasks."""
+    told = numbered(rows, order, Workspace(rows.sparkSession, "batches"), "rows", keys, "_number")
+    return told.withColumn("batch", F.floor((F.col("_number") - 1) / size)).drop("_number")

@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import agreement as A
 from ..operators import comparison as C
+from ..operators import context as X
 from ..operators import labelling as B
 from ..sources import pages as G
 from ..sources.tables import papers_of, record_struct
+from ..streaming import campaigns as L
 from ..streaming import upserts as U
 from ..streaming.weekly import event_stream
 from ..workspace import Workspace
 from .common import rounded, table
+from .corpus import _HITS_SQL, hit_offsets
 
 
 def run_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +83,47 @@ def label_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("group").alias("lang"), "batch", "split_path", F.size("keys").cast("long").alias("n"), F.element_at("keys", 1).cast("long").alias("first_doc"), F.col("response_sha256").isNotNull().alias("answered"))
 
 
-QUERIES = {f.__name__: f for f in (run_cube, run_disagreements, harvested_pages, stream_upserts, labelled_batches, label_requests)}
+def campaign_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as those of their users' campaigns, from a stream in three parts: signups create, purchases reserve, clicks settle, errors close."""
+    work, events = Workspace(spark, "campaigns"), table(spark, sf_dir, "events")
+    kind = F.element_at(F.create_map(*[F.lit(x) for x in ("signup", "created", "purchase", "reserved", "click", "settled", "view", "amended", "error", "closed")]), F.col("event_type"))
+    usd = F.when(kind == "created", F.col("value") * 5).otherwise(F.col("value"))
+    told = events.select(F.col("user_id").cast("string").alias("campaign"), F.col("event_id").alias("seq"), kind.alias("kind"), F.concat(F.lit("r"), (F.floor("value") % 4).cast("string")).alias("request"), usd.alias("usd"))
+    third = F.floor(F.col("seq") * 3 / F.lit((told.agg(F.max("seq")).first()[0] or 0) + 1))
+    for part in range(3):  # files in the order of events
+        told.where(third == part).coalesce(1).write.mode("append").parquet(f"{work.path}/events")
+    stream = event_stream(spark, f"{work.path}/events", files=1)
+    return rounded(U.stream_to_files(L.campaign_ledger(stream), work, "outcomes"))
+
+
+def hit_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits with the last line that begins with a capital at or before them, at most 2,500 characters away."""
+    hits, docs = hit_offsets(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", "text")
+    told = X.with_sections(hits, docs, Workspace(spark, "sections"), "doc_id", pattern=LINE)
+    return told.select("doc_id", "term", "tier", "offset", "section", "section_distance")
+
+
+def hit_context_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits by the older class of their context; headings are lines of a few capitals' words."""
+    hits, docs = hit_offsets(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", "text")
+    told = X.classified(hits, docs, Workspace(spark, "contexts"), "doc_id", pattern=LINE)
+    return told.groupBy("term", "context_class").agg(F.count(F.lit(1)).alias("n"), F.count("section").alias("with_section"))
+
+
+def reviewer_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets of 25 labelled documents for each of three reviewers: twenty planted ones are shown without excerpts, none of them among a reviewer's first forty."""
+    labels, work = table(spark, sf_dir, "labels"), Workspace(spark, "packets")
+    frame = labels.select(F.col("doc_id").alias("arxiv_id"), F.when(F.col("toxic") == 1, "POS").when(F.col("quality") == 0, "FLAG").otherwise("NEG").alias("stratum"))
+    orders = work.save(A.reviewer_orders(frame, ["ada", "ben", "cyd"], 7, work), "all-orders")
+    plants = A.plant(frame, orders, 20, 40, 7)
+    excerpts = hit_offsets(spark, sf_dir).groupBy(F.col("doc_id").alias("arxiv_id")).agg(F.count(F.lit(1)).alias("excerpts"))
+    return A.packets(orders, plants, excerpts, 7, 25).withColumnRenamed("arxiv_id", "doc_id")
+
+
+#: What stands for a heading in the driver's texts: the first word of a line, if that begins with a capital.
+LINE = r"\n[A-Z][a-z]+"
+
+QUERIES = {f.__name__: f for f in (run_cube, run_disagreements, harvested_pages, stream_upserts, labelled_batches, label_requests, campaign_outcomes, hit_sections, hit_context_classes, reviewer_packets)}
 # A prompt's length: header and end, then of each snippet its mark, number, text and line ends.
 _BATCHES_SQL = f"""WITH RECURSIVE d AS (SELECT lang, doc_id, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS k FROM documents),
     p AS (SELECT lang, k // 30 AS batch, k % 30 AS place, doc_id, text, sum(length(coalesce(text, '')) + {len(B.MARK) + 4}) OVER (PARTITION BY lang, k // 30 ORDER BY k) AS upto FROM d),
@@ -89,7 +133,36 @@ _BATCHES_SQL = f"""WITH RECURSIVE d AS (SELECT lang, doc_id, text, row_number()
           FROM r, (VALUES (0), (1)) v(side) WHERE hi - lo > 1 AND {len(B.HEADER) + len(B.END)} + s[hi + 1] - s[lo + 1] + greatest(0, hi - lo - 10) > {MOST_CHARS}),
     e AS (SELECT lang, batch, lo, hi, path, {len(B.HEADER) + len(B.END)} + s[hi + 1] - s[lo + 1] + greatest(0, hi - lo - 10) > {MOST_CHARS} AS failed FROM r)
 """
+_SECTIONS_SQL = _HITS_SQL + f""", hx AS (SELECT doc_id, regexp_extract_all(text, '{LINE}') AS ms, regexp_split_to_array(text, '{LINE}') AS ps FROM documents WHERE regexp_matches(text, '{LINE}')),
+    hi AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM hx),
+    h AS (SELECT doc_id, CAST(list_sum(list_transform(ps[1:CAST(i AS BIGINT)], lambda s: length(s))) + coalesce(list_sum(list_transform(ms[1:CAST(i - 1 AS BIGINT)], lambda s: length(s))), 0) AS BIGINT) AS place, ms[CAST(i AS BIGINT)] AS section FROM hi),
+    m AS (SELECT hits.doc_id, text, term, tier, "offset", section, "offset" - place AS d FROM hits ASOF LEFT JOIN h ON hits.doc_id = h.doc_id AND hits."offset" >= h.place)
+"""
 ORACLE_SQL = {
+    "campaign_outcomes": """WITH RECURSIVE e AS (SELECT user_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'created' WHEN 'purchase' THEN 'reserved' WHEN 'click' THEN 'settled' WHEN 'view' THEN 'amended' ELSE 'closed' END AS kind,
+            CAST(floor(value) AS BIGINT) % 4 + 1 AS i, CASE WHEN event_type = 'signup' THEN value * 5 ELSE value END AS usd, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+        s AS (SELECT DISTINCT user_id, 0::BIGINT AS k, NULL::BIGINT AS seq, NULL::VARCHAR AS kind, NULL::VARCHAR AS reason, NULL::VARCHAR AS status, NULL::DOUBLE AS cap, 0::DOUBLE AS used, [NULL, NULL, NULL, NULL]::DOUBLE[] AS open FROM e
+            UNION ALL
+            SELECT user_id, k, seq, kind, reason, CASE WHEN reason IS NULL AND kind = 'created' THEN 'open' WHEN reason IS NULL AND kind = 'closed' THEN 'closed' ELSE status END, CASE WHEN reason IS NULL AND kind = 'created' THEN usd ELSE cap END,
+                CASE WHEN reason IS NULL AND kind = 'reserved' THEN used + usd WHEN reason IS NULL AND kind = 'settled' THEN used + usd - held WHEN reason IS NULL AND kind = 'created' THEN 0 ELSE used END,
+                CASE WHEN reason IS NULL AND kind IN ('reserved', 'settled') THEN list_transform(range(1, 5), lambda j: CASE WHEN j <> i THEN open[j] WHEN kind = 'reserved' THEN usd END) ELSE open END
+            FROM (SELECT e.user_id, e.k, e.seq, e.kind, e.i, e.usd, s.status, s.cap, s.used, s.open, s.open[e.i] AS held,
+                    CASE WHEN e.kind = 'created' THEN CASE WHEN s.status IS NOT NULL THEN 'exists' END WHEN s.status IS NULL THEN 'unknown campaign' WHEN s.status = 'closed' AND e.kind <> 'amended' THEN 'closed'
+                        WHEN e.kind = 'reserved' THEN CASE WHEN s.open[e.i] IS NOT NULL THEN 'repeated request' WHEN s.used + e.usd > s.cap THEN 'over the cap' END
+                        WHEN e.kind = 'settled' AND s.open[e.i] IS NULL THEN 'not open' WHEN e.kind = 'closed' AND list_count(s.open) > 0 THEN 'open reservations' END AS reason
+                  FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1))
+        SELECT user_id::VARCHAR AS campaign, seq, kind, reason IS NULL AS taken, reason, status, round(used, 6) AS used, list_count(open)::INTEGER AS open FROM s WHERE k > 0""",
+    "hit_sections": _SECTIONS_SQL + """SELECT doc_id, term, tier, "offset", CASE WHEN d <= 2500 THEN section END AS section, CASE WHEN d <= 2500 THEN d END AS section_distance FROM m""",
+    "hit_context_classes": _SECTIONS_SQL + f""", l AS (SELECT term, section, d, substr(text, CAST(greatest(0, "offset" - 700) + 1 AS BIGINT), CAST("offset" + 700 - greatest(0, "offset" - 700) AS BIGINT)) AS t FROM m)
+        SELECT term, CASE WHEN regexp_matches(t, '{X.DENIAL}') AND (regexp_matches(t, '{X.USE}') OR regexp_matches(t, '{X.DISCLOSURE}')) THEN 'negative_ai_use_statement'
+            WHEN regexp_matches(t, '{X.THANKS}') AND regexp_matches(t, '{X.DISCLOSURE}') THEN 'likely_ai_use_acknowledgement' WHEN regexp_matches(t, '{X.DISCLOSURE}') THEN 'likely_ai_use_statement' ELSE 'possible_ai_term' END AS context_class,
+            count(*) AS n, count(*) FILTER (d <= 2500) AS with_section FROM l GROUP BY 1, 2""",
+    "reviewer_packets": _HITS_SQL + """, f AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'POS' WHEN quality = 0 THEN 'FLAG' ELSE 'NEG' END AS stratum FROM labels),
+        o AS (SELECT reviewer, doc_id, row_number() OVER (PARTITION BY reviewer ORDER BY md5('7-' || reviewer || '|' || doc_id), doc_id) - 1 AS place FROM f, (VALUES ('ada'), ('ben'), ('cyd')) v(reviewer)),
+        p AS (SELECT doc_id FROM f WHERE stratum <> 'NEG' AND doc_id NOT IN (SELECT doc_id FROM o WHERE place < 40) ORDER BY md5('7-plants|' || doc_id), doc_id LIMIT 20),
+        xs AS (SELECT doc_id, count(*) AS n FROM hits GROUP BY 1)
+        SELECT reviewer, place // 25 AS packet, place % 25 + 1 AS item, left(sha256('7|' || reviewer || '|' || doc_id), 16) AS blind_id, doc_id, doc_id IN (SELECT doc_id FROM p) AS plant,
+            CASE WHEN doc_id IN (SELECT doc_id FROM p) THEN 0 ELSE coalesce(n, 0) END AS excerpts FROM o LEFT JOIN xs USING (doc_id)""",
     "labelled_batches": _BATCHES_SQL + f"""SELECT p.lang, p.batch, doc_id, path AS split_path, CASE WHEN failed THEN NULL WHEN regexp_matches(coalesce(text, ''), '{RULES[0][1]}') THEN 'unclear' WHEN regexp_matches(coalesce(text, ''), '{RULES[1][1]}') THEN 'non_use_statement' ELSE 'topic_only' END AS polarity,
         CASE WHEN failed THEN 'RuntimeError: truncated' END AS reason FROM p JOIN e ON p.lang = e.lang AND p.batch = e.batch AND place >= lo AND place < hi WHERE NOT failed OR hi - lo = 1""",
     "label_requests": _BATCHES_SQL + """SELECT e.lang, e.batch, path || CASE WHEN failed THEN '!' ELSE '' END AS split_path, hi - lo AS n, doc_id AS first_doc, NOT failed AS answered FROM e JOIN p ON p.lang = e.lang AND p.batch = e.batch AND place = lo""",
