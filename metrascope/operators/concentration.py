@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import ratio
+from ..workspace import Workspace
 
 #: Columns of the metrics table, in order.
 FIELDS = [
@@ -86,17 +87,6 @@ def inequality(outputs: DataFrame, keys: list[str], measures: dict[str, tuple[st
     return levels.groupBy(*keys).agg(*told)
 
 
-_kept: list[DataFrame] = []
-
-
-def _keep(df: DataFrame) -> DataFrame:
-    """``df`` persisted in place of what was before: one table at a time, however many calls there are."""
-    while _kept:
-        _kept.pop().unpersist()
-    _kept.append(df.persist())
-    return df
-
-
 def annual_metrics(papers: DataFrame, start: int | None = None, end: int | None = None, minimum_lookback: int = 5, subfields: bool = True, require_complete: bool = False, overall: bool = True) -> DataFrame:
     """The metrics of ``FIELDS`` per year and scope (``all``, ``subfield:...``).
 
@@ -104,7 +94,7 @@ def annual_metrics(papers: DataFrame, start: int | None = None, end: int | None
     analysed; columns on coverage still describe the whole frame. First years
     of authors come from all papers.
     """
-    papers = _keep(papers)  # four branches read the rebuilt papers; lost parts are computed again
+    papers = Workspace(papers.sparkSession, "concentration").save(papers, "papers")  # four branches read the rebuilt papers
     span = papers.agg(F.min("year").alias("low"), F.max("year").alias("high")).first()
     start = span.low + minimum_lookback if start is None else start
     end = span.high if end is None else end

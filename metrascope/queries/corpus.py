@@ -11,6 +11,7 @@ from ..operators import providers as V
 from ..operators import quotes as Q
 from ..operators import sessions as S
 from ..sources import tables as T
+from ..workspace import Workspace, spread
 from .common import table
 
 #: A lexicon for the driver's texts: term, tier, pattern that all regular-expression engines read alike.
@@ -34,7 +35,7 @@ hits AS (SELECT doc_id, text, term, tier, CAST(list_sum(list_transform(ps[1:CAST
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text, term, tier, offset, matched: all patterns in one pass over the texts."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where(F.col("text").rlike("|".join(p for _, _, p in TERMS)))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").where(F.col("text").rlike("|".join(p for _, _, p in TERMS)))
 
     def of_term(term: str, tier: str, pattern: str) -> Column:
         hit = lambda h: F.struct(F.lit(term).alias("term"), F.lit(tier).alias("tier"), h["offset"].cast("long").alias("offset"), h["matched"].alias("matched"))
@@ -111,7 +112,7 @@ PLANTED = [
 
 def lexicon_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of the full lexicon in documents, lower-cased, after a sentence of known hits; dots keep the windows of hits apart from the text."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     first = F.element_at(F.array(*[F.lit(x) for x, _ in PLANTED]), (F.pmod("doc_id", F.lit(len(PLANTED))) + 1).cast("int"))
     text = F.concat(first, F.repeat(F.lit(" ."), 400), F.lit(" "), F.lower(F.coalesce("text", F.lit(""))))
     return L.scan(docs.select("doc_id", text.alias("text")), ["doc_id"]).drop("context")
@@ -124,6 +125,27 @@ def source_and_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.groupBy(F.col("term").isNotNull().alias("hit")).agg(F.count_distinct("doc_id").alias("documents"))
 
 
+def metadata_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of the full lexicon in a comment that each language's documents have, and in their source."""
+    said = F.create_map(*[F.lit(x) for pair in COMMENTS.items() for x in pair])
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.try_element_at(said, F.col("lang")).alias("comments"), "source")
+    told = L.scan_metadata(docs, "doc_id", ["comments", "source"])
+    return told.select("doc_id", "kind", "term", F.col("offset").cast("long").alias("offset"), "matched", "rule_class")
+
+
+#: Comments by language: a disclosure, a name that is none, a prover, and nothing.
+COMMENTS = {"en": "Declaration: we used GPT-4o to edit", "fr": "Université Claude Bernard, 12 pages", "de": "checked in Lean 4"}
+
+
+def stripped_environments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents dressed as source: halves of their texts in comments, behind switches, in links and after the end go, the rest stays."""
+    text = F.regexp_replace("text", r"[%~\\{}]", " ")
+    left, right = F.left(text, F.lit(200)), F.substring(text, 201, F.lit(1_000_000_000))
+    whole = F.concat(left, F.lit("\\begin{comment}"), right, F.lit("\\end{comment}|\\iffalse "), right, F.lit("\\fi|\\href{http://x.org/a%20b}{"), right, F.lit("} 5\\% kept % gone \n|\\'{e}~\\begin{comment}"), left, F.lit("\\end{comment}"), left, F.lit("\\end{document}"), right)
+    c = X.plain_accents(X.strip_comments(whole))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(c).cast("long").alias("chars"), F.sha2(c, 256).alias("sha256"))
+
+
 def anchored_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of hits that begin within 3,000 characters of the block's first."""
     return S.anchored_blocks(_hits(spark, sf_dir), ["doc_id"], "offset")
@@ -154,24 +176,38 @@ def quote_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     word) rows take part in that join; candidates then meet their texts.
     """
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    words = F.split(F.col("text"), r"\s+")
+    work, words = Workspace(spark, "containment"), F.split(F.col("text"), r"\s+")
     # The words at a passage's ends may go on in the document; those between cannot.
     inner = F.array_distinct(F.filter(F.slice(words, 2, F.greatest(F.lit(0), F.size(words) - 2)), lambda w: w != ""))
     asked = items.select("item_id", F.explode(inner).alias("word"))
-    # Of the documents' words only those of passages are counted and kept; the list is as long as the passages' vocabulary.
-    held = docs.select("doc_id", F.explode(F.array_distinct(words)).alias("word")).join(asked.select("word").distinct(), "word", "left_semi")
+    # Of the documents' words only those of passages are counted and kept, once; the list is as long as the passages' vocabulary.
+    spread_docs = spread(docs.select("doc_id", "text"), "doc_id")
+    held = work.save(spread_docs.select("doc_id", F.explode(F.array_distinct(words)).alias("word")).join(asked.select("word").distinct(), "word", "left_semi"), "held")
     counted = held.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     rarest = asked.join(counted, "word", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("w")).select("item_id", "w.word")
     met = held.join(rarest, "word").select("item_id", "doc_id")
     passages = items.select("item_id", F.col("text").alias("passage"))
     texts = met.join(docs.select("doc_id", "text"), "doc_id").join(passages, "item_id")
     found = texts.where(F.contains("text", "passage")).select("item_id", "doc_id")
-    # Passages of fewer than three words have no such word; as a list they meet the words of each document that may hold them.
+    # Passages of fewer than three words have no such word. They meet the documents by their pieces: parted at white space,
+    # a passage stands in a text only if its pieces stand in words of the text that follow each other; the longest piece is enough to ask for.
     short = passages.where((F.size(F.split("passage", r"\s+")) < 3) & (F.length("passage") > 0))
     if short.limit(1).count():
-        listed = [r["passage"] for r in short.select("passage").distinct().collect()]
-        held_by = docs.select("doc_id", F.explode(F.filter(F.array(*[F.lit(x) for x in listed]), lambda p: F.contains(F.col("text"), p))).alias("passage"))
-        found = found.unionByName(held_by.join(short, "passage").select("item_id", "doc_id"))
+        longest = F.array_max(F.transform(F.split("passage", r"\s+"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+        pieces = work.save(short.select(longest.alias("piece")).distinct(), "pieces")
+        vocabulary = spread_docs.select(F.explode(F.array_distinct(words)).alias("word")).distinct()
+        # Words that hold a piece, by the strings inside them of the lengths that pieces have.
+        sizes = [r[0] for r in pieces.select(F.length("piece").alias("n")).distinct().collect() if r[0]]  # as many as there are lengths of words
+        grams = lambda n: F.transform(F.when(F.length("word") >= n, F.sequence(F.lit(1), F.length("word") - n + 1)), lambda i: F.substring(F.col("word"), i, F.lit(n)))
+        inside = vocabulary.select("word", F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*[grams(n) for n in sizes]))))).alias("piece")).join(pieces, "piece") if sizes else None
+        asked_short = short.withColumn("piece", longest)
+        if inside is not None:
+            near = spread_docs.select("doc_id", F.explode(F.array_distinct(words)).alias("word")).join(inside, "word").join(asked_short, "piece").select("doc_id", "item_id", "passage").distinct()
+            found = found.unionByName(near.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "passage")).select("item_id", "doc_id"))
+        # Passages of nothing but white space stand where the same white space does.
+        blank = short.where(F.trim(F.regexp_replace("passage", r"\s+", "")) == "")
+        if blank.limit(1).count():
+            found = found.unionByName(docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\s+"), F.lit(0)))).alias("run")).distinct().join(blank, F.contains("run", "passage")).select("item_id", "doc_id"))
     return found.distinct()
 
 
@@ -192,7 +228,7 @@ def middle_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.length(c).cast("long").alias("chars"), F.sha2(c, 256).alias("sha256"))
 
 
-QUERIES = {f.__name__: f for f in (hit_offsets, term_hits, flagged_documents, hit_snippets, merged_snippets, list_reconciliation, hit_contexts, rule_class, lexicon_scan, source_and_language, anchored_excerpts, highlight_spans, provider_buckets, tool_providers, quote_containment, quote_matches, stripped_sources, middle_cut)}
+QUERIES = {f.__name__: f for f in (hit_offsets, term_hits, flagged_documents, hit_snippets, merged_snippets, list_reconciliation, hit_contexts, rule_class, lexicon_scan, source_and_language, metadata_hits, stripped_environments, anchored_excerpts, highlight_spans, provider_buckets, tool_providers, quote_containment, quote_matches, stripped_sources, middle_cut)}
 _WINDOW = lambda r: f'substr(text, CAST(greatest(0, "offset" - {r}) + 1 AS BIGINT), CAST("offset" + {r} - greatest(0, "offset" - {r}) AS BIGINT))'
 ORACLE_SQL = {
     "hit_offsets": _HITS_SQL + 'SELECT doc_id, term, tier, "offset", matched FROM hits',
@@ -233,5 +269,10 @@ ORACLE_SQL = {
         SELECT doc_id, length(c) AS chars, sha256(c) AS sha256 FROM c""",
     "lexicon_scan": f"""WITH p(k, term, tier, "offset", matched, rule_class) AS (VALUES {", ".join(f"({k}, '{t}', '{tier}', {at}, '{m}', '{c}')" for k, (_, hits) in enumerate(PLANTED) for t, tier, at, m, c in hits)})
         SELECT doc_id, term, tier, "offset", matched, rule_class FROM documents JOIN p ON k = doc_id % {len(PLANTED)}""",
+    "metadata_hits": """WITH p(lang, term, "offset", matched, rule_class) AS (VALUES ('en', 'GPT', 21, 'GPT-4o', 'disclosure_genre'), ('fr', 'Claude', 11, 'Claude', 'known_fp'), ('de', 'Lean', 11, 'Lean 4', 'usage_context'))
+        SELECT doc_id, CASE WHEN term IS NOT NULL THEN 'meta:comments' END AS kind, term, "offset"::BIGINT AS "offset", matched, rule_class FROM documents LEFT JOIN p USING (lang)""",
+    "stripped_environments": """WITH t AS (SELECT doc_id, regexp_replace(text, '[%~\\\\{}]', ' ', 'g') AS t FROM documents),
+        c AS (SELECT doc_id, left(t, 200) || '||\\href{http://x.org/a%20b}{' || substr(t, 201) || '} 5\\% kept ' || chr(10) || '|e ' || left(t, 200) || '\\end{document}' AS c FROM t)
+        SELECT doc_id, length(c) AS chars, sha256(c) AS sha256 FROM c""",
     "source_and_language": "SELECT FALSE AS hit, count(*) AS documents FROM documents",
 }

@@ -32,6 +32,15 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """The rows of a scan over all cores, dealt by keys, where its files make too few tasks; where they make enough, as they are.
+
+    For work that costs much more than a shuffle of its input.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() < 2 * cores else scan
+
+
 def stored(spark: SparkSession, path: str):
     """(path, file system) of Hadoop for a folder or file."""
     path = spark._jvm.org.apache.hadoop.fs.Path(path)

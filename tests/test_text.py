@@ -1,6 +1,7 @@
 """Text expressions, lexicon, quotes and providers on short strings."""
 
 import itertools
+import random
 import re
 
 import pytest
@@ -160,3 +161,33 @@ def test_small_expressions(spark):
     assert one(spark, lambda c: X.protocol_hash(c, F.lit(1)), None, "a") == [one(spark, lambda c: F.sha2(F.lit("None|1"), 256), "x"), one(spark, lambda c: F.sha2(F.lit("a|1"), 256), "x")]
     assert one(spark, lambda c: X.decode_text(F.unhex(c)), "C3A9", "E9") == ["é", "é"]
     assert one(spark, lambda c: X.sniff_format(F.unhex(c)), "25504446", "1F8B08", "", "6162") == ["pdf", "gzip", "empty", "other"]
+
+
+def test_the_whole_lexicon_as_python_reads_it(spark):
+    """All terms in texts of their own case, with licences and false positives near and far: hits and classes as Python's re gives them."""
+    draw = random.Random(6)
+    samples = {"o-series": "o3-mini", "Bard": "Google Bard", "Llama": "Llama 3", "GLM": "GLM-4", "Perplexity": "Perplexity Pro", "AI-compound": "AI-assisted", "AI-bare": "AI", "GPT": "GPT-4o", "ERNIE": "Wenxin", "Tongyi": "Qianwen", "ChatGLM": "Zhipu", "Co-Scientist": "co-scientist", "proof assistant": "formally verified", "PARI/GP": "PARI/GP", "Macaulay2": "Macaulay 2", "large language model": "LLMs", "chatbot": "chat-bots", "Mathematica": "Wolfram Alpha"}
+    words = [samples.get(n, n) for n, *_ in L.TERMS]
+    around = ["we used", "the prompt", "is", "software", "Université", "a", "spectral", "type", "not use", "without help", "thanks to", "AI disclosure", "Bernard", "Heinlein wrote", "filler " * 45, "x"]
+    text = lambda k: " ".join([draw.choice(around), words[k % len(words)].upper() if draw.random() < 0.2 else words[k % len(words)], draw.choice(around), draw.choice(words), draw.choice(around)])
+    texts = [text(k) for k in range(3 * len(words))] + ["Université Claude Bernard", "the spectral GAP, by software", "Marie Claude and Claude Code", "in a magma. " + "filler " * 50 + "we used Magma software"]
+    flags = lambda any_case: re.IGNORECASE if any_case else 0
+    want = set()
+    for i, t in enumerate(texts):
+        for name, tier, marks, pattern in L.TERMS:
+            for m in re.finditer(pattern, t, flags("i" in marks)):
+                a, b = m.span()
+                near = t[max(0, a - L.LICENCE_RADIUS) : a] + " " + t[b : b + L.LICENCE_RADIUS]
+                if "a" in marks and not re.search(L.AI_CONTEXT, near, re.I) or "a" not in marks and "c" in marks and not re.search(L.CONTEXT, near, re.I):
+                    continue
+                low = max(0, a - L.CLASS_RADIUS)
+                local = t[low : b + L.CLASS_RADIUS]
+                false = any(f.start() + low <= b and f.end() + low >= a for mark, p in L.KNOWN_FALSE for f in re.finditer(p, local, flags(mark)))
+                said = lambda p: re.search(p, local, re.I)  # noqa: B023, E731
+                kind = "known_fp" if false else "negation_context" if said(L.NEGATION) else "disclosure_genre" if said(L.DISCLOSURE) else "plain"
+                if kind == "plain":
+                    kind = {(True, True): "ack_usage", (True, False): "ack_context", (False, True): "usage_context"}.get((bool(said(L.ACKNOWLEDGEMENT)), bool(said(L.USAGE))), kind)
+                want.add((i, name, tier, a, m.group(), kind))
+    got = {(r.i, r.term, r.tier, r.offset, r.matched, r.rule_class) for r in L.scan(spark.createDataFrame(list(enumerate(texts)), "i int, c string"), ["i"], "c", tex=False).collect()}
+    assert got == want
+    assert {n for _, n, *_ in want} == {n for n, *_ in L.TERMS} and len({k for *_, k in want}) == 7
