@@ -15,10 +15,14 @@ the same rows:
 
 * A radius that takes at most ``PROBES`` keys of a substring is probed by an
   equi-join: rows are listed by (substring, key), queries by the keys that they
-  probe. Work is in proportion to rows, queries and what they find.
-* A wider radius takes more keys than a join should list. Rows are dealt to
-  blocks, queries to others; a task holds one block of each, indexes its rows
-  and probes for its queries.
+  probe. Substrings have 16 or 32 bits, whichever is nearer to the logarithm of
+  the number of rows, so that keys of chance stay short; keys of clusters are
+  dealt to several tasks. Codes travel, vectors only for what is within reach.
+* A wider radius takes more keys than a join should list. Queries are then
+  broadcast in blocks of bounded size; each task indexes its rows, which stay
+  where they are, and probes for the block. What is shuffled is the k best of
+  each task. Work is in proportion to rows times queries, as it must be where
+  nothing tells neighbours from others.
 
 Queries that find fewer than k within the radius are searched again in full.
 Of equal vectors only the k + 1 smallest ids can be among anyone's k nearest,
@@ -36,13 +40,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from itertools import combinations
+from math import comb
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Workspace, read, shuffle_partitions
+from ..workspace import spread
+from .common import Workspace, join_dealt, read
 
 #: Vectors that a fit may use at most; share of neighbours that the radius takes in.
 SAMPLE, COVER = 10_000, 0.95
@@ -50,8 +56,8 @@ SAMPLE, COVER = 10_000, 0.95
 BITS, PARTS = 128, 8
 #: Keys that a query probes of a substring, at most, for the equi-join.
 PROBES = 200
-#: Rows and queries of a block at most.
-ROWS, QUERIES = 65_536, 4_096
+#: Rows that a task indexes together, queries of a block, and bytes of their vectors, at most.
+ROWS, QUERIES, QUERY_BYTES = 65_536, 16_384, 32 << 20
 
 _OUT = "query_id long, vec_id long, score double"
 
@@ -77,10 +83,10 @@ def distances(codes, code):
     return np.bitwise_count(codes ^ code).sum(axis=-1, dtype=np.int64)
 
 
-def reaches(radius: int) -> list[int]:
-    """How many bits of each substring a probe may turn; -1: none has to be probed."""
-    s, t = divmod(radius, PARTS)
-    return [s if p <= t else s - 1 for p in range(PARTS)]
+def reaches(radius: int, parts: int = PARTS) -> list[int]:
+    """How many bits of each of so many substrings a probe may turn; -1: none has to be probed."""
+    s, t = divmod(radius, parts)
+    return [s if p <= t else s - 1 for p in range(parts)]
 
 
 def unit_rows(x):
@@ -192,51 +198,80 @@ def _vectors(column):
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
-def _search(codes: Codes, k: int, full: bool):
-    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
+def _search(codes: Codes, k: int, full: bool, sent):
+    """The k best of each ``ROWS`` rows of a task for each query of a block; ``sent``: ids and vectors of these."""
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held, n = [], 0
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
+            if n + batch.num_rows > ROWS:
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
+            held.append(batch)
+            n += batch.num_rows
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        out: list[list] = [[], [], []]
-        if rows.num_rows and queries.num_rows:
-            x, q = (_vectors(t.column("v").combine_chunks()) for t in (rows, queries))
-            ids, q_ids = rows.column("id").to_numpy(), queries.column("id").to_numpy()
-            index, asked = None if full else SubstringIndex(codes(unit_rows(x))), codes(unit_rows(q))
-            masks = [_masks(16, r) for r in reaches(codes.radius)]
-            for i in range(len(q)):
-                found = np.arange(len(x)) if full else index.within(asked[i], codes.radius, masks)
-                found = found[ids[found] != q_ids[i]]
-                best, score = _scored(x[found], ids[found], q[i], q_ids[i], k)
-                out[0] += [int(q_ids[i])] * len(best)
-                out[1] += best
-                out[2] += score
-        return pa.table(out, schema=_FOUND)
+        q_ids, q = sent.value
+        asked, masks = codes(unit_rows(q)), [_masks(16, r) for r in reaches(codes.radius)]
+        for rows in gathered(batches):
+            x, ids = _vectors(rows.column("v").combine_chunks()), rows.column("id").to_numpy()
+            index = None if full else SubstringIndex(codes(unit_rows(x)))
+            for start in range(0, len(q), 1024):
+                out: list[list] = [[], [], []]
+                for i in range(start, min(start + 1024, len(q))):
+                    found = np.arange(len(x)) if full else index.within(asked[i], codes.radius, masks)
+                    found = found[ids[found] != q_ids[i]]
+                    best, score = _scored(x[found], ids[found], q[i], q_ids[i], k)
+                    out[0] += [int(q_ids[i])] * len(best)
+                    out[1] += best
+                    out[2] += score
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, _FOUND, strict=True)], schema=_FOUND)
 
     return run
 
 
-def _blocks(rows: DataFrame, queries: DataFrame, n_rows: int, n_queries: int, codes: Codes, k: int, full: bool) -> DataFrame:
-    """The k best of each block of rows for each query."""
-    parts = shuffle_partitions(rows.sparkSession)
-    r = max(1, -(-n_rows // ROWS), min(parts, -(-n_rows // (ROWS // 4))))
-    s = max(1, -(-n_queries // QUERIES), min(-(-min(parts, 8) // r), n_queries))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(r)).cast("int").alias("rb")).withColumn("qb", each(s))
-    asked = queries.select("id", "v", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(s)).cast("int").alias("qb")).withColumn("rb", each(r))
-    return dealt.groupBy("rb", "qb").cogroup(asked.groupBy("rb", "qb")).applyInArrow(_search(codes, k, full), _OUT)
+def _blocks(rows: DataFrame, queries: DataFrame, n_queries: int, dim: int, codes: Codes, k: int, full: bool, work: Workspace, name: str) -> DataFrame:
+    """What rows find for each query, block of queries by block: vectors of rows stay where they are, a block is broadcast."""
+    import numpy as np
+
+    spark, size = rows.sparkSession, max(1, min(QUERIES, QUERY_BYTES // (8 * dim)))
+    blocks, held = -(-n_queries // size), spread(rows.select("id", "v"), "id")
+    for b in range(blocks):
+        block = queries.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)) == b).select("id", "v").toArrow()
+        asked = _vectors(block["v"].combine_chunks()) if block.num_rows else np.zeros((0, dim))
+        sent = spark.sparkContext.broadcast((block["id"].to_numpy(), asked))
+        work.save(held.mapInArrow(_search(codes, k, full, sent), _OUT), f"{name}/block={b}")
+        sent.unpersist()
+    return spark.read.schema(_OUT).parquet(*[f"{work.path}/{name}/block={b}" for b in range(blocks)])
+
+
+def join_parts(radius: int, n_rows: int) -> int | None:
+    """Substrings of an equi-join: of two widths the one that is nearer to the binary logarithm of the number of rows, if a query probes few enough keys of it; None if of neither."""
+    fits = [p for p in (8, 4) if max(_n_masks(BITS // p, r) for r in reaches(radius, p)) <= PROBES]
+    return min(fits, key=lambda p: abs(BITS // p - max(1, n_rows).bit_length()), default=None)
+
 
+def _n_masks(bits: int, within: int) -> int:
+    return sum(comb(bits, n) for n in range(min(bits, within) + 1))
 
-def _listed(codes: Codes, probe: bool):
-    """(id, v) to (id, v, both halves of the code, keys): (part, substring) of a row's own substrings, or of those that a query probes."""
-    masks = [_masks(16, r if probe else 0) for r in reaches(codes.radius)]
+
+def _listed(codes: Codes, probe: bool, parts: int):
+    """(id, v) to (id, both halves of the code, keys): (part, substring) of a row's own substrings, or of those that a query probes."""
+    bits = BITS // parts
+    masks = [_masks(bits, r if probe else min(r, 0)) for r in reaches(codes.radius, parts)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for batch in batches:
             own = codes(unit_rows(_vectors(batch.column(1)))) if batch.num_rows else np.zeros((0, PARTS), np.uint16)
-            halves = own.view(np.int64)
-            keys = [np.concatenate([p << 16 | (int(c[p]) ^ masks[p]) for p in range(PARTS)]).tolist() for c in own]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(keys, pa.list_(pa.int64()))], ["id", "v", "c0", "c1", "keys"])
+            halves, subs = own.view(np.int64), own.view(np.uint16 if parts == PARTS else np.uint32)
+            keys = [np.concatenate([p << bits | (int(c[p]) ^ masks[p]) for p in range(parts)]).tolist() for c in subs]
+            yield pa.record_batch([batch.column(0), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(keys, pa.list_(pa.int64()))], ["id", "c0", "c1", "keys"])
 
     return run
 
@@ -252,15 +287,23 @@ def _rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(cosines(x, norm(x), q, norm(q)))], schema=_FOUND)
 
 
-def _joined(rows: DataFrame, queries: DataFrame, codes: Codes, work: Workspace) -> DataFrame:
-    """What each query finds by an equi-join on (part, substring); only what is within the radius meets its vectors."""
-    shape = "id long, v array<double>, c0 long, c1 long, keys array<long>"
-    held, asked = (work.save(df.mapInArrow(_listed(codes, probe), shape), name) for df, probe, name in ((rows, False, "row-codes"), (queries, True, "query-codes")))
+def _joined(rows: DataFrame, queries: DataFrame, codes: Codes, parts: int, work: Workspace) -> DataFrame:
+    """What each query finds by an equi-join on (part, substring): only codes travel, and vectors of what is within the radius.
+
+    A key of many rows, as clusters make it, is dealt to several tasks.
+    """
+    shape = "id long, c0 long, c1 long, keys array<long>"
+    held, asked = (work.save(df.select("id", "v").mapInArrow(_listed(codes, probe, parts), shape), name) for df, probe, name in ((rows, False, "row-codes"), (queries, True, "query-codes")))
     by_key = lambda df, name: df.select(F.col("id").alias(name), F.explode("keys").alias("key"), F.col("c0").alias(f"{name}_0"), F.col("c1").alias(f"{name}_1"))
     apart = sum((F.bit_count(F.col(f"vec_id_{h}").bitwiseXOR(F.col(f"query_id_{h}"))) for h in (0, 1)), F.lit(0))
-    met = by_key(held, "vec_id").join(by_key(asked, "query_id"), "key").where((F.col("vec_id") != F.col("query_id")) & (apart <= codes.radius))
-    met = met.select("query_id", "vec_id").distinct()
-    pairs = met.join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id").join(held.select(F.col("id").alias("vec_id"), "v"), "vec_id")
+    probes = by_key(asked, "query_id")
+    # Rows whose keys nobody asks for do not take part.
+    own = work.save(by_key(held, "vec_id").join(probes.select("key").distinct(), "key", "left_semi"), "row-keys")
+    met = join_dealt(own, probes, "key", F.col("vec_id")).where((F.col("vec_id") != F.col("query_id")) & (apart <= codes.radius))
+    met = work.save(met.select("query_id", "vec_id").distinct(), "met")
+    # A query may find any share of the rows, and so may a row be found: vectors come by dealt joins, too.
+    of = lambda df, name, v: df.select(F.col("id").alias(name), F.col("v").alias(v))
+    pairs = join_dealt(join_dealt(met, of(queries, "query_id", "q"), "query_id", F.col("vec_id")), of(rows, "vec_id", "v"), "vec_id", F.col("query_id"), met)
     return pairs.select("query_id", "q", "vec_id", "v").mapInArrow(_rerank, _OUT)
 
 
@@ -291,17 +334,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
         sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).limit(SAMPLE)
         sample = sorted(sample.collect())
         codes = fit(np.array([r["v"] for r in sample], float).reshape(len(sample), dim), k)
-    if max(len(_masks(16, r)) for r in reaches(codes.radius)) <= PROBES:
-        found = work.save(_joined(rows, asked, codes, work), "found")
+    if (parts := join_parts(codes.radius, n_rows)) is not None:
+        found = work.save(_joined(rows, asked, codes, parts, work), "found")
     else:
-        found = work.save(_blocks(rows, asked, n_rows, n_queries, codes, k, False), "found")
+        found = _blocks(rows, asked, n_queries, dim, codes, k, False, work, "found") if n_queries else asked.selectExpr("id AS query_id", "id AS vec_id", "0D AS score")
     # A vec_id that several rows have counts once.
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     short = asked.join(found.groupBy("query_id").count().where(F.col("count") >= k), F.col("id") == F.col("query_id"), "left_anti")
     short = work.save(short, "short")
     n_short = short.count()
     if n_short and n_rows > 1:
-        again = _blocks(rows, short, n_rows, n_short, codes, k, True).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        again = _blocks(rows, short, n_short, dim, codes, k, True, work, "again").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(again)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..workspace import Workspace, shared_dir, shuffle_partitions
 
-__all__ = ["ASCII_SPACE", "Workspace", "identified", "join_groups", "read", "shared_dir", "shuffle_partitions", "text_split"]
+__all__ = ["ASCII_SPACE", "Workspace", "identified", "join_dealt", "join_groups", "read", "shared_dir", "shuffle_partitions", "text_split"]
 
 #: ASCII white space, the class ``[\x20\x09-\x0D]``.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
@@ -62,3 +62,22 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, values:
     dealt = dealt.withColumn("_group_deal", F.when(F.col(key).isNull(), F.xxhash64(salt)).otherwise(own))
     found = dealt.join(held, (F.col(key) == F.col("_group_key")) & (F.col("_group_deal") == F.col("_group_copy")), "left")
     return found.select(*rows.columns, *[F.col(f"_group_values.{v}").alias(v) for v in values])
+
+
+def join_dealt(many: DataFrame, few: DataFrame, key: str, salt: Column, counted: DataFrame | None = None, hot_keys: int = 1000, least: int = 1000) -> DataFrame:
+    """Equi-join of ``many`` with ``few`` on a key of which ``many`` may hold any share in one value.
+
+    A key of over 1/``hot_keys`` of the rows of ``many``, and over ``least``, is
+    dealt to several tasks by ``salt``, and its rows of ``few`` are copied to
+    each; only such keys, fewer than ``hot_keys``, are broadcast. ``counted``:
+    a written table with the same keys as ``many``, to count them by.
+    """
+    counts = (many if counted is None else counted).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total, largest = counts.agg(F.sum("_n"), F.max("_n")).first()
+    share = max(least, (total or 0) / hot_keys)
+    if (largest or 0) <= share:
+        return many.join(few, key)
+    hot = counts.where(F.col("_n") > share).select(key, F.ceil(F.col("_n") / F.lit(share)).cast("int").alias("_deals"))
+    dealt = many.join(F.broadcast(hot), key, "left").withColumn("_deal", F.pmod(F.xxhash64(salt), F.coalesce("_deals", F.lit(1))).cast("int")).drop("_deals")
+    copies = few.join(F.broadcast(hot), key, "left").withColumn("_deal", F.explode(F.sequence(F.lit(0), F.coalesce("_deals", F.lit(1)) - 1))).drop("_deals")
+    return dealt.join(copies, [key, "_deal"]).drop("_deal")
