@@ -470,6 +470,49 @@ def test_both_ways_to_probe_find_the_same(spark, monkeypatch):
     assert {(q, v) for q, _, v, _ in told[0]} == {(q, v) for q, vs in want.items() for v in vs}
 
 
+def test_both_widths_of_substrings_find_every_code_within_the_radius(spark, monkeypatch):
+    """A cluster of most rows, whose keys are dealt out, and rows of no cluster; against all distances of codes."""
+    from metrascope.llm import common
+    from metrascope.llm.common import Workspace
+
+    assert [ann.join_parts(r, n) for r, n in ((7, 1000), (7, 1 << 30), (20, 1 << 30), (60, 1 << 30))] == [8, 4, 8, None]
+    draw = np.random.default_rng(15)
+    x = np.concatenate([draw.standard_normal(32) + 0.05 * draw.standard_normal((700, 32)), draw.standard_normal((100, 32))])
+    codes = ann.fit(x)
+    codes.radius = 6
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    asked = [0, 5, 699, 701, 702]
+    coded = codes(ann.unit_rows(x))
+    want = {(q, int(v)) for q in asked for v in np.flatnonzero(ann.distances(coded, coded[q]) <= 6) if v != q}
+    for parts, least in ((8, 20), (4, 20), (4, 10**6)):
+        monkeypatch.setattr(ann, "join_dealt", lambda *a, least=least, **b: common.join_dealt(*a, **b, least=least))
+        got = [(r.query_id, r.vec_id) for r in ann._joined(df, df.where(F.col("id").isin(asked)), codes, parts, Workspace(spark, "widths")).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert len(want) > 100
+
+
+def test_a_dealt_join_is_a_join(spark):
+    many = spark.range(1000).select("id", F.when(F.col("id") < 700, 1).when(F.col("id") < 990, F.col("id")).alias("k"))
+    few = spark.createDataFrame([(1, "a"), (1, "b"), (800, "c"), (5, "never")], "k int, v string")
+    from metrascope.llm.common import join_dealt
+
+    for least in (10, 10**6):
+        got = join_dealt(many, few, "k", F.col("id"), hot_keys=10, least=least)
+        assert sorted((r.id, r.v) for r in got.collect()) == sorted([(i, v) for i in range(700) for v in "ab"] + [(800, "c")])
+
+
+def test_blocks_of_queries(spark, monkeypatch):
+    """Few queries a block and few rows an index give what one of each gives."""
+    draw = np.random.default_rng(16)
+    x = draw.standard_normal((400, 24))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    whole = sorted(tuple(r) for r in ann.search(df, df.where("vec_id % 10 = 0")).collect())
+    monkeypatch.setattr(ann, "QUERY_BYTES", 24 * 8 * 7)
+    monkeypatch.setattr(ann, "ROWS", 50)
+    assert sorted(tuple(r) for r in ann.search(df, df.where("vec_id % 10 = 0")).collect()) == whole and len(whole) == 200
+    assert ann.search(df, df.where("false")).count() == 0
+
+
 def test_a_vector_that_most_rows_have(spark):
     """Ties go to the smallest ids, and rows that repeat an id count once."""
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(60)] + [(7, [1.0, 2.0, 3.0])] * 5 + [(100 + i, [float(i), 1.0, 0.5]) for i in range(20)]
