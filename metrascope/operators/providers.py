@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Tools that are no language models, providers in the order of their rules, agentic tools; in any case.
@@ -51,6 +51,33 @@ def is_agentic(tool: Column) -> Column:
     return F.coalesce(tool.rlike(f"(?i){AGENTIC}"), F.lit(False))
 
 
+def grounded_tools(labels: DataFrame, snippets: DataFrame, key: str = "arxiv_id") -> DataFrame:
+    """(key, tool): the distinct tools of each paper's label (key, tools) whose name occurs, in any case, in a snippet (key, snippet) of the paper.
+
+    Names and snippets meet by paper; empty names count for nothing.
+    """
+    named = labels.select(key, F.explode("tools").alias("tool")).where(F.trim("tool") != "").distinct()
+    return named.join(snippets.select(key, "snippet"), key).where(tool_is_grounded(F.col("tool"), F.col("snippet"))).select(key, "tool").distinct()
+
+
+def provider_papers(tools: DataFrame, key: str = "arxiv_id") -> DataFrame:
+    """(measure, name, papers) of grounded tools (key, tool), each paper counted once for each: ``named``, ``llm`` (one tool at least is a language model) and ``agentic`` totals, papers by ``provider`` and by ``tool``.
+
+    Proof assistants and computer algebra alone make a paper ``other``: named,
+    but none of the providers'. Only distinct papers are shuffled.
+    """
+    told = tools.withColumns({"_provider": provider_of(F.col("tool")), "_agentic": is_agentic(F.col("tool")) & ~F.col("tool").rlike(f"(?i){NOT_LANGUAGE_MODELS}")})
+    model = F.col("_provider").isNotNull()
+    papers = told.groupBy(key).agg(F.bool_or(model).alias("_llm"), F.bool_or("_agentic").alias("_agentic"), F.collect_set("_provider").alias("_providers"))
+    one = lambda measure, name: F.struct(F.lit(measure).alias("measure"), name.alias("name"))
+    total = lambda measure, when: F.when(when, one(measure, F.lit(None).cast("string")))
+    cells = F.array_compact(F.array(total("named", F.lit(True)), total("llm", F.col("_llm")), total("agentic", F.col("_agentic")), total("other", ~F.col("_llm"))))
+    cells = F.concat(cells, F.transform("_providers", lambda p: one("provider", p)))
+    counted = papers.select(F.inline(cells)).groupBy("measure", "name").agg(F.count(F.lit(1)).alias("papers"))
+    by_tool = told.groupBy("tool").agg(F.count_distinct(key).alias("papers")).select(F.lit("tool").alias("measure"), F.col("tool").alias("name"), "papers")
+    return counted.unionByName(by_tool)
+
+
 def tool_is_grounded(tool: Column, snippets: Column) -> Column:
     """Whether a tool's name occurs in the joined snippets of its paper."""
     return F.contains(F.lower(snippets), F.lower(tool))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -135,13 +135,12 @@ def compare_runs(one: DataFrame, two: DataFrame, key: str, positive: str) -> Dat
     return met.agg(F.count(F.lit(1)).alias("common"), F.count_if("_a").alias("positive_one"), F.count_if("_b").alias("positive_two"), F.count_if(F.col("_a") & F.col("_b")).alias("both"), F.count_if(F.col("_a") & ~F.col("_b")).alias("only_one"), F.count_if(~F.col("_a") & F.col("_b")).alias("only_two"))
 
 
-def membership_hash(rows: DataFrame, key: Column, version: Column) -> DataFrame:
-    """(n, sha256) of the sorted ``key:version`` lines; an unknown version is written as None.
+def lines_hash(rows: DataFrame, line: Column) -> DataFrame:
+    """(n, sha256) of the sorted lines.
 
     All tasks sort their ranges of lines and join them to blocks; one task then
     digests the blocks in order, as a hash has to, and holds a batch of them.
     """
-    line = F.concat_ws(":", key.cast("string"), F.coalesce(version.cast("string"), F.lit("None")))
     schema = "part int, place int, n long, lines binary"
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +160,27 @@ def membership_hash(rows: DataFrame, key: Column, version: Column) -> DataFrame:
                 # The last line's end is held back: nothing follows the last line of all.
                 state.update(held + lines.as_py()[:-1])
                 n, held = n + count, b"\n"
-        yield pa.record_batch([pa.array([n], pa.int64()), pa.array([state.hexdigest()])], ["n", "membership_sha256"])
+        yield pa.record_batch([pa.array([n], pa.int64()), pa.array([state.hexdigest()])], ["n", "sha256"])
+
+    told = rows.select(line.alias("line")).orderBy("line").mapInArrow(blocks, schema).repartition(1).sortWithinPartitions("part", "place").mapInArrow(digest, "n long, sha256 string")
+    return told.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.coalesce(F.max("sha256"), F.sha2(F.lit("").cast("binary"), 256)).alias("sha256"))
+
+
+def membership_hash(rows: DataFrame, key: Column, version: Column) -> DataFrame:
+    """(n, membership_sha256) of the sorted ``key:version`` lines; an unknown version is written as None."""
+    line = F.concat_ws(":", key.cast("string"), F.coalesce(version.cast("string"), F.lit("None")))
+    return lines_hash(rows, line).withColumnRenamed("sha256", "membership_sha256")
+
+
+def selection_record(jobs: DataFrame, key: str = "arxiv_id", fields: Sequence[str] = ("version", "basis", "kind", "path"), basis: str = "basis") -> DataFrame:
+    """(n, basis_counts, selection_sha256): what a scan selected and why, as a hash of its sorted lines of all fields, and the papers by basis; unknown fields are written as None."""
+    line = F.concat_ws(":", F.col(key).cast("string"), *[F.coalesce(F.col(f).cast("string"), F.lit("None")) for f in fields])
+    counts = jobs.groupBy(F.coalesce(F.col(basis).cast("string"), F.lit("None")).alias("b")).agg(F.count_distinct(key).alias("n"))
+    counts = counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("b", "n")))).alias("basis_counts"))  # a row for each basis
+    both = lines_hash(jobs, line).unionByName(counts, allowMissingColumns=True)
+    return both.agg(F.max("n").alias("n"), F.first("basis_counts", ignorenulls=True).alias("basis_counts"), F.max("sha256").alias("selection_sha256"))
+
 
-    told = rows.select(line.alias("line")).orderBy("line").mapInArrow(blocks, schema).repartition(1).sortWithinPartitions("part", "place").mapInArrow(digest, "n long, membership_sha256 string")
-    return told.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.coalesce(F.max("membership_sha256"), F.sha2(F.lit("").cast("binary"), 256)).alias("membership_sha256"))
+def scope_hash(ids: DataFrame, key: str = "arxiv_id") -> DataFrame:
+    """(n, sha256) of a list of ids: the digest of its distinct lines in order."""
+    return lines_hash(ids.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("line")).distinct(), F.col("line"))

@@ -9,6 +9,8 @@ from ..operators import agreement as A
 from ..operators import comparison as C
 from ..operators import context as X
 from ..operators import labelling as B
+from ..operators import providers as V
+from ..operators import selection as S
 from ..sources import pages as G
 from ..sources.tables import papers_of, record_struct
 from ..streaming import campaigns as L
@@ -120,10 +122,31 @@ def reviewer_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.packets(orders, plants, excerpts, 7, 25).withColumnRenamed("arxiv_id", "doc_id")
 
 
+#: Tools that labels may name.
+TOOLS = ("ChatGPT", "GPT-4o", "Claude Code", "Gemini", "Lean", "Copilot", "Sage", "own model", "")
+
+
+def providers_by_paper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as papers: a tool for each part that they order, grounded where an item's comment (its mode, date and quantity) or the part's name bears it out."""
+    tool = F.element_at(F.array(*[F.lit(x) for x in TOOLS]), (F.col("l_partkey") % len(TOOLS) + 1).cast("int"))
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("arxiv_id"), tool.alias("tool"), "l_returnflag", "l_linenumber")
+    labels = items.groupBy("arxiv_id").agg(F.collect_set("tool").alias("tools"))
+    snippets = items.where("l_returnflag <> 'N'").select("arxiv_id", F.concat(F.lit("We asked "), F.upper("tool"), F.lit(" in line "), F.col("l_linenumber").cast("string")).alias("snippet"))
+    return V.provider_papers(V.grounded_tools(labels, snippets))
+
+
+def selection_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as selected artifacts: their hash, those by ship status, and the hash of the orders in scope."""
+    jobs = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("arxiv_id"), F.when(F.col("l_linenumber") != 3, F.col("l_linenumber")).alias("version"), F.col("l_linestatus").alias("basis"), F.col("l_returnflag").alias("kind"), F.col("l_partkey").alias("path"))
+    told, scope = S.selection_record(jobs), S.scope_hash(jobs)
+    one = told.select("n", F.to_json("basis_counts").alias("basis_counts"), F.col("selection_sha256").alias("sha256"))
+    return one.unionByName(scope.withColumn("basis_counts", F.lit(None).cast("string")))
+
+
 #: What stands for a heading in the driver's texts: the first word of a line, if that begins with a capital.
 LINE = r"\n[A-Z][a-z]+"
 
-QUERIES = {f.__name__: f for f in (run_cube, run_disagreements, harvested_pages, stream_upserts, labelled_batches, label_requests, campaign_outcomes, hit_sections, hit_context_classes, reviewer_packets)}
+QUERIES = {f.__name__: f for f in (run_cube, run_disagreements, harvested_pages, stream_upserts, labelled_batches, label_requests, campaign_outcomes, hit_sections, hit_context_classes, reviewer_packets, providers_by_paper, selection_records)}
 # A prompt's length: header and end, then of each snippet its mark, number, text and line ends.
 _BATCHES_SQL = f"""WITH RECURSIVE d AS (SELECT lang, doc_id, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS k FROM documents),
     p AS (SELECT lang, k // 30 AS batch, k % 30 AS place, doc_id, text, sum(length(coalesce(text, '')) + {len(B.MARK) + 4}) OVER (PARTITION BY lang, k // 30 ORDER BY k) AS upto FROM d),
@@ -152,6 +175,16 @@ ORACLE_SQL = {
                         WHEN e.kind = 'settled' AND s.open[e.i] IS NULL THEN 'not open' WHEN e.kind = 'closed' AND list_count(s.open) > 0 THEN 'open reservations' END AS reason
                   FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1))
         SELECT user_id::VARCHAR AS campaign, seq, kind, reason IS NULL AS taken, reason, status, round(used, 6) AS used, list_count(open)::INTEGER AS open FROM s WHERE k > 0""",
+    "providers_by_paper": """WITH t(i, tool, provider, agentic) AS (VALUES (0, 'ChatGPT', 'OpenAI', FALSE), (1, 'GPT-4o', 'OpenAI', FALSE), (2, 'Claude Code', 'Anthropic', TRUE), (3, 'Gemini', 'Google', FALSE), (4, 'Lean', NULL, FALSE), (5, 'Copilot', 'Microsoft', TRUE), (6, 'Sage', NULL, FALSE), (7, 'own model', 'Other/unclear', FALSE)),
+        g AS (SELECT DISTINCT l_orderkey AS k, tool, provider, agentic FROM lineitem JOIN t ON i = l_partkey % 9 WHERE l_returnflag <> 'N'),
+        p AS (SELECT k, bool_or(provider IS NOT NULL) AS llm, bool_or(agentic) AS agentic FROM g GROUP BY 1),
+        c AS (SELECT 'named' AS measure, NULL AS name, count(*) AS papers FROM p UNION ALL SELECT 'llm', NULL, count(*) FILTER (llm) FROM p UNION ALL SELECT 'agentic', NULL, count(*) FILTER (agentic) FROM p UNION ALL SELECT 'other', NULL, count(*) FILTER (NOT llm) FROM p
+            UNION ALL SELECT 'provider', provider, count(DISTINCT k) FROM g WHERE provider IS NOT NULL GROUP BY 2 UNION ALL SELECT 'tool', tool, count(DISTINCT k) FROM g GROUP BY 2)
+        SELECT * FROM c WHERE papers > 0""",
+    "selection_records": """WITH l AS (SELECT l_orderkey || ':' || CASE WHEN l_linenumber = 3 THEN 'None' ELSE l_linenumber::VARCHAR END || ':' || l_linestatus || ':' || l_returnflag || ':' || l_partkey AS line FROM lineitem),
+        b AS (SELECT l_linestatus AS b, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1)
+        SELECT count(*) AS n, (SELECT '{' || string_agg('"' || b || '":' || n, ',' ORDER BY b) || '}' FROM b) AS basis_counts, sha256(string_agg(line, chr(10) ORDER BY line)) AS sha256 FROM l
+        UNION ALL SELECT count(*), NULL, sha256(string_agg(k, chr(10) ORDER BY k)) FROM (SELECT DISTINCT l_orderkey::VARCHAR AS k FROM lineitem)""",
     "hit_sections": _SECTIONS_SQL + """SELECT doc_id, term, tier, "offset", CASE WHEN d <= 2500 THEN section END AS section, CASE WHEN d <= 2500 THEN d END AS section_distance FROM m""",
     "hit_context_classes": _SECTIONS_SQL + f""", l AS (SELECT term, section, d, substr(text, CAST(greatest(0, "offset" - 700) + 1 AS BIGINT), CAST("offset" + 700 - greatest(0, "offset" - 700) AS BIGINT)) AS t FROM m)
         SELECT term, CASE WHEN regexp_matches(t, '{X.DENIAL}') AND (regexp_matches(t, '{X.USE}') OR regexp_matches(t, '{X.DISCLOSURE}')) THEN 'negative_ai_use_statement'

@@ -102,6 +102,13 @@ def write_report(cells: DataFrame, path: str) -> None:
     told.orderBy("section").coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_series(rates: DataFrame, keys: Sequence[str], order: str, path: str) -> None:
+    """Series as JSON: a line for each value of ``keys``, with the points of its series in order as an array of objects."""
+    rest = [c for c in rates.columns if c not in keys]
+    points = F.array_sort(F.collect_list(F.struct(order, *[c for c in rest if c != order]))).alias("points")
+    rates.groupBy(*keys).agg(points).orderBy(*keys).coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def append_lines(rows: DataFrame, path: str) -> None:
     """Rows as JSON lines beside those that are there; none is ever rewritten."""
     rows.write.mode("append").json(path)

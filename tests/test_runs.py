@@ -162,3 +162,22 @@ def test_pages_of_another_harvest_are_refused(tmp_path):
     for start in ({"page": 1, "token": "t9"}, {"page": 2, "token": "t1"}):
         with pytest.raises(ValueError, match="not the archive"):
             reader.partitions(start, {"page": 3, "token": "t3"})
+
+
+def test_papers_by_provider(spark):
+    """A paper counts once for a provider; a name without a snippet, an empty name and a mere proof assistant do not make a model."""
+    from metrascope.operators import providers as V
+
+    labels = spark.createDataFrame([("a", ["ChatGPT", "GPT-4", "Lean"]), ("b", ["Claude Code", ""]), ("c", ["Lean"]), ("d", ["Gemini"]), ("e", []), ("f", None), ("b", ["Claude Code"])], "arxiv_id string, tools array<string>")
+    snippets = spark.createDataFrame([("a", "used chatgpt and gpt-4"), ("a", "in LEAN"), ("b", "CLAUDE CODE wrote"), ("c", "lean"), ("d", None), ("z", "Gemini")], "arxiv_id string, snippet string")
+    got = {(r.measure, r.name): r.papers for r in V.provider_papers(V.grounded_tools(labels, snippets)).collect()}
+    assert got == {("named", None): 3, ("llm", None): 2, ("agentic", None): 1, ("other", None): 1, ("provider", "OpenAI"): 1, ("provider", "Anthropic"): 1, ("tool", "ChatGPT"): 1, ("tool", "GPT-4"): 1, ("tool", "Lean"): 2, ("tool", "Claude Code"): 1}
+
+
+def test_series_are_written_in_order(spark, tmp_path):
+    import json
+
+    rates = spark.createDataFrame([("all", "2024-02", 0.5), ("all", "2024-01", None), ("x", "2024-01", 1.0)], "scope string, month string, rate double")
+    K.write_series(rates, ["scope"], "month", str(tmp_path / "s"))
+    lines = [json.loads(x) for f in (tmp_path / "s").glob("part-*") for x in f.read_text().splitlines()]
+    assert lines == [{"scope": "all", "points": [{"month": "2024-01", "rate": None}, {"month": "2024-02", "rate": 0.5}]}, {"scope": "x", "points": [{"month": "2024-01", "rate": 1.0}]}]
