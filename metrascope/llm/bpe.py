@@ -7,8 +7,9 @@ identity. Texts are split into pre-tokens, which are encoded one by one; the
 inverse mapping of pieces decodes ids.
 
 Defined results: null text counts as empty, and has no ids; repeated rows and
-null ids are rows like others; extra columns are ignored; an empty table gives
-an empty result.
+null ids are rows like others; very long texts are encoded in full, pre-token
+by pre-token; of merges of one rank the leftmost comes first; extra columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -68,10 +68,11 @@ def score_documents(docs: DataFrame, model, id_col: str = "doc_id", text_col: st
 
 def keep_documents(docs: DataFrame, model, keep, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all columns, whose scores ``keep`` accepts (array of scores to array of booleans)."""
-    place = docs.columns.index(text_col)
+    names, place = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(keep(model.score(batch.column(place))["score"])))
+            yield batch.filter(pa.array(keep(model.score(batch.column(place))["score"]))).rename_columns(names)
 
-    return docs.mapInArrow(run, docs.schema)
+    # Plain names on the way, as those of columns may hold any characters.
+    return docs.toDF(*[f"c{k}" for k in range(len(names))]).mapInArrow(run, docs.schema)

@@ -12,8 +12,10 @@ pass and without a shuffle.
 
 Defined results: null text counts as empty, and empty texts are scored like
 others; repeated rows are scored alike; without labels of both kinds all scores
-are the share of label 1 (0.5 without any); extra columns are ignored; an empty
-table gives an empty result.
+are the share of label 1 (0.5 without any); very long texts count in full, each
+by itself; a score of exactly 0.5 is good, and rows of equal scores at the
+threshold stay together; extra columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -152,7 +154,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_co
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with a score of at least 0.5."""
+    """The rows of ``docs``, repeated ones too, with a score of at least 0.5 and all their columns, whatever their names; nulls and empty texts are scored like others."""
     return keep_documents(docs, fit_on(docs, labels), lambda score: score >= 0.5)
 
 

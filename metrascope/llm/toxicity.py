@@ -345,7 +345,7 @@ def locate_sentences(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_i
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with a score below 0.5."""
+    """The rows of ``docs``, repeated ones too, with a score below 0.5 and all their columns, whatever their names; nulls and empty texts are scored like others."""
     return keep_documents(docs, fit_on(docs, labels), lambda score: score < 0.5)
 
 

@@ -10,9 +10,11 @@ longer one meets them in a shuffle, in which a rule that a third of all urls
 fit (a whole top-level domain, say) is dealt to several tasks.
 
 Defined results: a null url, or one without ``://``, has an empty host and
-path and fits no rule; rows with equal ids are judged one by one; extra columns
-are ignored; an empty table gives an empty result. Where an allow and a block
-rule have the same host and path, the block wins.
+path and fits no rule; rows with equal ids are judged one by one; of a very long url
+all host suffixes, and path prefixes of the lengths that rules have, are
+expressions; extra columns are ignored; an empty table gives an empty result.
+Ties: the longest rule decides, by host and then by path; where an allow and a
+block rule have the same host and path, the block wins.
 """
 
 from __future__ import annotations

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from metrascope.llm import ann, queries
@@ -108,3 +109,24 @@ def test_stages_take_odd_tables(spark, sf, tmp_path):
                 rows = spark.read.parquet(str(tmp_path / f"docs{k}-{j}"))
             else:
                 assert out.where("piece = 0").count() == rows.count()
+
+
+def test_stages_take_dotted_names_and_long_texts(spark, sf, tmp_path):
+    """Columns with dots, quotes and blanks in their names keep their values through every stage; so does a text of a million characters."""
+    long = " ".join(f"w{i % 977}x{i % 13}" for i in range(140_000))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("n_chars < 3000").limit(25)
+    odd = docs.withColumns({"a.b": F.col("doc_id") + 1, "c`d e": F.col("lang"), "doc": F.lit("x"), "label": F.lit(3)})
+    odd = odd.withColumn("text", F.when(F.col("doc_id") == F.lit(docs.first().doc_id), F.lit(long)).otherwise(F.col("text")))
+    odd.coalesce(1).write.parquet(str(tmp_path / "docs"))
+    rows = spark.read.parquet(str(tmp_path / "docs"))
+    ids = {r.doc_id for r in rows.collect()}
+    for j, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, rows, sf)
+        if j < 4:
+            assert out.columns == odd.columns
+            out.write.parquet(str(tmp_path / f"docs{j}"))
+            rows = spark.read.parquet(str(tmp_path / f"docs{j}"))
+            told = rows.collect()
+            assert told and {r["doc_id"] for r in told} <= ids and all(r["a.b"] == r["doc_id"] + 1 and r["c`d e"] == r["lang"] for r in told)
+        else:
+            assert out.where("piece = 0").count() == len(told)
