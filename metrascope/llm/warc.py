@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, join_groups, shuffle_partitions
 
-#: Bytes of a block that a record holds at most; of a chunk; of an archive file.
+#: Bytes of a block that a record holds at most; of a chunk; of an archive file before it is gzipped.
 SEGMENT_BYTES, CHUNK_BYTES, FILE_BYTES = 16 << 10, 4 << 10, 16 << 20
 #: WARC-Date of written records, so that archives are the same in every run.
 DATE = "2024-01-01T00:00:00Z"
