@@ -7,7 +7,10 @@ their Jaccard similarity is at least ``PERCENT`` / 100. The join loses no link:
 2. Two linked sets share a shingle among the first n - ceil(0.8 n) + 1 of each
    in any one order of all shingles; nodes meet in a bucket per such shingle.
    The order is that of hashes, with up to ``COMMON`` frequent shingles last, so
-   that passages which many documents share open hardly any bucket.
+   that passages which many documents share open hardly any bucket. Shingles
+   that nevertheless fill a bucket of over ``HOT`` nodes go behind all rarer
+   ones, too: they are counted by shuffle and kept as a table, any number of
+   them, and only the sets that meet them get another prefix (``_behind``).
 3. In each bucket, the first node is compared with all others. What passes the
    exact comparison makes components: large groups of near copies are connected
    by as many comparisons as they have members.
@@ -47,6 +50,8 @@ from .common import Workspace, identified, join_groups, shuffle_partitions
 WORDS, PERCENT = 5, 80
 #: Frequent shingles that the order puts last, at most; documents of a task that make one a candidate.
 COMMON, LOCAL = 1 << 16, 4
+#: Nodes of a bucket beyond which its shingle goes behind rarer ones.
+HOT = 8192
 #: Nodes of a bucket that one task holds; buckets that a node is marked with, so that pairs are found once.
 BUCKET, MARKS = 2048, 16
 #: Bits of a bitmap at most, so that a piece of a bucket has a bounded size whatever its texts.
@@ -185,7 +190,7 @@ def _describe(id_type: pa.DataType):
 
 
 def _prefixes(common, clashes: frozenset[int]):
-    """(node, n, bits, prefix, frequent part of the prefix) of each set that is new to its task."""
+    """(node, n, bits, prefix, frequent part of the prefix) of each set that is new to its task, from (text) or (text, its shingles of large buckets)."""
     import numpy as np
 
     common = np.sort(np.array(common, np.int64).view(np.uint64))
@@ -194,7 +199,8 @@ def _prefixes(common, clashes: frozenset[int]):
         met: set[int] = set()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for s in shingle_sets(batch.column(0)):
+            behind = batch.column(1) if batch.num_columns > 1 else [None] * batch.num_rows
+            for s, often in zip(shingle_sets(batch.column(0)), behind, strict=True):
                 node = node_of(s, clashes)
                 if not len(s) or node in met:
                     continue
@@ -203,8 +209,12 @@ def _prefixes(common, clashes: frozenset[int]):
                 last = np.zeros(len(s), bool)
                 if len(common):
                     last = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
+                later = s[last]
+                if often is not None:  # rare, then those of large buckets, then the most frequent
+                    large = np.isin(s, often.values.to_numpy().view(np.uint64)) & ~last
+                    last, later = last | large, np.concatenate([s[large], later])
                 rare = s[~last][:p]
-                for column, value in zip(out, (node, len(s), bitmap(s).tobytes(), rare.tobytes(), s[last][: p - len(rare)].tobytes()), strict=True):
+                for column, value in zip(out, (node, len(s), bitmap(s).tobytes(), rare.tobytes(), later[: p - len(rare)].tobytes()), strict=True):
                     column.append(value)
             if len(met) > 1_000_000:
                 met.clear()
@@ -225,14 +235,48 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(np.frombuffer(b"".join(blobs), np.int64)), pa.array(nodes)], ["key", "node"])
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node) in order to (bucket, pivot, node) of keys with several nodes.
+def _all_shingles(common):
+    """(node, text) to (key, node) of all shingles but the most frequent."""
+    import numpy as np
+
+    common = np.sort(np.array(common, np.int64).view(np.uint64))
+
+    def told(sets: list, nodes: list) -> pa.RecordBatch:
+        keys = np.concatenate(sets)
+        rare = ~np.isin(keys, common)
+        return pa.record_batch([pa.array(keys[rare].view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), [len(s) for s in sets])[rare])], ["key", "node"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, nodes, size = [], [], 0
+        for batch in batches:
+            for node, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
+                sets.append(s)
+                nodes.append(node)
+                size += len(s)
+                if size > 500_000:
+                    yield told(sets, nodes)
+                    sets, nodes, size = [], [], 0
+        if sets:
+            yield told(sets, nodes)
+
+    return run
+
+
+def _buckets(limit: int | None):
+    """(key, node) in order to (bucket, pivot, node) of keys with several nodes; to (null, key, node) of those with over ``limit``.
 
     A bucket's name comes from its nodes, so that shingles of the same nodes
     give one bucket; names that meet by chance only make a bucket larger.
     """
+    return lambda batches: _named(batches, limit)
+
+
+def _named(batches: Iterator[pa.RecordBatch], limit: int | None) -> Iterator[pa.RecordBatch]:
     import numpy as np
 
+    def large(key, nodes):
+        return pa.record_batch([pa.nulls(len(nodes), pa.int64()), pa.array(np.full(len(nodes), key, np.int64)), pa.array(nodes)], ["bucket", "pivot", "node"])
+
     def told(keys, nodes):
         new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])])
         keys, nodes = keys[new], nodes[new]
@@ -241,10 +285,14 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             names = np.add.reduceat(_mix(nodes.view(np.uint64)), starts) + sizes.astype(np.uint64)
         several = sizes > 1
+        if limit is not None:
+            for k in np.flatnonzero(sizes > limit).tolist():
+                yield large(keys[starts[k]], nodes[starts[k] : starts[k] + sizes[k]])
+            several &= sizes <= limit
         _, first = np.unique(names[several], return_index=True)
         starts, sizes, names = starts[several][first], sizes[several][first], names[several][first]
         places = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-        return pa.record_batch([pa.array(np.repeat(names.view(np.int64), sizes)), pa.array(np.repeat(nodes[starts], sizes)), pa.array(nodes[places])], ["bucket", "pivot", "node"])
+        yield pa.record_batch([pa.array(np.repeat(names.view(np.int64), sizes)), pa.array(np.repeat(nodes[starts], sizes)), pa.array(nodes[places])], ["bucket", "pivot", "node"])
 
     held: list = []
     size = 0
@@ -256,7 +304,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if long_key is not None:  # a bucket too large to hold goes on
             n = int(np.searchsorted(keys != long_key, True)) if (keys != long_key).any() else len(keys)
             if n:
-                yield pa.record_batch([pa.array(np.full(n, long_key)), pa.array(np.full(n, long_pivot)), pa.array(nodes[:n])], ["bucket", "pivot", "node"])
+                yield large(long_key, nodes[:n]) if limit is not None else pa.record_batch([pa.array(np.full(n, long_key)), pa.array(np.full(n, long_pivot)), pa.array(nodes[:n])], ["bucket", "pivot", "node"])
             keys, nodes = keys[n:], nodes[n:]
             if not len(keys):
                 continue
@@ -265,14 +313,14 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, nodes = np.concatenate([held[0], keys]), np.concatenate([held[1], nodes])
         cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
         if cut:
-            yield told(keys[:cut], nodes[:cut])
+            yield from told(keys[:cut], nodes[:cut])
         held, size = [keys[cut:], nodes[cut:]], len(keys) - cut
         if size > 1_000_000:
             long_key, long_pivot = keys[-1], held[1][0]
-            yield pa.record_batch([pa.array(held[0]), pa.array(np.full(size, long_pivot)), pa.array(held[1])], ["bucket", "pivot", "node"])
+            yield large(long_key, held[1]) if limit is not None else pa.record_batch([pa.array(held[0]), pa.array(np.full(size, long_pivot)), pa.array(held[1])], ["bucket", "pivot", "node"])
             held = []
     if held:
-        yield told(*held)
+        yield from told(*held)
 
 
 def _fold(bits, words: int):
@@ -564,15 +612,55 @@ def _frequent(told: DataFrame, work: Workspace) -> list[int]:
     return [r["token"] for r in counts.where(chosen).select("token").collect()]
 
 
-def _shared_buckets(hot: DataFrame, work: Workspace) -> DataFrame:
+def _shared_buckets(hot: DataFrame, work: Workspace, name: str) -> DataFrame:
     """(bucket, pivot, node) from distinct (key, node) of frequent shingles: named by an aggregate over the nodes, so that no bucket is held in one task."""
     told = hot.groupBy("key").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1")
     # Shingles of the same nodes give one bucket.
     told = told.groupBy(F.xxhash64("x", "n", "pivot").alias("bucket")).agg(F.min_by(F.struct("key", "pivot", "n"), "key").alias("k"))
-    told = work.save(told.select("bucket", "k.*"), "shared-names")
+    told = work.save(told.select("bucket", "k.*"), f"{name}-shared-names")
     return join_groups(hot, told, "key", "n", ["bucket", "pivot"], F.col("node")).where("bucket IS NOT NULL").select("bucket", "pivot", "node")
 
 
+_NODES = "node long, n long, bits binary, prefix binary, shared binary"
+
+
+def _behind(nodes: DataFrame, hot: DataFrame, docs: DataFrame, members: DataFrame, common: list[int], clashes: frozenset[int], work: Workspace) -> DataFrame:
+    """``nodes`` with prefixes in which the shingles of large buckets stand behind rarer ones; ``hot``: (key, node) of these buckets.
+
+    A shingle is large if more than ``HOT`` of the sets in large buckets hold
+    it, in front or not. Sets without one in their prefix keep it, as the new
+    order has the same shingles first; the others' texts are read again.
+    """
+
+    def texts(which: DataFrame) -> DataFrame:
+        rows = members.select("node", F.col("first_row").alias("row")).join(which, "node")
+        return docs.select("row", "text").join(rows.hint("merge"), "row").drop("row")
+
+    shingles = _all_shingles(common)
+    hot = hot.distinct()
+    held = texts(hot.select("node").distinct()).select("node", "text").mapInArrow(shingles, "key long, node long")
+    large = work.save(held.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT), "large-shingles")
+    # Shingles that only now turn out to be large have buckets of at most HOT nodes so far.
+    late = large.join(hot.select("key").distinct(), "key", "left_anti")
+    front = nodes.select("node", "prefix").mapInArrow(_entries, "key long, node long").join(late, "key", "left_semi").select("node")
+    asked = hot.select("node").unionByName(front).distinct()
+    held = texts(asked).select("node", "text").mapInArrow(shingles, "key long, node long")
+    held = join_groups(held, large, "key", "n", ["n"], F.col("node")).where("n IS NOT NULL")
+    moved = work.save(held.groupBy("node").agg(F.collect_list("key").alias("often")), "moved")
+    new = texts(moved).select("text", "often").mapInArrow(_prefixes(common, clashes), _NODES)
+    return work.save(nodes.join(moved, "node", "left_anti").unionByName(new), "nodes-behind")
+
+
+def _bucketed(nodes: DataFrame, limit: int | None, work: Workspace, name: str) -> DataFrame:
+    """(bucket, pivot, node) of the buckets of prefixes; with a limit, (null, key, node) for those with more nodes."""
+    entries = nodes.select("node", "prefix").mapInArrow(_entries, "key long, node long").repartition(shuffle_partitions(work.spark), "key").sortWithinPartitions("key", "node")
+    shared = work.save(nodes.where("octet_length(shared) > 0").select("node", "shared").mapInArrow(_entries, "key long, node long").distinct(), f"{name}-shared")
+    buckets = entries.mapInArrow(_buckets(limit), "bucket long, pivot long, node long").unionByName(_shared_buckets(shared, work, name))
+    buckets = work.save(buckets.distinct(), name)
+    work.drop(f"{name}-shared")
+    return buckets
+
+
 def _classes(docs: DataFrame, work: Workspace) -> DataFrame:
     """doc_id, row, n, node (equal for equal sets), component_id of each row of ``docs``: row (unique, written), id, text."""
     from pyspark.sql.pandas.types import to_arrow_type
@@ -591,14 +679,16 @@ def _classes(docs: DataFrame, work: Workspace) -> DataFrame:
     members = sets.where("node IS NOT NULL").groupBy("node").agg(F.min("row").alias("first_row"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows"))
     members = work.save(members, "members")
 
-    nodes = work.save(docs.select("text").mapInArrow(_prefixes(common, clashes), "node long, n long, bits binary, prefix binary, shared binary"), "nodes")
-    entries = nodes.select("node", "prefix").mapInArrow(_entries, "key long, node long").repartition(parts, "key").sortWithinPartitions("key", "node")
-    hot = work.save(nodes.where("octet_length(shared) > 0").select("node", "shared").mapInArrow(_entries, "key long, node long").distinct(), "shared")
-    buckets = entries.mapInArrow(_buckets, "bucket long, pivot long, node long").unionByName(_shared_buckets(hot, work))
-    buckets = work.save(buckets.distinct(), "buckets")
+    nodes = work.save(docs.select("text").mapInArrow(_prefixes(common, clashes), _NODES), "nodes")
+    buckets = _bucketed(nodes, HOT, work, "buckets")
+    hot = buckets.where("bucket IS NULL").select(F.col("pivot").alias("key"), "node")
+    if hot.limit(1).count():
+        nodes = _behind(nodes, hot, docs, members, common, clashes, work)
+        work.drop("nodes", "buckets")
+        buckets = _bucketed(nodes, None, work, "buckets-behind")
     info = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "n", "bits").dropDuplicates(["node"])
     info = work.save(info, "info")
-    work.drop("nodes", "shared")
+    work.drop("nodes", "nodes-behind")
 
     star = buckets.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     star = work.save(star, "star")

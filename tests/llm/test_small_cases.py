@@ -215,6 +215,39 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, bucket):
     assert told(jaccard_join.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"))) == components(texts)
 
 
+def test_shared_passages_fill_no_bucket(spark, monkeypatch):
+    """A passage of many texts that no task meets often: all links are found, and hardly anything is compared for its sake."""
+    monkeypatch.setattr(jaccard_join, "HOT", 6)
+    monkeypatch.setattr(jaccard_join, "LOCAL", 1 << 30)
+    compared, verify = [], jaccard_join.verify
+    monkeypatch.setattr(jaccard_join, "verify", lambda pairs, *rest: compared.append(pairs.count()) or verify(pairs, *rest))
+    passage, other = ([f"{mark}{i}" for i in range(60)] for mark in "pq")
+    apart = [" ".join([f"a{k}-{i}" for i in range(80)] + passage + [f"b{k}-{i}" for i in range(k)]) for k in range(40)]
+    mostly = [" ".join(other + [f"c{k}-{i}" for i in range(k)]) for k in range(40)]  # some linked, some not, none by rare shingles alone
+    texts = list(enumerate([*apart, *mostly, *(t for _, t in variants(5)), None, "", "one two", apart[3], mostly[0]]))
+    assert told(jaccard_join.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(8))) == components(texts)
+    alone = list(enumerate(apart))
+    for hot in (8192, 6):
+        monkeypatch.setattr(jaccard_join, "HOT", hot)
+        assert told(jaccard_join.near_duplicates(spark.createDataFrame(alone, "doc_id long, text string"))) == components(alone)
+    assert compared[2] >= 39 and compared[4] == 0  # the first of two comparisons in each run
+
+
+def test_keys_over_the_limit_are_told_apart():
+    """Large buckets come as (null, key, node) across batches, however often a node repeats; others are named."""
+    import pyarrow as pa
+
+    keys = np.repeat([1, 2, 3, 4], [9, 4, 1, 12])
+    nodes = np.concatenate([np.arange(9), [5, 5, 6, 6], [7], np.arange(12) // 2])
+    for cut in (26, 3, 10):
+        batches = [pa.record_batch([pa.array(keys[i : i + cut]), pa.array(nodes[i : i + cut])], ["key", "node"]) for i in range(0, 26, cut)]
+        rows = [tuple(r.values()) for b in jaccard_join._buckets(5)(iter(batches)) for r in b.to_pylist()]
+        assert sorted(r[1:] for r in rows if r[0] is None) == [(1, n) for n in range(9)] + [(4, n) for n in range(6)]
+        assert sorted(r[1:] for r in rows if r[0] is not None) == [(5, 5), (5, 6)]
+        rows = [tuple(r.values()) for b in jaccard_join._buckets(None)(iter(batches)) for r in b.to_pylist()]
+        assert None not in {r[0] for r in rows} and len(rows) == 9 + 2 + 6
+
+
 def test_slices_of_texts_have_the_same_shingles():
     import pyarrow as pa
 
