@@ -76,11 +76,15 @@ def merged_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def list_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a Markdown list, made from documents, by the bucket in which they fall."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("24"), F.lpad((F.col("doc_id") % 12 + 1).cast("string"), 2, "0"), F.lit("."), F.lpad(F.col("doc_id").cast("string"), 5, "0")).alias("arxiv_id"))
+    number, padded = F.floor(F.col("doc_id") / 12), lambda c, n: F.lpad(c.cast("string"), n, "0")
+    # Ids have five digits a month, so documents go on into later years: 120 million of them have an id of their own.
+    own = F.concat(padded((F.floor(number / 100_000) + 24) % 100, 2), padded(F.col("doc_id") % 12 + 1, 2), F.lit("."), padded(number % 100_000, 5))
+    own = F.when(F.col("doc_id") >= 120_000_000, F.raise_error(F.lit("no ids for over 120 million documents")).cast("string")).otherwise(own)
+    docs = table(spark, sf_dir, "documents").select("doc_id", own.alias("arxiv_id"))
     url = F.when(F.col("doc_id") % 7 == 0, "http://example.org/x").otherwise(F.concat(F.lit("https://arxiv.org/abs/"), F.col("arxiv_id")))
     entries = T.parse_list(docs.select(F.concat(F.lit("| **[Title]("), url, F.lit(")** | NT, CO |")).alias("value")))
     papers = docs.where("doc_id % 5 <> 0").select("arxiv_id", F.when(F.col("doc_id") % 3 == 0, "cs.AI").otherwise("math.NT").alias("primary_category"))
-    told = T.list_buckets(entries, papers, docs.where("doc_id % 2 = 0"), [f"24{m:02}" for m in range(1, 7)])
+    told = T.list_buckets(entries, papers, docs.where("doc_id % 2 = 0"), [f"{y:02}{m:02}" for y in range(100) for m in range(1, 7)])
     return told.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
 

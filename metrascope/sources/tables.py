@@ -108,9 +108,9 @@ def parse_list(lines: DataFrame, col: str = "value", least: int = LEAST_ENTRIES)
 
 
 def list_buckets(entries: DataFrame, papers: DataFrame, flagged: DataFrame, months: list[str]) -> DataFrame:
-    """``entries`` with the first bucket that applies."""
-    known = papers.select("arxiv_id", F.col("primary_category"), F.lit(True).alias("_known"))
-    met = entries.join(known, "arxiv_id", "left").join(flagged.select("arxiv_id", F.lit(True).alias("_flagged")), "arxiv_id", "left")
+    """``entries`` with the first bucket that applies, each once; of a paper told twice the smallest category counts."""
+    known = papers.groupBy("arxiv_id").agg(F.min("primary_category").alias("primary_category"), F.lit(True).alias("_known"))
+    met = entries.join(known, "arxiv_id", "left").join(flagged.select("arxiv_id", F.lit(True).alias("_flagged")).distinct(), "arxiv_id", "left")
     bucket = (
         F.when(F.col("arxiv_id").isNull(), "no_arxiv_id")
         .when(~F.substring_index("arxiv_id", ".", 1).isin(*months), "out_of_frame_window")

@@ -1,0 +1,30 @@
+"""What larger tables bring out: ids with more digits, work that grows faster than its input."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from metrascope import queries
+
+
+def against_sql(spark, path, name):
+    """A registered query over the tables of a folder, and its SQL over the same, as sorted rows."""
+    import duckdb
+
+    db = duckdb.connect()
+    for x in sorted(path.glob("*.parquet")):
+        db.execute(f"CREATE VIEW {x.stem} AS SELECT * FROM '{x}/*.parquet'")
+    told = db.execute(queries.ORACLE_SQL[name])
+    names = [c[0] for c in told.description]
+    got = queries.QUERIES[name](spark, str(path)).select(*names)
+    return sorted(map(repr, map(tuple, got.collect()))), sorted(map(repr, told.fetchall()))
+
+
+def test_a_list_of_documents_with_ids_of_any_length(spark, tmp_path):
+    """Ids of six to nine digits, a month's hundred-thousandth, and a document told twice."""
+    ids = [*range(0, 200), *range(99_990, 100_100), *range(1_199_990, 1_200_100), *range(91_199_990, 91_200_050), *range(119_999_900, 120_000_000), 7_000_001, 7_000_001]
+    spark.createDataFrame([(i,) for i in ids], "doc_id long").write.parquet(str(tmp_path / "documents.parquet"))
+    got, want = against_sql(spark, tmp_path, "list_reconciliation")
+    assert got == want
+    spark.createDataFrame([(120_000_000 + i,) for i in range(60)], "doc_id long").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    with pytest.raises(Exception, match="no ids"):
+        queries.QUERIES["list_reconciliation"](spark, str(tmp_path)).collect()
