@@ -85,6 +85,10 @@ def label_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("group").alias("lang"), "batch", "split_path", F.size("keys").cast("long").alias("n"), F.element_at("keys", 1).cast("long").alias("first_doc"), F.col("response_sha256").isNotNull().alias("answered"))
 
 
+#: Events in a file of the stream, about.
+EVENTS_A_FILE = 1_000_000
+
+
 def campaign_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as those of their users' campaigns, from a stream in three parts: signups create, purchases reserve, clicks settle, errors close."""
     work, events = Workspace(spark, "campaigns"), table(spark, sf_dir, "events")
@@ -92,9 +96,10 @@ def campaign_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     usd = F.when(kind == "created", F.col("value") * 5).otherwise(F.col("value"))
     told = events.select(F.col("user_id").cast("string").alias("campaign"), F.col("event_id").alias("seq"), kind.alias("kind"), F.concat(F.lit("r"), (F.floor("value") % 4).cast("string")).alias("request"), usd.alias("usd"))
     third = F.floor(F.col("seq") * 3 / F.lit((told.agg(F.max("seq")).first()[0] or 0) + 1))
-    for part in range(3):  # files in the order of events
-        told.where(third == part).coalesce(1).write.mode("append").parquet(f"{work.path}/events")
-    stream = event_stream(spark, f"{work.path}/events", files=1)
+    files = 1 + told.groupBy(third.alias("part")).count().agg(F.min("count")).first()[0] // EVENTS_A_FILE if told.limit(1).count() else 1
+    for part in range(3):  # files in the order of events, as many for each part
+        told.where(third == part).repartition(files).write.mode("append").parquet(f"{work.path}/events")
+    stream = event_stream(spark, f"{work.path}/events", files=files)
     return rounded(U.stream_to_files(L.campaign_ledger(stream), work, "outcomes"))
 
 

@@ -4,8 +4,9 @@ Each campaign is created once, with a cap; requests reserve against it and are
 settled; it is amended, and closed for good once no reservation is open. Every
 event gives a row: taken, or refused with the reason, and what the campaign
 comes to after it. The state of a campaign is its header and its open
-reservations, a map by request; both live in the state store, so a lost
-executor costs a batch that is tried again.
+reservations by request, one value in the state store, so a lost executor costs
+a batch that is tried again. A batch reads and writes it once, and a task holds
+the open reservations of one campaign at a time.
 
 Events of a micro-batch are taken in the order of ``seq``; one that comes in a
 later batch than events after it is told as late, and refused, as what
@@ -20,8 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 EVENT = "campaign string, seq long, kind string, request string, usd double"
@@ -67,27 +67,22 @@ def judge(header: tuple, reserved: float | None, n_open: int, seq: int, kind: st
 
 class Campaigns(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.header = handle.getValueState("header", "status string, cap double, used double, last long, n_open int")
-        self.reserved = handle.getMapState("reserved", "request string", "usd double")
+        self.state = handle.getValueState("state", "status string, cap double, used double, last long, open map<string,double>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        *header, n_open = self.header.get() if self.header.exists() else (None, None, 0.0, None, 0)
-        header, told = tuple(header), []
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # Every access to the state store is a message to another process, so a batch reads and writes a campaign's state once.
+        *header, held = self.state.get() or (None, None, 0.0, None, {})
+        header, held, told = tuple(header), dict(held), Row(*[c.split()[0] for c in OUTCOME.split(", ")])
         # A key's events of one micro-batch; how many files make a batch bounds them.
-        events = pd.concat(list(rows)).sort_values(["seq", "kind", "request"], kind="stable", na_position="first")
-        for seq, kind, request, usd in zip(events["seq"], events["kind"], events["request"], events["usd"], strict=True):
-            seq, request, usd = int(seq), (request if isinstance(request, str) else ""), (None if pd.isna(usd) else float(usd))
-            named = (request,)
-            reserved = self.reserved.getValue(named)[0] if kind in ("reserved", "settled") and self.reserved.containsKey(named) else None
-            reason, header, change = judge(header, reserved, n_open, seq, kind, usd)
-            n_open += change
+        for seq, kind, request, usd in sorted((tuple(r[1:]) for r in rows), key=lambda e: (e[0], e[1] is not None, e[1], e[2] is not None, e[2])):
+            request, usd = request or "", None if usd is None or usd != usd else usd
+            reason, header, change = judge(header, held.get(request) if kind in ("reserved", "settled") else None, len(held), seq, kind, usd)
             if change > 0:
-                self.reserved.updateValue(named, (usd,))
+                held[request] = usd
             elif change < 0:
-                self.reserved.removeKey(named)
-            told.append((key[0], seq, kind, reason is None, reason, header[0], header[2], n_open))
-        self.header.update((*header, n_open))
-        yield pd.DataFrame(told, columns=[c.split()[0] for c in OUTCOME.split(", ")])
+                del held[request]
+            yield told(key[0], seq, kind, reason is None, reason, header[0], header[2], len(held))
+        self.state.update((*header, held))
 
     def close(self) -> None:
         pass
@@ -97,4 +92,4 @@ def campaign_ledger(events: DataFrame) -> DataFrame:
     """The outcomes (``OUTCOME``) of a stream of events (``EVENT``), in append mode."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # the store that this kind of state needs
     keyed = events.select(*[c.split()[0] for c in EVENT.split(", ")]).groupBy("campaign")
-    return keyed.transformWithStateInPandas(statefulProcessor=Campaigns(), outputStructType=OUTCOME, outputMode="Append", timeMode="None")
+    return keyed.transformWithState(statefulProcessor=Campaigns(), outputStructType=OUTCOME, outputMode="Append", timeMode="None")

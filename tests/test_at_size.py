@@ -28,3 +28,45 @@ def test_a_list_of_documents_with_ids_of_any_length(spark, tmp_path):
     spark.createDataFrame([(120_000_000 + i,) for i in range(60)], "doc_id long").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
     with pytest.raises(Exception, match="no ids"):
         queries.QUERIES["list_reconciliation"](spark, str(tmp_path)).collect()
+
+
+def test_a_campaign_asks_the_state_store_twice_a_batch():
+    """Not once or more for each event; every access is a message to another process."""
+    from pyspark.sql import Row
+
+    from metrascope.streaming import campaigns as L
+
+    class Store:
+        def __init__(self):
+            self.held, self.calls = None, 0
+
+        def getValueState(self, *_):
+            return self
+
+        def getMapState(self, *_):
+            return self
+
+        def get(self):
+            self.calls += 1
+            return self.held
+
+        def update(self, value):
+            self.calls += 1
+            self.held = value
+
+    store, ledger, told = Store(), L.Campaigns(), []
+    ledger.init(store)
+    row = Row(*[c.split()[0] for c in L.EVENT.split(", ")])
+    kinds = ("reserved", "settled", "reserved", "amended")
+    for batch in range(2):
+        events = [row("c", 0, "created", None, 1e6)] * (batch == 0) + [row("c", 1 + 200 * batch + n, kinds[n % 4], f"r{n % 8 // 2}", 2.0) for n in range(200)]
+        told += ledger.handleInputRows(("c",), iter(reversed(events)), None)
+    assert store.calls == 4 and len(told) == 401 and [r.seq for r in told] == sorted(r.seq for r in told)
+    assert store.held[4] == {"r1": 2.0, "r3": 2.0} and told[-1].open == 2 and sum(not r.taken for r in told) == told[-1].seq // 4 - 2
+
+
+def test_outcomes_of_campaigns_from_several_files_a_part(spark, sf, agree, monkeypatch):
+    from metrascope.queries import runs
+
+    monkeypatch.setattr(runs, "EVENTS_A_FILE", 100, raising=False)
+    agree(queries.QUERIES["campaign_outcomes"], queries.ORACLE_SQL["campaign_outcomes"])
