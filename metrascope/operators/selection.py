@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.digests import SHA256
+from ..workspace import Workspace
 from .sessions import pick_first
 
 #: Coverage states in their order of precedence.
 STATES = ("scanned", "scan_error", "fetch_failed", "fetched_not_in_run", "unfetched")
+#: Bytes of sorted lines that one task digests, about.
+HASHED = 256 << 20
 
 
 def without(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
@@ -138,10 +142,11 @@ def compare_runs(one: DataFrame, two: DataFrame, key: str, positive: str) -> Dat
 def lines_hash(rows: DataFrame, line: Column) -> DataFrame:
     """(n, sha256) of the sorted lines.
 
-    All tasks sort their ranges of lines and join them to blocks; one task then
-    digests the blocks in order, as a hash has to, and holds a batch of them.
+    All tasks sort their ranges of lines and write them as blocks. A hash has to
+    meet these in order, so tasks follow each other: each digests about
+    ``HASHED`` bytes and hands the state of the hash on to the next.
     """
-    schema = "part int, place int, n long, lines binary"
+    schema = "part int, place int, n long, bytes long, lines binary"
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -150,20 +155,49 @@ def lines_hash(rows: DataFrame, line: Column) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 lines = "".join(x + "\n" for x in batch.column(0).to_pylist()).encode()
-                yield pa.record_batch([pa.array([part], pa.int32()), pa.array([place], pa.int32()), pa.array([batch.num_rows], pa.int64()), pa.array([lines], pa.binary())], ["part", "place", "n", "lines"])
+                yield pa.record_batch([pa.array([part], pa.int32()), pa.array([place], pa.int32()), pa.array([batch.num_rows], pa.int64()), pa.array([len(lines)], pa.int64()), pa.array([lines], pa.binary())], ["part", "place", "n", "bytes", "lines"])
                 place += 1
 
+    work = Workspace(rows.sparkSession, "lines")
+    held = work.save(rows.select(line.alias("line")).orderBy("line").mapInArrow(blocks, schema), "blocks")
+    # A row for each range of the sort.
+    parts = held.groupBy("part").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("blocks")).orderBy("part").collect()
+    last, state = sum(r["bytes"] for r in parts) - 1, SHA256.start()
+    for chunk in _chunks([(r["part"], r["blocks"], r["bytes"]) for r in parts], HASHED):
+        state = _digested(held, chunk, state, last)
+    return rows.sparkSession.createDataFrame([(sum(r["n"] for r in parts), SHA256.end(state))], "n long, sha256 string").coalesce(1)
+
+
+def _chunks(parts: list[tuple[int, int, int]], most: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Runs of (part, first block, block after the last) of about ``most`` bytes, from (part, blocks, bytes) in order; a part of more is cut between its blocks."""
+    run, size = [], 0
+    for part, n, total in parts:
+        each = max(1, n * most // max(total, 1))
+        for first in range(0, n, each):
+            upto = min(first + each, n)
+            here = total * (upto - first) // n
+            if run and size + here > most:
+                yield run
+                run, size = [], 0
+            run, size = [*run, (part, first, upto)], size + here
+    if run:
+        yield run
+
+
+def _digested(held: DataFrame, chunk: list[tuple[int, int, int]], state: bytes, last: int) -> bytes:
+    """The state of the hash after the blocks of a chunk; the last line's end, at byte ``last`` of all, does not count."""
+
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, n, held = hashlib.sha256(), 0, b""
+        told = SHA256.go_on(state)
         for batch in batches:
-            for count, lines in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
-                # The last line's end is held back: nothing follows the last line of all.
-                state.update(held + lines.as_py()[:-1])
-                n, held = n + count, b"\n"
-        yield pa.record_batch([pa.array([n], pa.int64()), pa.array([state.hexdigest()])], ["n", "sha256"])
-
-    told = rows.select(line.alias("line")).orderBy("line").mapInArrow(blocks, schema).repartition(1).sortWithinPartitions("part", "place").mapInArrow(digest, "n long, sha256 string")
-    return told.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.coalesce(F.max("sha256"), F.sha2(F.lit("").cast("binary"), 256)).alias("sha256"))
+            for lines in batch.column(0):
+                lines = lines.as_py()
+                told.update(lines[: last - told.size] if told.size + len(lines) > last else lines)
+        yield pa.record_batch([pa.array([told.state()], pa.binary())], ["state"])
+
+    inside = reduce(Column.__or__, [(F.col("part") == part) & (F.col("place") >= first) & (F.col("place") < upto) for part, first, upto in chunk])
+    rows = held.where(inside & F.col("part").between(chunk[0][0], chunk[-1][0])).coalesce(1).sortWithinPartitions("part", "place").select("lines")
+    return bytes(rows.mapInArrow(digest, "state binary").first()[0])
 
 
 def membership_hash(rows: DataFrame, key: Column, version: Column) -> DataFrame:

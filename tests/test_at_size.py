@@ -70,3 +70,25 @@ def test_outcomes_of_campaigns_from_several_files_a_part(spark, sf, agree, monke
 
     monkeypatch.setattr(runs, "EVENTS_A_FILE", 100, raising=False)
     agree(queries.QUERIES["campaign_outcomes"], queries.ORACLE_SQL["campaign_outcomes"])
+
+
+def test_lines_are_hashed_by_tasks_that_follow_each_other(spark, monkeypatch):
+    """The same digest however few bytes a task takes; equal lines, blocks of one range, one line, none, and an empty line."""
+    import hashlib
+
+    from metrascope.operators import selection as S
+
+    asked = []
+    own = getattr(S, "_digested", None)
+    monkeypatch.setattr(S, "_digested", lambda held, chunk, *rest: (asked.append(chunk), own(held, chunk, *rest))[1], raising=False)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        for lines, most in (([f"é{i % 700}:{i}" for i in range(3000)], 5000), (["same"] * 3000, 2000), (["", "b"], 1), (["only"], 1), ([""], 1), ([], 1)):
+            monkeypatch.setattr(S, "HASHED", most, raising=False)
+            asked.clear()
+            got = S.lines_hash(spark.createDataFrame([(x,) for x in lines], "line string"), F.col("line")).collect()
+            assert [tuple(r) for r in got] == [(len(lines), hashlib.sha256("\n".join(sorted(lines, key=str.encode)).encode()).hexdigest())]
+            assert len(asked) >= min(len(lines) // 400, 6) and (lines == [] or asked)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
