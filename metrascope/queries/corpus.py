@@ -116,7 +116,7 @@ PLANTED = [
 
 def lexicon_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of the full lexicon in documents, lower-cased, after a sentence of known hits; dots keep the windows of hits apart from the text."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", tasks=8)
     first = F.element_at(F.array(*[F.lit(x) for x, _ in PLANTED]), (F.pmod("doc_id", F.lit(len(PLANTED))) + 1).cast("int"))
     text = F.concat(first, F.repeat(F.lit(" ."), 400), F.lit(" "), F.lower(F.coalesce("text", F.lit(""))))
     return L.scan(docs.select("doc_id", text.alias("text")), ["doc_id"]).drop("context")

@@ -32,13 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def spread(scan: DataFrame, *keys: str) -> DataFrame:
-    """The rows of a scan over all cores, dealt by keys, where its files make too few tasks; where they make enough, as they are.
+def spread(scan: DataFrame, *keys: str, tasks: int = 1) -> DataFrame:
+    """The rows of a scan over all cores, ``tasks`` to each, dealt by keys, where its files make fewer than twice as many; where they make enough, as they are.
 
     For work that costs much more than a shuffle of its input.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() < 2 * cores else scan
+    n = scan.sparkSession.sparkContext.defaultParallelism * tasks
+    return scan.repartition(n, *keys) if scan.rdd.getNumPartitions() < 2 * n else scan
 
 
 def stored(spark: SparkSession, path: str):

@@ -92,3 +92,17 @@ def test_lines_are_hashed_by_tasks_that_follow_each_other(spark, monkeypatch):
             assert len(asked) >= min(len(lines) // 400, 6) and (lines == [] or asked)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_the_lexicon_is_scanned_by_many_tasks(spark, sf, monkeypatch):
+    """Some for each core, so that no task has a twelfth of all texts; a dotted capital I counts as an i."""
+    from metrascope.operators import lexicon as L
+    from metrascope.queries import corpus
+
+    asked = []
+    monkeypatch.setattr(corpus.L, "scan", lambda docs, *rest: (asked.append(docs.rdd.getNumPartitions()), docs.withColumn("context", F.lit(1)))[1])
+    corpus.lexicon_scan(spark, sf)
+    assert asked[0] >= 8 * spark.sparkContext.defaultParallelism
+    monkeypatch.undo()
+    got = L.scan(spark.createDataFrame([(1, "MİSTRAL"), (2, "Mistral, Claude Bernard"), (3, "the Mıstral gap")], "id int, text string"), ["id"]).collect()
+    assert sorted((r.id, r.term, r.rule_class) for r in got) == [(1, "Mistral", "plain"), (2, "Claude", "known_fp"), (2, "Mistral", "plain"), (3, "Mistral", "plain")]
