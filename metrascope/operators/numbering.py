@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from ..workspace import Workspace, shuffle_partitions
 
+#: Ranges of groups that are broadcast, at most.
+FEW = 50_000
+
 
 def numbered(rows: DataFrame, order: Sequence[Column | str], work: Workspace, table: str, within: Sequence[str] = (), number: str = "number") -> DataFrame:
     """``rows`` and, in ``number``, 1, 2, 3... in the order, anew for each value of the columns ``within``.
@@ -29,6 +32,10 @@ def numbered(rows: DataFrame, order: Sequence[Column | str], work: Workspace, ta
     before = W.partitionBy(*(within or [F.lit(1)])).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     ends = ends.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     if within:
+        # Few ranges and groups go to the rows, so that these are not shuffled again.
+        ends = work.save(ends, f"{table}-ends")
+        if ends.limit(FEW + 1).count() <= FEW:
+            ends = F.broadcast(ends)
         own = ends.withColumnsRenamed({c: f"_of_{k}" for k, c in enumerate(within)} | {"_range": "_of_range"})
         same = F.col("_range") == F.col("_of_range")
         for k, c in enumerate(within):

@@ -106,3 +106,25 @@ def test_the_lexicon_is_scanned_by_many_tasks(spark, sf, monkeypatch):
     monkeypatch.undo()
     got = L.scan(spark.createDataFrame([(1, "MİSTRAL"), (2, "Mistral, Claude Bernard"), (3, "the Mıstral gap")], "id int, text string"), ["id"]).collect()
     assert sorted((r.id, r.term, r.rule_class) for r in got) == [(1, "Mistral", "plain"), (2, "Claude", "known_fp"), (2, "Mistral", "plain"), (3, "Mistral", "plain")]
+
+
+def test_a_round_of_requests_keeps_texts_once(spark):
+    """Batches that are halved to the end write each text once a round and once before, and no prompts."""
+    import random
+    from pathlib import Path
+
+    from metrascope.operators import labelling as B
+    from metrascope.workspace import Workspace
+
+    def call(prompt):
+        if prompt.count("SNIPPET ") > 1:
+            raise RuntimeError("truncated at the limit of output")
+        return B.RuleLabeller([])(prompt)
+
+    draw, work = random.Random(3), Workspace(spark, "once")
+    texts = ["".join(chr(draw.randrange(0x4E00, 0x9E00)) for _ in range(30_000)) for _ in range(8)]
+    told, records = B.label_batches(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), call, work, "id", "text", None, 8)
+    assert {(r.key, len(r.split_path)) for r in told.collect()} == {(str(i), 7) for i in range(8)} and records.count() == 15
+    path = Path(work.path.removeprefix("file:"))
+    written = sum(x.stat().st_size for x in path.rglob("*.parquet"))
+    assert written < 6 * sum(len(x.encode()) for x in texts)
