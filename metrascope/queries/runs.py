@@ -50,7 +50,7 @@ def harvested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = docs.select("page", record.alias("record")).groupBy("page").agg(F.concat_ws("", F.collect_list("record")).alias("records"))  # a page has so many at most
     token = F.when(F.col("page") < F.lit(last), F.concat(F.lit("next-"), F.col("page").cast("string"))).otherwise("")
     page = F.concat(F.lit("<OAI-PMH><ListRecords>"), "records", F.lit("<resumptionToken>"), token, F.lit("</resumptionToken></ListRecords></OAI-PMH>"))
-    told.select(F.lpad(F.col("page").cast("string"), 9, "0").alias("page"), page.alias("xml")).write.partitionBy("page").text(f"{work.path}/archive")
+    told.select(F.lpad(F.col("page").cast("string"), 9, "0").alias("page"), page.alias("xml")).write.partitionBy("page").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(f"{work.path}/archive")  # a folder a page: each task puts its own in place
     records = U.stream_to_files(G.page_stream(spark, f"{work.path}/archive"), work, "records")
     papers = papers_of(records.select("page", record_struct(F.col("record")).alias("r")).select("page", "r.*"), "page")
     return papers.select(F.col("arxiv_id").cast("long").alias("doc_id"), (F.col("page") - 1).cast("long").alias("page"), "title", "primary_category")

@@ -4,9 +4,10 @@ A page is an XML file of records. All but the last name, in a resumption token,
 the page that follows. The source replays an archive of such pages in order of
 their paths: its offset is the last page read with the token that it states, so
 a query that stops after page k goes on at page k + 1, with pages that came in
-the meantime. A micro-batch reads its pages in parallel, one a task, and the
-records of a page one after the other. The driver opens pages only for their
-tokens, each once.
+the meantime. A micro-batch reads its pages in parallel, one a task while they
+are few and up to ``PAGES_A_TASK`` where they are many, and the records of a
+page one after the other. The driver opens pages only for their tokens, each
+once and several at a time.
 
 Files are opened through Arrow's file systems, by plain path or URI, in
 whatever store driver and executors share. Nothing is fetched over a network
@@ -23,11 +24,16 @@ from __future__ import annotations
 import gzip
 import re
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+#: Pages that a task reads, at most, and tasks up to which each reads one.
+PAGES_A_TASK, TASKS = 64, 64
+#: Pages that the driver opens at a time for their tokens.
+OPENED = 16
 TOKEN = re.compile(rb"<(?:\w+:)?resumptionToken[^>]*>([^<]*)</")
 
 
@@ -80,8 +86,11 @@ def records_of(page: bytes) -> Iterator[str]:
 
 @dataclass
 class Page(InputPartition):
+    """A page, by its number from 1, and those that follow it in the same task."""
+
     number: int
     inside: str
+    more: tuple[str, ...] = ()
 
 
 class PageReader(DataSourceStreamReader):
@@ -94,10 +103,13 @@ class PageReader(DataSourceStreamReader):
 
     def _told(self, number: int, pages: Sequence[str]) -> str:
         """The token of a page; those of pages before it are known then, too."""
-        while len(self.tokens) < number:
-            self.tokens.append(token_of(read_page(self.path, pages[len(self.tokens)])))
-            if len(self.tokens) > 1 and not self.tokens[-2]:
-                raise ValueError(f"page {len(self.tokens) - 1} of {self.path} is the last of its harvest, but others follow")
+        known = len(self.tokens)
+        if known < number:
+            with ThreadPoolExecutor(OPENED) as pool:
+                self.tokens += pool.map(lambda inside: token_of(read_page(self.path, inside)), pages[known:number])
+            for k in range(max(known, 1), number):
+                if not self.tokens[k - 1]:
+                    raise ValueError(f"page {k} of {self.path} is the last of its harvest, but others follow")
         return self.tokens[number - 1] if number else ""
 
     def latestOffset(self) -> dict:
@@ -108,11 +120,13 @@ class PageReader(DataSourceStreamReader):
         pages = pages_of(self.path)
         if len(pages) < end["page"] or self._told(start["page"], pages) != start["token"]:
             raise ValueError(f"{self.path} is not the archive of which {start['page']} pages were read")
-        return [Page(k + 1, pages[k]) for k in range(start["page"], end["page"])]
+        each = min(PAGES_A_TASK, -(-(end["page"] - start["page"]) // TASKS))
+        return [Page(k + 1, pages[k], tuple(pages[k + 1 : min(k + each, end["page"])])) for k in range(start["page"], end["page"], each or 1)]
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        for place, record in enumerate(records_of(read_page(self.path, partition.inside))):
-            yield partition.number, place, record
+        for number, inside in enumerate((partition.inside, *partition.more), partition.number):
+            for place, record in enumerate(records_of(read_page(self.path, inside))):
+                yield number, place, record
 
 
 class PageSource(DataSource):

@@ -128,3 +128,19 @@ def test_a_round_of_requests_keeps_texts_once(spark):
     path = Path(work.path.removeprefix("file:"))
     written = sum(x.stat().st_size for x in path.rglob("*.parquet"))
     assert written < 6 * sum(len(x.encode()) for x in texts)
+
+
+def test_many_pages_of_an_archive_are_read_by_few_tasks(tmp_path):
+    """A thousand pages are all read, in order and once, by runs of pages; an archive that goes on is read from there."""
+    from metrascope.sources import pages as G
+
+    for k in range(1000):
+        (tmp_path / f"page_{k:04}.xml").write_text(f"<x><record><id>{k}</id></record><record><id>{k}b</id></record><resumptionToken>{'t' * (k < 999)}{k * (k < 999) or ''}</resumptionToken></x>")
+    reader = G.PageReader(str(tmp_path))
+    end = reader.latestOffset()
+    for first in (0, 501):
+        start = {"page": first, "token": reader.tokens[first - 1] if first else ""}
+        parts = reader.partitions(start, end)
+        assert len(parts) <= 64
+        assert [row[:2] for p in parts for row in reader.read(p)] == [(k + 1, place) for k in range(first, 1000) for place in (0, 1)]
+    assert reader.partitions(end, end) == []
