@@ -29,7 +29,8 @@ def last_before(points: DataFrame, marks: DataFrame, keys: Sequence[str], at: st
     told = marks.where(F.col(mark_at).isNotNull()).select(*named, F.col(mark_at).alias("_at"), F.lit(0).alias("_kind"), mark.alias("_mark"), F.lit(None).cast(own.schema["_point"].dataType).alias("_point"))
     ks = [f"_k{i}" for i in range(len(keys))]
     order = [*ks, F.asc_nulls_first("_at"), "_kind", F.asc_nulls_first("_mark")]
-    both = own.unionByName(told).repartitionByRange(shuffle_partitions(points.sparkSession), *order).sortWithinPartitions(*order)
+    # Ranges are drawn from a pass of their own over the rows, which should not make these a second time.
+    both = work.save(own.unionByName(told), f"{table}-told").repartitionByRange(shuffle_partitions(points.sparkSession), *order).sortWithinPartitions(*order)
     held = work.save(both.withColumn("_place", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_place", 33)), table)
     lasts = held.groupBy(*ks, "_range").agg(F.max("_mark").alias("_own"))
     before = W.partitionBy(*ks).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import match_positions, window
+from ..functions.text import let, match_positions, window
 from ..workspace import Workspace
 from .asof import last_before
+from .lexicon import necessary
 
 # Characters before a hit in which its section counts, and around it in which words count.
 SECTION_SPAN, LOCAL = 2500, 700
@@ -39,8 +42,14 @@ RELEVANT = (ACKNOWLEDGED, STATED, METADATA[STATED])
 
 def context_class(local: Column, in_thanks: Column) -> Column:
     """The class of the text around a hit; ``in_thanks``: whether its section is one of acknowledgements."""
-    disclosed, used, denied = local.rlike(DISCLOSURE), local.rlike(USE), local.rlike(DENIAL)
-    return F.when(denied & (used | disclosed), NEGATIVE).when((local.rlike(THANKS) | in_thanks) & disclosed, ACKNOWLEDGED).when(disclosed, STATED).otherwise(POSSIBLE)
+
+    def kind(text: Column, low: Column) -> Column:
+        # The patterns fold ASCII letters only; a text without a string that each match contains does not meet them.
+        said = lambda pattern: F.when(reduce(Column.__or__, [F.contains(low, F.lit(x.lower())) for x in necessary(pattern)]), text.rlike(pattern)).otherwise(False)
+        denied = F.when(said(DENIAL), said(USE) | said(DISCLOSURE)).otherwise(False)
+        return F.when(denied, NEGATIVE).when(said(DISCLOSURE), F.when(in_thanks | said(THANKS), ACKNOWLEDGED).otherwise(STATED)).otherwise(POSSIBLE)
+
+    return let(local, lambda text: let(F.lower(text), lambda low: kind(text, low)))
 
 
 def metadata_class(of_text: Column) -> Column:
@@ -68,6 +77,7 @@ def classified(hits: DataFrame, docs: DataFrame, work: Workspace, key: str = "ar
     thanks = headings(docs, key, text, pattern).where(F.col("section").rlike(THANKS_HEADING)).select(key, F.col("section_at").alias("thanks_at"), F.lit(True).alias("_thanks"))
     told = with_sections(hits, docs, work, key, text, pattern)
     told = last_before(told, thanks, [key], "offset", "thanks_at", ["_thanks"], work, "thanks", SECTION_SPAN, "_far")
+    told = work.save(told, "placed")  # for the offsets asked for, and for the classes
     local = window(F.col(text), F.col("offset").cast("int"), LOCAL)
     asked = told.select(key, "offset").distinct()
     around = asked.join(docs.select(key, text), key).select(F.col(key).alias("_key"), F.col("offset").alias("_offset"), local.alias("_local"))

@@ -144,3 +144,20 @@ def test_many_pages_of_an_archive_are_read_by_few_tasks(tmp_path):
         assert len(parts) <= 64
         assert [row[:2] for p in parts for row in reader.read(p)] == [(k + 1, place) for k in range(first, 1000) for place in (0, 1)]
     assert reader.partitions(end, end) == []
+
+
+def test_an_as_of_join_makes_its_rows_once(spark):
+    from metrascope.operators.asof import last_before
+    from metrascope.workspace import Workspace
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def told(x):
+        made.add(1)
+        return x
+
+    points = spark.range(200).select(F.lit(1).alias("k"), told("id").alias("at"))
+    marks = spark.range(0, 200, 50).select(F.lit(1).alias("k"), F.col("id").alias("mark"), F.col("id").alias("v"))
+    got = last_before(points, marks, ["k"], "at", "mark", ["v"], Workspace(spark, "asof-once"), "t").collect()
+    assert made.value == 200 and {(r["at"], r["v"]) for r in got} == {(i, i // 50 * 50) for i in range(200)}
